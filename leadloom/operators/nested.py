@@ -47,7 +47,7 @@ def _decoded(v: Column) -> Column:
 
     def once(x: Column) -> Column:
         text = F.try_variant_get(x, "$", "string")
-        inner = F.regexp_replace(text, r"^[\s﻿]+", "")
+        inner = F.regexp_replace(text, r"^[\s\ufeff]+", "")
         holds = _array(x).isNull() & ~_is_object(x) & F.substring(inner, 1, 1).isin("{", "[", '"')
         return F.when(holds, F.coalesce(F.try_parse_json(inner), x)).otherwise(x)
 
@@ -75,7 +75,7 @@ def parse_payload(payload: Column) -> Column:
     Spark's parser stops at the end of the first value, so text after it is
     looked for by the last character.
     """
-    body = F.regexp_replace(payload, r"^[\s﻿]+|[\s﻿]+$", "")
+    body = F.regexp_replace(payload, r"^[\s\ufeff]+|[\s\ufeff]+$", "")
     closed = F.when(F.substring(body, 1, 1) == "{", body.endswith("}")).when(F.substring(body, 1, 1) == "[", body.endswith("]")).otherwise(F.lit(True))
 
     def unwrap(v: Column) -> Column:
