@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadloom.llm import packing, tokens
+from leadloom.llm import canonical, packing, sentences, tokens
 from leadloom.sources.tables import table
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return canonical.canonical_values(table(spark, folder, "golden_case"), table(spark, folder, "canon_ref"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_ids(table(spark, folder, "documents"))
 
@@ -18,9 +22,15 @@ def p9_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), table(spark, folder, "pack_spec"))
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p6_found": p6_found,
     "p8_ids": p8_ids,
     "p9_pack": p9_pack,
+    "p10_found": p10_found,
 }
 
 ORACLE: dict[str, str] = {}

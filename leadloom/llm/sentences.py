@@ -182,7 +182,7 @@ class _Automaton:
             return True
         if not gap:
             c = text[stop]
-            if c.isupper() and (stop + 1 >= end or text[stop + 1].islower() or text[stop + 1] in ".’'" or text[stop + 1].isspace()):
+            if c.isupper() and (stop + 1 >= end or text[stop + 1].islower() or text[stop + 1] in ".’'&" or text[stop + 1].isspace()):
                 if _in_trie(_NAME_TRIE, low) or not word:
                     return False
                 tail = word.rsplit(".", 1)[-1]
@@ -321,15 +321,15 @@ def _blocks(text: str) -> Iterator[tuple[int, int]]:
     """Blocks of running text: lines, those of hard-wrapped paragraphs joined.
 
     A break is soft if the next line's first word didn't fit the text's width
-    (its longest line, of 50 to 100 characters), the next line is no list item
-    and neither line is blank.
+    (its longest line that is no list item, of 50 to 100 characters), the next
+    line is no list item and neither line is blank.
     """
     lines, at = [], 0
     for brk in _LINE.finditer(text):
         lines.append((at, brk.start()))
         at = brk.end()
     lines.append((at, len(text)))
-    width = max(e - s for s, e in lines)
+    width = max((e - s for s, e in lines if not _ITEM.match(text, s, e)), default=0)
     wrapped = 50 <= width <= 100 and len(lines) > 1
     begin = None
     for k, (s, e) in enumerate(lines):
@@ -338,7 +338,7 @@ def _blocks(text: str) -> Iterator[tuple[int, int]]:
         if wrapped and k + 1 < len(lines):
             ns, ne = lines[k + 1]
             words = text[ns:ne].split(None, 1)
-            if words and text[s:e].strip():
+            if words and e - s <= width and text[s:e].strip():
                 first = words[0]
                 wide = ord(first[0]) >= 0x2E80
                 fits = (e - s) + (0 if wide else 1) + (1 if wide else min(len(first), 24)) <= width
