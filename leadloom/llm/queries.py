@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadloom.llm import canonical, packing, sentences, tokens
+from leadloom.llm import canonical, packing, sentences, survivors, tokens
 from leadloom.sources.tables import table
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return survivors.surviving_values(table(spark, folder, "lead_record")).select("lead_id", "field", "ingest_seq")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return canonical.canonical_values(table(spark, folder, "golden_case"), table(spark, folder, "canon_ref"))
 
@@ -27,6 +31,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p5_found": p5_found,
     "p6_found": p6_found,
     "p8_ids": p8_ids,
     "p9_pack": p9_pack,
