@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadloom.llm import canonical, packing, sentences, survivors, tokens
+from leadloom.llm import canonical, linkage, packing, sentences, survivors, tokens
 from leadloom.sources.tables import table
 
 
+def p3_matches(spark: SparkSession, folder: str) -> DataFrame:
+    return linkage.matched_people(table(spark, folder, "gtm_lead"), table(spark, folder, "person_record"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_matches(spark, folder).select("gtm_id", "person_id")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return survivors.surviving_values(table(spark, folder, "lead_record")).select("lead_id", "field", "ingest_seq")
 
@@ -31,6 +39,8 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": p3_found,
+    "p3_matches": p3_matches,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p8_ids": p8_ids,
