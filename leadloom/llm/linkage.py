@@ -44,9 +44,9 @@ NICKNAMES = {
     "toby": "tobias", "tony": "anthony", "ron": "ronald", "ken": "kenneth", "larry": "lawrence", "charlie": "charles", "chuck": "charles", "fred": "frederick", "gus": "gustav", "max": "maximilian", "nate": "nathan", "pete": "peter", "phil": "philip", "steve": "stephen", "zach": "zachary", "mandy": "amanda", "cathy": "catherine", "cindy": "cynthia",
 }
 #: share of a field in the score, by the first letter of its terms: C company, F given name, T title word; others 1
-SHARES = {"C": 0.25, "F": 0.5, "T": 0.2}
+SHARES = {"C": 0.1, "F": 0.3, "T": 0.1}
 #: least score of a match, as a part of the weight of a term of one lead
-LEAST_SCORE = 0.75
+LEAST_SCORE = 0.7
 #: of a lead's best score, what a record needs to be near it
 NEAR = 0.35
 LEAST_CONFIDENCE = 0.1
@@ -132,8 +132,8 @@ def title_words(title: str | None) -> list[str]:
     return sorted(out - {"of", "and", "the", "emea", "us", "eu"})
 
 
-def _features(first: str, last: str, mask: str, cores: list[str], heads: list[str], title: list[str]) -> tuple[list[str], ...]:
-    """The index terms of a record."""
+def _features(first: str, last: str, mask: str, cores: list[str], heads: list[str], title: list[str], asked: bool = False) -> list[str]:
+    """The index terms of a record; asked: as a query, where a full name needs no term of masked ones."""
     terms = []
     parts = [p for p in last.split("-") if p]
     whole = parts[0] if parts else ""
@@ -146,7 +146,9 @@ def _features(first: str, last: str, mask: str, cores: list[str], heads: list[st
         for part in parts:
             terms.append(f"K|{core}|{part}")
         if real and whole:
-            terms += [f"P|{core}|{first}|{whole[:3]}", f"S|{core}|{first}|{whole[-3:]}", f"M|{core}|{first}|{whole[:2]}{whole[-1]}"]
+            terms += [f"P|{core}|{first}|{whole[:3]}", f"S|{core}|{first}|{whole[-3:]}"]
+            if not asked:
+                terms.append(f"M|{core}|{first}|{whole[:2]}{whole[-1]}")
         if real and mask:
             terms.append(f"M|{core}|{first}|{mask[:2]}{mask[-1]}")
         terms.append(f"C|{core}")
@@ -202,7 +204,7 @@ def person_features(persons: DataFrame) -> DataFrame:
                 parts = (given, family, mask, cores, heads)
                 titles = title_words(title)
                 rows.append((member, _class_id(*parts, titles), *parts, titles))
-            out = [(*r, _features(*r[2:])) for r in rows]
+            out = [(*r, _features(*r[2:], asked=True)) for r in rows]
             yield pd.DataFrame(out, columns=["member", "class_id", "first", "last", "mask", "cores", "heads", "title", "terms"])
 
     rows = persons.select(F.col("person_id").alias("member"), "name", "first_name", "last_name", F.col("last_name_obfuscated").alias("hidden"), "title", "org_name", "org_website").filter(F.col("member").isNotNull())
@@ -357,7 +359,7 @@ def matched_people(leads: DataFrame, persons: DataFrame) -> DataFrame:
     near = scored.select("*", F.row_number().over(of_person).alias("place"), F.lead("score").over(of_person).alias("next"))
     near = near.withColumn("gap", F.col("score") - F.coalesce("next", F.lit(0.0)))
     best_of_lead = scored.groupBy("lead").agg(F.max("score").alias("best"))
-    near = near.join(best_of_lead, "lead").withColumn("label", F.col("label") & (F.col("place") == 1))
+    near = cut(near.join(best_of_lead, "lead").withColumn("label", F.col("label") & (F.col("place") == 1)))
     b0, b1, b2 = _fit(near.select("score", "gap", "label"))
     confidence = 1 / (1 + F.exp(-(F.lit(b0) + F.lit(b1) * F.col("score") + F.lit(b2) * F.col("gap"))))
     mutual = (F.col("place") == 1) & (F.col("score") >= NEAR * F.col("best"))
