@@ -49,4 +49,43 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_table": p7_table,
 }
 
-ORACLE: dict[str, str] = {}
+
+def _list_sql(value: str, out: str, keep: str, source: str) -> str:
+    """Rows of the elements of a JSON list with their places: a single object is a list of one, a string counts as the JSON it holds."""
+    decoded = f"case when json_type({value}) = 'VARCHAR' and json_valid({value} ->> '$') then ({value} ->> '$')::json else {value} end"
+    return f"""select {keep}, i as {out}_pos, case when json_type(v) = 'ARRAY' then v -> ('$[' || i || ']') else v end as {out} from (select {keep}, v, unnest(range((case json_type(v) when 'ARRAY' then json_array_length(v) when 'OBJECT' then 1 else 0 end)::bigint)) as i
+    from (select {keep}, {decoded} as v from {source}))"""
+
+
+def _leaf_sql(value: str) -> str:
+    return f"case json_type({value}) when 'OBJECT' then {value} ->> '$.name' when 'VARCHAR' then {value} ->> '$' end"
+
+
+def _child_sql(kind: str, field: str, leaf: str) -> str:
+    children = _list_sql(f"item -> '$.{field}'", "child", "page_id, item_pos, source_platform", "item")
+    return f"select page_id, item_pos as posting_pos, '{kind}' as kind, child_pos, {_leaf_sql(f"(child -> '$.{leaf}')")} as t from ({children}) where json_type(child) = 'OBJECT'"
+
+
+_FULL_SQL = f"""select page_id, item_pos as posting_pos, 'full_location' as kind, 0 as child_pos, {_leaf_sql("(child -> '$.fullLocation')")} as t
+    from ({_list_sql("item -> '$.location'", "child", "page_id, item_pos, source_platform", "item")}) where child_pos = 0 and source_platform = 'smartrecruiters'"""
+
+P1_SQL = f"""with raw as (select page_id, source_platform, regexp_replace(payload, '^[\\s\\x{{FEFF}}]+', '') as s from board_page where payload is not null),
+    parsed as (select page_id, source_platform, s::json as j from raw where json_valid(s)),
+    whole as (select page_id, source_platform, case when json_type(j) = 'VARCHAR' and json_valid(j ->> '$') then (j ->> '$')::json else j end as j from parsed),
+    outer_ as (select page_id, source_platform, coalesce(j -> '$.response', j) as j from whole), inner_ as (select page_id, source_platform, coalesce(j -> '$.data', j) as j from outer_),
+    root as (select page_id, source_platform, case when json_type(j -> '$.jobs') in ('ARRAY', 'OBJECT') then j -> '$.jobs' when json_type(j -> '$.content') in ('ARRAY', 'OBJECT') then j -> '$.content' else j end as l from inner_),
+    item as ({_list_sql("l", "item", "page_id, source_platform", "root")}),
+    found as ({" union all ".join(_child_sql(k, f, leaf) for k, (f, leaf) in nested.CHILDREN.items())} union all {_FULL_SQL})
+    select page_id, posting_pos, kind, child_pos::bigint as child_pos from found where regexp_matches(t, '[^\\s\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{3000}}]')"""
+
+#: the references that the titles hold are &nbsp; and &amp;; SQL has no decoder for all
+P4_SQL = """with runs as (select *, lag(run_seq) over w as prev, lead(run_seq) over w as next from (select distinct board_id, run_seq from board_snapshot where run_status = 'success') window w as (partition by board_id order by run_seq)),
+    rows_ as (select board_id, run_seq, lower(regexp_replace(id, '^[\\s\\x{A0}]+|[\\s\\x{A0}]+$', '', 'g')) as id, trim(regexp_replace(nfc_normalize(replace(replace(title, '&nbsp;', ' '), '&amp;', '&')), '[\\s\\x{A0}\\x{2000}-\\x{200A}\\x{202F}\\x{3000}]+', ' ', 'g')) as title,
+    epoch_us(cast(regexp_replace(trim(updated_at), '([+-][0-9][0-9])([0-9][0-9])$', '\\1:\\2') as timestamptz)) as moment, loaded_at from board_snapshot where run_status = 'success' and id is not null),
+    one as (select * exclude (k) from (select *, row_number() over (partition by board_id, run_seq, id order by moment desc nulls last, loaded_at desc, title desc) as k from rows_ where id <> '') where k = 1),
+    seen as (select o.*, prev, next, lag(run_seq) over w as seen_before, lead(run_seq) over w as seen_next, lag(title) over w as was, lag(moment) over w as was_moment from one o join runs using (board_id, run_seq) window w as (partition by board_id, id order by run_seq))
+    select board_id, run_seq::bigint as run_seq, id, 'added' as change from seen where prev is not null and seen_before is distinct from prev
+    union all select board_id, run_seq, id, 'changed' from seen where seen_before = prev and (was <> title or was_moment <> moment)
+    union all select board_id, next, id, 'removed' from seen where next is not null and seen_next is distinct from next"""
+
+ORACLE: dict[str, str] = {"p1_found": P1_SQL, "p4_found": P4_SQL}
