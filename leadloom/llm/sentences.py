@@ -61,6 +61,7 @@ _NUMBERED = re.compile(r"\s*\(?\d{1,3}[.)]\s")
 _SOFT_ITEM = re.compile(r"\s*(?:\d{1,3}\.\s|–\s)")
 _THAI = re.compile("[฀-๿]")
 _THAI_GAP = re.compile(r"(?<=\S)[^\S\n\r]+(?=\S)|(?<=\S)\s+(?=\S)")
+_DENSE = re.compile("[\u0e00-\u0e7f\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\uff01-\uff60]")
 _BLANK = "﻿"
 
 
@@ -100,6 +101,7 @@ class _Automaton:
 
     def __init__(self, text: str, begin: int, end: int) -> None:
         self.text, self.begin, self.end = text, begin, end
+        self.floor = begin  # where the current sentence begins: no word reaches behind it
         self.match = self._pairs()
 
     def _pairs(self) -> dict[int, int]:
@@ -158,7 +160,7 @@ class _Automaton:
     def _word(self, at: int) -> str:
         """The word before a period at the place given, lower case, inner periods kept."""
         text, i = self.text, at
-        while i > self.begin and not text[i - 1].isspace() and text[i - 1] not in "([{«“„\"'‘¿¡—–/（「『《,;:":
+        while i > self.floor and not text[i - 1].isspace() and text[i - 1] not in "([{«“„\"'‘¿¡—–/（「『《,;:":
             i -= 1
         return text[i:at]
 
@@ -173,9 +175,9 @@ class _Automaton:
         if gap or stop >= end:
             i = at - len(word)
             j = i
-            while j > self.begin and text[j - 1].isspace():
+            while j > self.floor and text[j - 1].isspace():
                 j -= 1
-            if j < i and j > self.begin and text[j - 1] == ".":
+            if j < i and j > self.floor and text[j - 1] == ".":
                 before = self._word(j - 1).lower()
         pair = f"{before}.{low}" if before else low
         if stop >= end:
@@ -216,7 +218,7 @@ class _Automaton:
             if following in MONTHS:
                 return False
             i = at - len(word)
-            previous = re.search(r"(\w+)\s*$", text[max(self.begin, i - 20) : i])
+            previous = re.search(r"(\w+)\s*$", text[max(self.floor, i - 20) : i])
             if previous and previous.group(1).lower() in ARTICLES:
                 return False
         return True
@@ -296,6 +298,7 @@ class _Automaton:
         emoji = _AFTER.match(self.text, stop, self.end)
         if emoji:
             stop = emoji.end()
+        self.floor = stop
         out.append(stop)
         return stop
 
@@ -321,27 +324,30 @@ def _blocks(text: str) -> Iterator[tuple[int, int]]:
     """Blocks of running text: lines, those of hard-wrapped paragraphs joined.
 
     A break is soft if the next line's first word didn't fit the text's width
-    (its longest line that is no list item, of 50 to 100 characters), the next
-    line is no list item and neither line is blank.
+    (its longest line of the kind, with or without a dense script, that is no
+    list item, of 50 to 100 characters), the next line is no list item and
+    neither line is blank.
     """
     lines, at = [], 0
     for brk in _LINE.finditer(text):
         lines.append((at, brk.start()))
         at = brk.end()
     lines.append((at, len(text)))
-    width = max((e - s for s, e in lines if not _ITEM.match(text, s, e)), default=0)
-    wrapped = 50 <= width <= 100 and len(lines) > 1
+    # scripts without spaces are wrapped by themselves, or not at all
+    dense = [bool(_DENSE.search(text, s, e)) for s, e in lines]
+    widths = [max((e - s for (s, e), d in zip(lines, dense, strict=True) if d == side and not _ITEM.match(text, s, e)), default=0) for side in (False, True)]
     begin = None
     for k, (s, e) in enumerate(lines):
         if begin is None:
             begin = s
-        if wrapped and k + 1 < len(lines):
+        width = widths[dense[k]]
+        if 50 <= width <= 100 and k + 1 < len(lines):
             ns, ne = lines[k + 1]
-            words = text[ns:ne].split(None, 1)
+            words = text[ns:ne].lstrip(" \t").split(" ", 1) if text[ns:ne].strip() else []  # no-break spaces hold words together
             if words and e - s <= width and text[s:e].strip():
                 first = words[0]
                 wide = ord(first[0]) >= 0x2E80
-                fits = (e - s) + (0 if wide else 1) + (1 if wide else min(len(first), 24)) <= width
+                fits = (e - s) + (0 if wide else 1) + (1 if wide else min(len(first), 48)) <= width
                 item = _ITEM.match(text, ns, ne)
                 if item and _SOFT_ITEM.match(text, ns, ne) and not fits:
                     # a number or dash that the wrapping brought to a line's start
