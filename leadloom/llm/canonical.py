@@ -175,6 +175,8 @@ class Canon:
 
     def _mention(self, words: list[str]) -> tuple[int, int, list[str]] | None:
         """The longest mention (the first of equals): entry, its number of words, the words left over."""
+        if not self.bags:
+            return None
         line = " " + " ".join(words) + " "
         best = None
         for end, (_, size, ref) in self.mentions.iter(line):
