@@ -2,7 +2,7 @@
 
 Method: a latent two-sided quality model. Every value of a field is a fact that
 is true or not; every kind of claim (field, source, identity flag, confidence
-band, verification) has a sensitivity (how often it names a true value it could
+band, verification, and of guessed addresses how they are made) has a sensitivity (how often it names a true value it could
 name) and a specificity (how often it leaves a false one alone), both inferred
 by expectation-maximisation over all groups. A field may have several true
 values over time; all values judged true are kept, and the survivor is the one
@@ -60,6 +60,15 @@ def title_value(text: Column) -> Column:
     return F.when((title != "") & ~title.isin(*NO_TITLES) & ~title.rlike(r"(?:…|\.\.\.)$") & title.rlike(r"\p{L}"), title)
 
 
+def address_shape(email: Column, name: Column) -> Column:
+    """How an address is made from a name: split (by a mark), joined (as long as
+    the whole name), short, or open (the name is written with an initial)."""
+    local = F.substring_index(email, "@", 1)
+    letters = F.length(F.regexp_replace(F.coalesce(name, F.lit("")), r"[^\p{L}]", ""))
+    initial = F.coalesce(name, F.lit("")).rlike(r"(?:^|\s)\p{L}\.?(?:\s|$|,)")
+    return F.when(local.rlike(r"[._-]"), "split").when(initial | (letters == 0), "open").when(F.length(local) >= letters - 1, "joined").otherwise("short")
+
+
 VALUES = {"email": ("email", email_value), "phone": ("phone", phone_value), "linkedin_url": ("linkedin_url", linkedin_value), "title": ("title_raw", title_value)}
 
 
@@ -71,8 +80,8 @@ def claims(records: DataFrame) -> DataFrame:
     kind = F.concat_ws("|", F.coalesce("source", F.lit("?")), weak, band)
     named = [F.struct(F.lit(field).alias("field"), fn(F.col(column)).alias("value")) for field, (column, fn) in VALUES.items()]
     checked = F.coalesce(F.col("email_status") == "verified", F.lit(False))
-    rows = records.filter(F.col("lead_id").isNotNull()).select("lead_id", kind.alias("kind"), checked.alias("verified"), "retrieved_at", "ingest_seq", F.inline(F.array(*named))).filter(F.col("value").isNotNull())
-    rows = rows.withColumn("verified", (F.col("field") == "email") & F.col("verified")).withColumn("kind", F.concat_ws("|", "field", "kind", F.when(F.col("field") == "email", F.col("verified").cast("string"))))
+    rows = records.filter(F.col("lead_id").isNotNull()).select("lead_id", "full_name", kind.alias("kind"), checked.alias("verified"), "retrieved_at", "ingest_seq", F.inline(F.array(*named))).filter(F.col("value").isNotNull())
+    rows = rows.withColumn("verified", (F.col("field") == "email") & F.col("verified")).withColumn("kind", F.concat_ws("|", "field", "kind", F.when(F.col("field") == "email", F.when(F.col("verified"), "verified").otherwise(F.concat(F.lit("guessed "), address_shape(F.col("value"), F.col("full_name")))))))
     return rows.groupBy("lead_id", "field", "value", "kind").agg(
         F.count("*").alias("n"), F.min("retrieved_at").alias("seen_first"), F.max("retrieved_at").alias("seen_last"), F.max("verified").alias("checked"), F.max("ingest_seq").alias("ingest_seq")
     )
@@ -156,12 +165,12 @@ def surviving_values(records: DataFrame) -> DataFrame:
     the surviving value of each field, and the last row that carries it.
 
     Of the values judged true the one seen last survives; addresses that a
-    backed claim calls verified count as true and go before guessed ones; of values seen last at the same time the later row.
+    backed claim calls verified count as true; of values seen last at the same time the later row.
     Leads without a usable true value of a field have no row for it; null lead
     ids are left out, exact repeats count as rows. Empty tables give none.
     """
     several = records.groupBy("lead_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("lead_id")
     judged = judged_values(records).filter(F.col("backed") & ((F.col("odds") >= LEAST_ODDS) | F.col("checked")))
-    best = Window.partitionBy("lead_id", "field").orderBy(F.desc("checked"), F.desc("seen_last"), F.desc("ingest_seq"), "value")
+    best = Window.partitionBy("lead_id", "field").orderBy(F.desc("seen_last"), F.desc("ingest_seq"), "value")
     first = judged.withColumn("place", F.row_number().over(best)).filter("place = 1")
     return first.join(several, "lead_id", "left_semi").select("lead_id", "field", "value", "ingest_seq", "odds")

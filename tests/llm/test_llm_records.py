@@ -60,7 +60,7 @@ def test_usable_values(spark, fn, values):
     assert {r[0]: r[1] for r in df.select("v", fn(df.v).alias("out")).collect()} == values
 
 
-LEADS = "ingest_seq long, lead_id string, source string, title_raw string, linkedin_url string, email string, email_status string, phone string, confidence double, retrieved_at timestamp, enrichment_status string, field string, value string"
+LEADS = "ingest_seq long, lead_id string, source string, full_name string, title_raw string, linkedin_url string, email string, email_status string, phone string, confidence double, retrieved_at timestamp, enrichment_status string, field string, value string"
 
 
 def lead_rows(spark, n=400):
@@ -74,12 +74,12 @@ def lead_rows(spark, n=400):
             seq, t = seq + 1, t + timedelta(days=rng.randint(1, 90))
             phone, title = ("+12125550" + f"{i:03}", "Clerk") if k < switch else ("+13035550" + f"{i:03}", "Manager")
             row = dict(phone=phone, title_raw=title, email=f"p{i}@c.example", linkedin_url=f"x.example/in/p{i}")
-            rows.append((seq, lead, rng.choice(["pdl", "apollo"]), title, row["linkedin_url"], row["email"], "verified", phone, 0.8, t, "enriched", "f", "v"))
+            rows.append((seq, lead, rng.choice(["pdl", "apollo"]), "P Q", title, row["linkedin_url"], row["email"], "verified", phone, 0.8, t, "enriched", "f", "v"))
             for field, column in (("phone", "phone"), ("title", "title_raw"), ("email", "email"), ("linkedin_url", "linkedin_url")):
                 last[lead, field] = seq
             if rng.random() < 0.5:
                 seq, t = seq + 1, t + timedelta(days=1)
-                rows.append((seq, lead, "pdl", f"Other {rng.random()}", f"x.example/in/other{seq}", f"o{seq}@c.example", "guessed", f"+1512{seq:07}", rng.choice([0.8, 0.1]), t, "enrichment_identity_weak", "f", "v"))
+                rows.append((seq, lead, "pdl", "O P", f"Other {rng.random()}", f"x.example/in/other{seq}", f"o{seq}@c.example", "guessed", f"+1512{seq:07}", rng.choice([0.8, 0.1]), t, "enrichment_identity_weak", "f", "v"))
         want |= last
     return spark.createDataFrame(rows, LEADS), want
 
@@ -98,12 +98,12 @@ def test_survivors_are_the_last_true_values(spark):
 def test_survivors_of_odd_rows(spark):
     t = datetime(2026, 1, 1)
     rows = [
-        (1, "once", "pdl", "T one", None, None, None, None, 0.9, t, "enriched", "f", "v"),
-        (2, "twice", "pdl", "T two", None, None, None, None, 0.9, t, "enriched", "f", "v"),
-        (2, "twice", "pdl", "T two", None, None, None, None, 0.9, t, "enriched", "f", "v"),
-        (3, "blank", "pdl", "n/a", None, None, None, None, None, None, None, "f", "v"),
-        (4, "blank", None, None, None, None, None, None, None, t, None, "f", "v"),
-        (5, None, "pdl", "T", None, None, None, None, 0.9, t, "enriched", "f", "v"),
+        (1, "once", "pdl", "A B", "T one", None, None, None, None, 0.9, t, "enriched", "f", "v"),
+        (2, "twice", "pdl", None, "T two", None, None, None, None, 0.9, t, "enriched", "f", "v"),
+        (2, "twice", "pdl", None, "T two", None, None, None, None, 0.9, t, "enriched", "f", "v"),
+        (3, "blank", "pdl", "A", "n/a", None, None, None, None, None, None, None, "f", "v"),
+        (4, "blank", None, None, None, None, None, None, None, None, t, None, "f", "v"),
+        (5, None, "pdl", "A", "T", None, None, None, None, 0.9, t, "enriched", "f", "v"),
     ]
     got = survivors.surviving_values(spark.createDataFrame(rows, LEADS)).collect()
     assert [(r.lead_id, r.field, r.ingest_seq) for r in got] == [("twice", "title", 2)]
