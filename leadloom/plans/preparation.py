@@ -7,23 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from leadloom.operators import drift, nested, snapshots, timestamps
-from leadloom.sources.tables import table
+from leadloom.sources.tables import spread, table
+
+
+def _pages(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "board_page").select("page_id", "source_platform", "payload"))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return nested.children_with_text(table(spark, folder, "board_page")).select("page_id", "posting_pos", "kind", "child_pos")
+    return nested.children_with_text(_pages(spark, folder)).select("page_id", "posting_pos", "kind", "child_pos")
 
 
 def p1_postings(spark: SparkSession, folder: str) -> DataFrame:
-    return nested.postings(table(spark, folder, "board_page"))
+    return nested.postings(_pages(spark, folder))
 
 
 def p1_children(spark: SparkSession, folder: str) -> DataFrame:
-    return nested.children(table(spark, folder, "board_page"))
+    return nested.children(_pages(spark, folder))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return timestamps.posting_instants(table(spark, folder, "raw_posting"), table(spark, folder, "company"))
+    return timestamps.posting_instants(spread(table(spark, folder, "raw_posting").select("raw_id", "company_id", *timestamps.TIME_FIELDS)), table(spark, folder, "company"))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

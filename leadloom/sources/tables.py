@@ -14,3 +14,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     if not naive:
         return df
     return df.select(*[F.col(f"`{c}`").cast("timestamp").alias(c) if c in naive else F.col(f"`{c}`") for c in df.columns])
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df with a partition per core at least, before work that costs far more
+    than moving the rows. A scan that already fills the cores is left alone, so
+    large inputs are never shuffled for this."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
