@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.functions import postings as P
-from leadloom.operators.nested import _decoded, _is_object, _let, parse_payload, posting_list
+from leadloom.operators import nested
 
 
 @dataclass(frozen=True)
@@ -51,28 +51,19 @@ def board_postings(pages: DataFrame) -> DataFrame:
     location_raw, posted_text, employment_type, description_raw. Elements that
     are no objects give no row; platforms without an adapter give none."""
 
-    def read(item: Column, paths: tuple[str, ...]) -> Column:
-        found = [F.try_variant_get(item, f"$.{p}", "string") for p in paths]
-        return F.coalesce(*found) if found else F.lit(None).cast("string")
-
-    def by_platform(item: Column, part: str) -> Column:
-        cases = F.when(F.lit(False), F.lit(None).cast("string"))
-        for name, board in BOARDS.items():
-            cases = cases.when(F.col("source_platform") == name, read(item, getattr(board, part)))
-        return cases
-
-    def row(v: Column, i: Column) -> Column:
-        return _let(
-            _decoded(v),
-            lambda x: F.struct(
-                i.cast("bigint").alias("posting_pos"), _is_object(x).alias("is_object"),
-                by_platform(x, "external_id").alias("external_id"), by_platform(x, "title").alias("title_raw"), by_platform(x, "url").alias("url"), by_platform(x, "department").alias("department_raw"),
-                by_platform(x, "location").alias("location_raw"), by_platform(x, "posted").alias("posted_text"), P.employment_type(by_platform(x, "employment")).alias("employment_type"), by_platform(x, "description").alias("description_raw"),
-            ),
-        )
+    parts = {"external_id": "external_id", "title": "title_raw", "url": "url", "department": "department_raw", "location": "location_raw", "posted": "posted_text", "employment": "employment_raw", "description": "description_raw"}
 
+    def read(item: str, part: str) -> str:
+        cases = "".join(f" when '{name}' then coalesce({', '.join(nested.field(item, p, 'string') for p in getattr(board, part))}, null)" for name, board in BOARDS.items() if getattr(board, part))
+        return f"case source_platform{cases} end"
+
+    def row(item: str, place: str) -> str:
+        return f"struct(cast({place} as bigint) as posting_pos, {nested.is_object(item)} as is_object, {', '.join(f'{read(item, p)} as {name}' for p, name in parts.items())})"
+
+    rows = nested.each(nested.posting_list(nested.parse_payload("payload")), lambda v, i: nested.let(nested.decoded(v), lambda x: row(x, i)))
     good = pages.filter(page_status(F.col("status_code"), F.col("payload")) == "success").filter(F.col("source_platform").isin(*BOARDS))
-    return good.select("page_id", "company_id", "source_platform", F.inline(F.transform(posting_list(parse_payload(F.col("payload"))), row))).filter("is_object").drop("is_object")
+    found = good.select("page_id", "company_id", "source_platform", F.expr(f"inline({rows})")).filter("is_object")
+    return found.withColumn("employment_type", P.employment_type(F.col("employment_raw"))).drop("is_object", "employment_raw")
 
 
 def normalized_postings(pages: DataFrame) -> DataFrame:

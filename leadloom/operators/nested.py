@@ -3,13 +3,17 @@
 One VARIANT parse per payload; nested ``transform`` calls attach the keys and
 indices of all ancestors to every child, ``flatten`` joins the arrays of one
 payload, and a single ``inline`` emits the rows of a target table.
+
+The expressions are written as SQL text: they nest deeply, and one parse of the
+text is far cheaper than thousands of calls that build the same tree.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Keys under which deliveries wrap the response (outer before inner).
@@ -22,110 +26,101 @@ CHILDREN = {
     "list": ("lists", "content"),
     "location": ("locations", "country"),
 }
-_CHILD_ROW = "array<struct<kind:string,child_pos:bigint,child_text:string>>"
+_CHILD_ROWS = "array<struct<kind:string,child_pos:bigint,child_text:string>>"
+_names = itertools.count()
+
+
+def let(value: str, body: Callable[[str], str]) -> str:
+    """``body(name)`` with value computed once (a lambda variable is not recomputed)."""
+    name = f"v{next(_names)}"
+    return f"transform(array({value}), {name} -> {body(name)})[0]"
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with value computed once (lambda variables are not recomputed)."""
-    return F.transform(F.array(value), body)[0]
+def each(array: str, body: Callable[[str, str], str]) -> str:
+    """``body(element, place)`` of every element."""
+    n = next(_names)
+    return f"transform({array}, (v{n}, i{n}) -> {body(f'v{n}', f'i{n}')})"
 
 
-def _field(v: Column, key: str, kind: str = "variant") -> Column:
-    return F.try_variant_get(v, f"$.{key}", kind)
+def field(v: str, path: str, kind: str = "variant") -> str:
+    return f"try_variant_get({v}, '$.{path}', '{kind}')"
 
 
-def _array(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "array<variant>")
+def _array(v: str) -> str:
+    return f"try_variant_get({v}, '$', 'array<variant>')"
 
 
-def _is_object(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+def is_object(v: str) -> str:
+    return f"(try_variant_get({v}, '$', 'map<string,variant>') is not null)"
 
 
-def _decoded(v: Column) -> Column:
+def decoded(v: str) -> str:
     """JSON held in a string counts as what it holds, up to two levels of strings."""
 
-    def once(x: Column) -> Column:
-        text = F.try_variant_get(x, "$", "string")
-        inner = F.regexp_replace(text, r"^[\s\ufeff]+", "")
-        holds = _array(x).isNull() & ~_is_object(x) & F.substring(inner, 1, 1).isin("{", "[", '"')
-        return F.when(holds, F.coalesce(F.try_parse_json(inner), x)).otherwise(x)
+    def once(x: str) -> str:
+        inner = rf"regexp_replace(try_variant_get({x}, '$', 'string'), r'^[\s\x{{FEFF}}]+', '')"
+        return f"case when {_array(x)} is null and not {is_object(x)} and left({inner}, 1) in ('{{', '[', '\"') then coalesce(try_parse_json({inner}), {x}) else {x} end"
 
-    return _let(_let(v, once), once)
+    return let(let(v, once), once)
 
 
-def _as_list(v: Column) -> Column:
+def _as_list(v: str) -> str:
     """A list of children: the array, or a single object in place of one; else null."""
-    return _let(_decoded(v), lambda x: F.coalesce(_array(x), F.when(_is_object(x), F.array(x))))
+    return let(decoded(v), lambda x: f"coalesce({_array(x)}, case when {is_object(x)} then array({x}) end)")
 
 
-def _text(v: Column) -> Column:
+def _text(v: str) -> str:
     """The text of a leaf: an object counts by its name, an array holds none."""
-    return _let(
-        _decoded(v),
-        lambda x: F.when(_array(x).isNotNull(), F.lit(None).cast("string")).otherwise(
-            F.when(_is_object(x), F.try_variant_get(x, "$.name", "string")).otherwise(F.try_variant_get(x, "$", "string"))
-        ),
-    )
+    return let(decoded(v), lambda x: f"case when {_array(x)} is not null then null when {is_object(x)} then {field(x, 'name', 'string')} else try_variant_get({x}, '$', 'string') end")
 
 
-def parse_payload(payload: Column) -> Column:
+def parse_payload(payload: str) -> str:
     """The response as VARIANT, unwrapped; null for text that is not complete JSON.
 
     Spark's parser stops at the end of the first value, so text after it is
     looked for by the last character.
     """
-    body = F.regexp_replace(payload, r"^[\s\ufeff]+|[\s\ufeff]+$", "")
-    closed = F.when(F.substring(body, 1, 1) == "{", body.endswith("}")).when(F.substring(body, 1, 1) == "[", body.endswith("]")).otherwise(F.lit(True))
 
-    def unwrap(v: Column) -> Column:
-        inner = F.coalesce(*[_field(v, k) for k in WRAPPERS])
-        return _decoded(F.coalesce(inner, v))
+    def whole(body: str) -> str:
+        closed = f"case left({body}, 1) when '{{' then right({body}, 1) = '}}' when '[' then right({body}, 1) = ']' else true end"
+        return f"case when {closed} then try_parse_json({body}) end"
 
-    root = _decoded(F.when(closed, F.try_parse_json(body)))
+    body = rf"regexp_replace({payload}, r'^[\s\x{{FEFF}}]+|[\s\x{{FEFF}}]+$', '')"
+    root = decoded(let(body, whole))
     for _ in range(3):
-        root = _let(root, unwrap)
+        root = let(root, lambda v: decoded(f"coalesce({', '.join(field(v, k) for k in WRAPPERS)}, {v})"))
     return root
 
 
-def posting_list(root: Column) -> Column:
+def posting_list(root: str) -> str:
     """The posting list of a response, single objects as one-element lists."""
-    return _let(root, lambda v: F.coalesce(*[_as_list(_field(v, k)) for k in LIST_KEYS], _as_list(v)))
+    return let(root, lambda v: f"coalesce({', '.join(_as_list(field(v, k)) for k in LIST_KEYS)}, {_as_list(v)})")
 
 
-def _children(item: Column, platform: Column) -> Column:
-    def of(kind: str, field: str, leaf: str) -> Column:
-        rows = F.transform(
-            _as_list(_field(item, field)),
-            lambda c, j: F.struct(F.lit(kind).alias("kind"), j.cast("bigint").alias("child_pos"), _text(_field(_decoded(c), leaf)).alias("child_text")),
-        )
-        return F.coalesce(rows, F.array().cast(_CHILD_ROW))
+def _children(item: str, place: str) -> str:
+    """The child rows of one posting."""
 
-    place = _let(_as_list(_field(item, "location")), lambda a: F.try_element_at(a, F.lit(1)))
-    full = F.when(
-        platform == "smartrecruiters",
-        F.array(F.struct(F.lit("full_location").alias("kind"), F.lit(0).cast("bigint").alias("child_pos"), _text(_field(_decoded(place), "fullLocation")).alias("child_text"))),
-    )
-    return F.flatten(F.array(*[of(k, f, leaf) for k, (f, leaf) in CHILDREN.items()], F.coalesce(full, F.array().cast(_CHILD_ROW))))
+    def of(kind: str, name: str, leaf: str) -> str:
+        rows = each(_as_list(field(item, name)), lambda c, j: f"struct('{kind}' as kind, cast({j} as bigint) as child_pos, {_text(field(decoded(c), leaf))} as child_text)")
+        return f"coalesce({rows}, cast(array() as {_CHILD_ROWS}))"
+
+    first = let(_as_list(field(item, "location")), lambda a: f"try_element_at({a}, 1)")
+    full = f"case when source_platform = 'smartrecruiters' then array(struct('full_location' as kind, cast(0 as bigint) as child_pos, {_text(field(decoded(first), 'fullLocation'))} as child_text)) else cast(array() as {_CHILD_ROWS}) end"
+    rows = f"flatten(array({', '.join(of(k, f, leaf) for k, (f, leaf) in CHILDREN.items())}, {full}))"
+    return each(rows, lambda c, _: f"struct(cast({place} as bigint) as posting_pos, {c}.kind as kind, {c}.child_pos as child_pos, {c}.child_text as child_text)")
 
 
 def postings(pages: DataFrame) -> DataFrame:
     """One row per element of a page's posting list: page_id, posting_pos,
     external_id, title, is_posting (the element is an object). Pages without a
     readable payload give no rows."""
-    rows = F.transform(
-        posting_list(parse_payload(F.col("payload"))),
-        lambda v, i: _let(
-            _decoded(v),
-            lambda x: F.struct(
-                i.cast("bigint").alias("posting_pos"),
-                F.coalesce(_field(x, "id", "string"), _field(x, "shortcode", "string")).alias("external_id"),
-                F.coalesce(_field(x, "title", "string"), _field(x, "text", "string"), _field(x, "name", "string")).alias("title"),
-                _is_object(x).alias("is_posting"),
-            ),
-        ),
-    )
-    return pages.select("page_id", F.inline(rows))
+
+    def row(x: str, i: str) -> str:
+        first = lambda *keys: "coalesce(" + ", ".join(field(x, k, "string") for k in keys) + ")"
+        return f"struct(cast({i} as bigint) as posting_pos, {first('id', 'shortcode')} as external_id, {first('title', 'text', 'name')} as title, {is_object(x)} as is_posting)"
+
+    rows = each(posting_list(parse_payload("payload")), lambda v, i: let(decoded(v), lambda x: row(x, i)))
+    return pages.select("page_id", F.expr(f"inline({rows})"))
 
 
 def children(pages: DataFrame) -> DataFrame:
@@ -137,19 +132,8 @@ def children(pages: DataFrame) -> DataFrame:
     a null or blank child_text; null, unreadable or incomplete payloads give no
     rows; repeated pages keep their own rows by page_id.
     """
-    rows = F.flatten(
-        F.transform(
-            posting_list(parse_payload(F.col("payload"))),
-            lambda v, i: _let(
-                _decoded(v),
-                lambda x: F.transform(
-                    _children(x, F.col("source_platform")),
-                    lambda c: F.struct(i.cast("bigint").alias("posting_pos"), c["kind"].alias("kind"), c["child_pos"].alias("child_pos"), c["child_text"].alias("child_text")),
-                ),
-            ),
-        )
-    )
-    return pages.select("page_id", F.inline(rows))
+    rows = each(posting_list(parse_payload("payload")), lambda v, i: let(decoded(v), lambda x: _children(x, i)))
+    return pages.select("page_id", "source_platform", "payload").select("page_id", F.expr(f"inline(flatten({rows}))"))
 
 
 def children_with_text(pages: DataFrame) -> DataFrame:
