@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadloom.session import cut
+
 #: JSON types as bits of a set
 TYPE_BITS = {"null": 0, "boolean": 1, "number": 2, "string": 4, "array": 8}
 
@@ -156,7 +158,7 @@ def schema_changes(records: DataFrame) -> DataFrame:
     'type_changed' (the sets of JSON types of the non-null values differ, both
     non-empty). new_field is '' unless renamed. The first file of a board and
     empty tables have no changes; extra columns are ignored."""
-    versions = file_versions(records).filter(F.col("before").isNotNull())
+    versions = cut(file_versions(records).filter(F.col("before").isNotNull()))  # a row per file, used twice
     renamed = renamed_fields(records, versions)
     named = renamed.groupBy("board_id", "file_seq").agg(F.collect_list(F.struct("field", "new_field")).alias("renames"))
     told = versions.join(named, ["board_id", "file_seq"], "left").withColumn("renames", F.coalesce("renames", F.array().cast("array<struct<field:string,new_field:string>>")))
