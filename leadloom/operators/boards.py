@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import postings as P
 from leadloom.operators import nested
+from leadloom.operators.timestamps import zoned_micros
 
 
 @dataclass(frozen=True)
@@ -67,12 +68,12 @@ def board_postings(pages: DataFrame) -> DataFrame:
 
 
 def normalized_postings(pages: DataFrame) -> DataFrame:
-    """board_postings with title, function, seniority, places and job key."""
+    """board_postings with title, function, seniority, places, job key and the instant of posting (zone-less texts as UTC)."""
     found = board_postings(pages).withColumn("title", P.canonical_title(F.col("title_raw")))
     return found.select(
         "page_id", "posting_pos", "company_id", "source_platform", "title",
         P.function_class(F.col("title"), F.col("department_raw")).alias("function"), P.seniority_class(F.col("title")).alias("seniority"), P.places(F.col("location_raw")).alias("places"),
-        P.job_key(F.col("company_id"), F.col("source_platform"), F.col("external_id"), F.col("url"), F.col("title"), F.col("department_raw")).alias("job_id"), "employment_type", "posted_text",
+        P.job_key(F.col("company_id"), F.col("source_platform"), F.col("external_id"), F.col("url"), F.col("title"), F.col("department_raw")).alias("job_id"), "employment_type", zoned_micros(F.col("posted_text")).alias("posted_micros"),
     )
 
 

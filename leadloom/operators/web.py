@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from leadloom.functions import rules
 from leadloom.operators.tables import top_rows
 
+#: keys under which captured responses keep their job list
+LIST_KEYS = ("jobs", "postings", "results", "data", "items", "content", "offers")
 _VOID = set("area base br col embed hr img input link meta source track wbr".split())
 _HIDDEN = ("script", "style", "noscript", "template")
 _CHROME = ("nav", "header", "footer")
@@ -227,3 +229,33 @@ def resolved_source(candidates: DataFrame) -> DataFrame:
     validated stops the ladder. status: resolved, needs_review or unvalidated."""
     first = top_rows(candidates, ["company_id"], [F.col("ladder"), F.col("url")], 1).drop("place")
     return first.withColumn("status", F.when(~F.col("validated"), "unvalidated").when(F.col("confidence") < 0.5, "needs_review").otherwise("resolved"))
+
+
+def next_data_postings(read: DataFrame) -> DataFrame:
+    """page_id, item_pos, external_id, title, url of job items in embedded page
+    data: the items of the query whose key names job posts."""
+    queries = F.try_variant_get(F.try_parse_json("next_data"), "$.props.pageProps.dehydratedState.queries", "array<variant>")
+    jobs = F.filter(queries, lambda q: F.try_variant_get(q, "$.queryKey[2]", "string") == "job-posts")
+    items = F.flatten(F.transform(jobs, lambda q: F.coalesce(F.try_variant_get(q, "$.state.data.items", "array<variant>"), F.array().cast("array<variant>"))))
+    rows = read.select("page_id", F.posexplode(items).alias("item_pos", "item"))
+    return rows.select("page_id", F.col("item_pos").cast("bigint").alias("item_pos"), *[F.try_variant_get("item", f"$.{k}", "string").alias(n) for k, n in (("id", "external_id"), ("name", "title"), ("url", "url"))])
+
+
+def captured_postings(captured: DataFrame) -> DataFrame:
+    """page_id, item_pos, title, url of the first captured response (page_id,
+    pos, body) of a page that looks like a job list: a list, or the first list
+    under a usual key, of whose items half or more, one at least, have a title."""
+    body = F.try_parse_json("body")
+    lists = F.coalesce(F.try_variant_get(body, "$", "array<variant>"), *[F.try_variant_get(body, f"$.{k}", "array<variant>") for k in LIST_KEYS])
+    title = lambda v: F.coalesce(*[F.try_variant_get(v, f"$.{k}", "string") for k in ("title", "name", "text")])
+    named = captured.select("page_id", "pos", lists.alias("items")).withColumn("titled", F.size(F.filter("items", lambda v: title(v).isNotNull())))
+    good = named.filter((F.col("titled") >= F.greatest(F.lit(1), F.floor(F.size("items") / 2))))
+    first = top_rows(good, ["page_id"], [F.col("pos")], 1)
+    rows = first.select("page_id", F.posexplode("items").alias("item_pos", "item"))
+    return rows.select("page_id", F.col("item_pos").cast("bigint").alias("item_pos"), title(F.col("item")).alias("title"), F.coalesce(*[F.try_variant_get("item", f"$.{k}", "string") for k in ("url", "absolute_url", "hostedUrl", "jobUrl")]).alias("url"))
+
+
+def sitemap_candidates(read: DataFrame) -> DataFrame:
+    """page_id, link: the first address of a sitemap whose path is like a careers page's."""
+    rows = read.select("page_id", F.posexplode("sitemap").alias("pos", "link")).filter(F.col("link").rlike(rules.LINK_HREF))
+    return rows.groupBy("page_id").agg(F.min_by("link", "pos").alias("link"))

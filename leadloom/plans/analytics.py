@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from leadloom.functions import postings as P
 from leadloom.functions import rules
 from leadloom.operators import boards, matching, runs, web
-from leadloom.operators.tables import keyed_scan, latest_per_key, top_rows, without
+from leadloom.operators.tables import admitted, first_with_word, keyed_scan, last_known, latest_per_key, top_rows, without
 from leadloom.sources.files import csv_rows
 from leadloom.sources.tables import table
 from leadloom.streaming.changes import windowed_counts
@@ -114,6 +114,28 @@ def superseded_leads(spark: SparkSession, folder: str) -> DataFrame:
     return pair.filter("name1 <> name2").select(F.col("gtm_id1").alias("gtm_id"), F.col("gtm_id2").alias("superseded_gtm_id"))
 
 
+@query(
+    """select lead_id, arg_max(email, ingest_seq) filter (email is not null) as email, arg_max(phone, ingest_seq) filter (phone is not null) as phone, arg_max(linkedin_url, ingest_seq) filter (linkedin_url is not null) as linkedin_url,
+    arg_max(location_raw, ingest_seq) filter (location_raw is not null) as location_raw from lead_record where lead_id is not null group by 1"""
+)
+def last_known_fields(spark: SparkSession, folder: str) -> DataFrame:
+    return last_known(table(spark, folder, "lead_record"), ["lead_id"], "ingest_seq", ["email", "phone", "linkedin_url", "location_raw"])
+
+
+@query("select ingest_seq, company_id, row_number() over (partition by company_id order by ingest_seq) <= 25 as admitted from lead_record")
+def budget_admission(spark: SparkSession, folder: str) -> DataFrame:
+    return admitted(table(spark, folder, "lead_record").select("ingest_seq", "company_id"), ["company_id"], [F.col("ingest_seq")], 25)
+
+
+@query(
+    """select company_id, doc_id, holds from (select company_id, doc_id, coalesce(contains(lower(text), 'hiring'), false) as holds, row_number() over (partition by company_id order by not coalesce(contains(lower(text), 'hiring'), false), doc_id) k
+    from documents where doc_kind = 'context' and company_id is not null) where k = 1"""
+)
+def context_signals(spark: SparkSession, folder: str) -> DataFrame:
+    context = table(spark, folder, "documents").filter("doc_kind = 'context' and company_id is not null").select("company_id", "doc_id", "text")
+    return first_with_word(context, ["company_id"], "text", "hiring", "doc_id")
+
+
 # --- normalisation ----------------------------------------------------------
 
 
@@ -438,6 +460,26 @@ def careers_validation(spark: SparkSession, folder: str) -> DataFrame:
     return web.is_careers_page(web.read_pages(_pages(spark, folder)))
 
 
+@query("select cast(substr(id, 4) as bigint) as page_id, 'lever' as platform, nullif(regexp_extract('https://jobs.lever.co/' || domain, '(?i)jobs\\.lever\\.co/([\\w-]+)', 1), '') as token from company")
+def board_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    links = web.best_anchor(web.read_pages(_pages(spark, folder)))
+    platform = web.platform_of_host(web.host_of(F.col("link")))
+    return links.select("page_id", platform.alias("platform"), web.board_token(platform, F.col("link")).alias("token"))
+
+
+_PERSONAS = {f: ",".join(sorted({*titles, *rules.FOUNDER_TITLES, *rules.RECRUITING_TITLES})) for f, titles in rules.OWNER_TITLES.items()}
+
+
+@query(
+    f"""with t(function, titles) as (values {', '.join(f"('{f}', '{t}')" for f, t in _PERSONAS.items())})
+    select company.domain as domain, count(distinct title) as personas from gtm_lead join t on job.function = t.function, unnest(string_split(titles, ',')) u(title) group by 1"""
+)
+def personas_for_company(spark: SparkSession, folder: str) -> DataFrame:
+    titles = F.split(F.create_map(*[F.lit(x) for kv in _PERSONAS.items() for x in kv])[F.col("function")], ",")
+    wanted = table(spark, folder, "gtm_lead").select(F.col("company.domain").alias("domain"), "job.function").filter(F.col("function").isin(*_PERSONAS)).distinct()
+    return wanted.select("domain", F.explode(titles).alias("title")).groupBy("domain").agg(F.countDistinct("title").alias("personas"))
+
+
 # --- events -----------------------------------------------------------------
 
 

@@ -148,3 +148,23 @@ def test_streams_equal_batches(spark, tmp_path):
     assert got == {(2, "a", "removed"), (2, "c", "added"), (3, "b", "removed")}
     events = spark.createDataFrame([(T0, "x", 1.0), (T0.replace(minute=59), "x", 2.0), (T0.replace(hour=1), "x", 4.0)], "ts timestamp, event_type string, value double")
     assert sorted((r.n, r.total) for r in changes.windowed_counts(events).collect()) == [(1, 4.0), (2, 3.0)]
+
+
+def test_embedded_and_captured_lists(spark):
+    data = '{"props": {"pageProps": {"dehydratedState": {"queries": [{"queryKey": ["a", "b", "job-posts"], "state": {"data": {"items": [{"id": 1, "name": "Dev", "url": "u"}]}}}, {"queryKey": []}]}}}}'
+    html = f"<script id='__NEXT_DATA__' type='application/json'>{data}</script>"
+    site = "<urlset><url><loc> https://a.example/about </loc></url><url><loc>https://a.example/careers</loc></url><url><loc>https://a.example/jobs</loc></url></urlset>"
+    read = web.read_pages(spark.createDataFrame([(1, "https://a.example", html), (2, "https://a.example/sitemap.xml", site)], "page_id long, url string, html string"))
+    assert [tuple(r) for r in web.next_data_postings(read).collect()] == [(1, 0, "1", "Dev", "u")]
+    assert [tuple(r) for r in web.sitemap_candidates(read).collect()] == [(2, "https://a.example/careers")]
+    bodies = [(1, 0, '{"user": 1}'), (1, 1, '{"results": [{"title": "A", "url": "x"}, {"n": 1}]}'), (1, 2, '[{"title": "B"}]'), (2, 0, "not json"), (2, 1, '[{"a": 1}, {"b": 2}, {"title": "C"}, {}]')]
+    got = web.captured_postings(spark.createDataFrame(bodies, "page_id long, pos int, body string")).collect()
+    assert sorted((r.page_id, r.item_pos, r.title, r.url) for r in got) == [(1, 0, "A", "x"), (1, 1, None, None)]
+
+
+def test_last_known_admitted_and_first_with_word(spark):
+    log = spark.createDataFrame([("a", 1, "x", None), ("a", 2, None, "p"), ("a", 3, None, None), (None, 4, "z", "z")], "k string, n int, e string, f string")
+    assert [tuple(r) for r in tables.last_known(log, ["k"], "n", ["e", "f"]).collect()] == [("a", "x", "p")]
+    assert [r.admitted for r in tables.admitted(log.filter("k = 'a'"), ["k"], [F.col("n")], 2).orderBy("n").collect()] == [True, True, False]
+    docs = spark.createDataFrame([("c", 1, "no"), ("c", 2, "We are Hiring"), ("d", 5, None)], "c string, n int, t string")
+    assert {tuple(r) for r in tables.first_with_word(docs, ["c"], "t", "hiring", "n").collect()} == {("c", 2, True), ("d", 5, False)}
