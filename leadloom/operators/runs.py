@@ -27,7 +27,8 @@ def coverage(runs: DataFrame) -> DataFrame:
     ok = F.col("status") == "success"
     over_runs = runs.agg(F.count("*").alias("runs"), rate(F.count_if(ok), F.count("*")).alias("success_rate"))
     last = latest_run(runs).agg(F.count("*").alias("companies"), rate(F.count_if(ok), F.count("*")).alias("covered_rate"), rate(F.count_if(ok & (F.col("jobs_found") == 0)), F.count_if(ok)).alias("empty_rate"))
-    return over_runs.crossJoin(last)  # one row each
+    both = over_runs.unionByName(last, allowMissingColumns=True)  # one row each
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def status_counts(runs: DataFrame) -> DataFrame:
