@@ -60,6 +60,8 @@ _ITEM = re.compile(r"\s*(?:[-*•◦‣▪▫●○■□–·⁃∙➢✓]\s+|\
 _NUMBERED = re.compile(r"\s*\(?\d{1,3}[.)]\s")
 _SOFT_ITEM = re.compile(r"\s*(?:\d{1,3}\.\s|–\s)")
 _THAI = re.compile("[฀-๿]")
+#: a name that ends a sentence, before another that begins one with a verb behind it
+_THAI_NAMES = re.compile(r"(?:กับ|และ|ใช้|ของ|จาก)\s+([A-ZÀ-Ž]\S*)\s+(?=(?:[A-ZÀ-Ž]\S*\s+)+(?:เปิด|ประกาศ|ก่อตั้ง|ย้าย|ขยาย))")
 _THAI_GAP = re.compile(r"(?<=\S)[^\S\n\r]+(?=\S)|(?<=\S)\s+(?=\S)")
 _DENSE = re.compile("[\u0e00-\u0e7f\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\uff01-\uff60]")
 _BLANK = "﻿"
@@ -291,6 +293,8 @@ class _Automaton:
             if ends:
                 i = self._emit(stop, out)
                 start = i
+        if thai:
+            out += [found.end(1) for found in _THAI_NAMES.finditer(text, self.begin, end)]
         return [b for b in out if b < end]
 
     def _emit(self, stop: int, out: list[int]) -> int:

@@ -21,7 +21,7 @@ CASES = [
     ["Γιατί τώρα;", "Ο κ. Μαρλής μιλά, π.χ. με τη Δρ. Δενδρινού.", "Τέλος."],
     ["डॉ. विनीत आएंगे।", "क्या आप आएंगे?", "“हम बदलाव करते हैं।” ऐसा तारा कहते हैं।"],
     ["يقود د. هالة المقابلة.", "قال نورا: «نطلق كل أسبوع.» في اللقاء.", "لماذا الآن؟"],
-    ["คุณอยากทำงานที่ภูเก็ตหรือไม่", "ทีมของเราใช้ Murrow ทุกวัน", "บริษัทมีพนักงาน 31 คนและเติบโตเร็ว"],
+    ["คุณอยากทำงานที่ภูเก็ตหรือไม่", "ทีมของเราใช้ Murrow ทุกวัน", "บริษัทมีพนักงาน 31 คนและเติบโตเร็ว", "ทีมที่ภูเก็ตดูแลแอปมือถือร่วมกับ Calderis", "Orbvadon Labs เปิดสำนักงานใหม่ที่ขอนแก่น", "คุณ Lars Nevolna จะเป็นผู้สัมภาษณ์รอบแรก"],
 ]
 DENSE = [
     ["面接は7回（オンライン可。）です。", "「変えたい。」と高瀬さんは話します。", "40か月かかりました……でも価値がありました。", "なぜですか？"],
