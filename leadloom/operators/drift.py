@@ -214,6 +214,23 @@ def _as_text(value: object) -> str | None:
     return _content(value)
 
 
+def _routed(record: dict, route: dict[str, str]) -> dict[str, str | None]:
+    """The values of a record under their targets. No value replaces another: where
+    two fields lead to one name, the non-null one that bears it keeps it, and the
+    other stays under its own path, numbered if that is taken too."""
+    values: dict[str, str | None] = {}
+    for path, value in sorted(_leaves(record), key=lambda leaf: (leaf[1] is None, leaf[0] in route)):
+        name = route.get(path, path)
+        if name in values:
+            if value is None:
+                continue
+            name, n = path, 2
+            while name in values:
+                name, n = f"{path}#{n}", n + 1
+        values[name] = _as_text(value)
+    return values
+
+
 def _table_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
@@ -221,8 +238,7 @@ def _table_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             record = _record(text)
             if record is None:
                 continue
-            route = dict(routes) if routes is not None else {}
-            values = {route.get(p, p): _as_text(v) for p, v in _leaves(record)}
+            values = _routed(record, dict(routes) if routes is not None else {})
             rows.append((board, seq, line, file_id, _as_text(record.get("id")), values))
         yield pd.DataFrame(rows, columns=["board_id", "file_seq", "line_no", "file_id", "record_id", "fields"])
 
@@ -239,6 +255,7 @@ def consistent_table(records: DataFrame, changes: DataFrame) -> DataFrame:
     default to null; one-element arrays are cast to their element, numbers and
     booleans to text; ``remote`` is cast to boolean from true/yes/1 and
     false/no/0. Records delivered twice keep their own rows by file_id and line_no.
+    Values of fields without a proven rename are in ``fields`` under their own names.
     """
     routes = field_routes(records, changes).filter(F.col("field") != F.col("target")).groupBy("board_id", "file_seq").agg(F.map_from_entries(F.collect_list(F.struct("field", "target"))).alias("routes"))
     rows = records.select("board_id", F.col("file_seq").cast("bigint").alias("file_seq"), F.col("line_no").cast("bigint").alias("line_no"), "file_id", "record").join(routes, ["board_id", "file_seq"], "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from leadloom.operators import drift, nested, snapshots, timestamps
 from leadloom.sources.tables import spread, table
@@ -39,8 +40,11 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_table(spark: SparkSession, folder: str) -> DataFrame:
+    """consistent_table with ``fields`` as JSON text, its keys in order: maps can't be sorted or compared."""
     records = table(spark, folder, "board_record")
-    return drift.consistent_table(records, drift.schema_changes(records)).drop("fields")
+    whole = drift.consistent_table(records, drift.schema_changes(records))
+    in_order = F.map_from_entries(F.array_sort(F.map_entries("fields")))
+    return whole.withColumn("fields", F.to_json(in_order, {"ignoreNullFields": "false"}))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -1,6 +1,7 @@
 import json
 
 from leadloom.operators import drift
+from leadloom.plans import preparation
 
 SCHEMA = "file_id string, board_id string, file_seq int, line_no int, record string, field string"
 
@@ -42,3 +43,28 @@ def test_consistent_table_chains_renames(spark):
     records = table(spark, files)
     got = drift.consistent_table(records, drift.schema_changes(records)).orderBy("file_seq").collect()
     assert [(r.file_seq, r.remote, r.workplace_type) for r in got] == [(1, True, "remote"), (2, True, "remote"), (3, True, "onsite")]
+
+
+def test_p7_table_holds_every_field(spark, tmp_path):
+    # no shared id proves the rename of remote in file 2
+    files = {
+        1: [{"id": "x", "remote": True, "text": "Ä \"q\"", "owner": {"name": "o"}, "tags": ["a", "b"], "salaryMin": 1.5}],
+        2: [{"id": "y", "remoteOk": True, "text": None, "owner": {"name": ["p"]}, "tags": []}],
+        3: [{}],
+    }
+    table(spark, files).write.parquet(str(tmp_path / "board_record.parquet"))
+    got = preparation.p7_table(spark, str(tmp_path)).orderBy("file_seq").collect()
+    assert [r.remote for r in got] == [True, None, None]
+    assert [json.loads(r.fields) for r in got] == [
+        {"id": "x", "remote": "true", "text": "Ä \"q\"", "owner.name": "o", "tags": '["a","b"]', "salaryMin": "1.5"},
+        {"id": "y", "remoteOk": "true", "text": None, "owner.name": "p", "tags": "[]"},
+        {},
+    ]
+
+
+def test_fields_of_one_target_keep_their_values(spark):
+    files = {1: [{"id": "x", "remote": True}], 2: [{"id": "x", "isRemote": True}], 3: [{"id": "x", "remote": "no", "isRemote": True, "a.b": 1, "a": {"b": 2}}, {"id": "y", "remote": None, "isRemote": True}]}
+    records = table(spark, files)
+    got = drift.consistent_table(records, drift.schema_changes(records)).filter("file_seq = 3").orderBy("line_no").collect()
+    assert [r.remote for r in got] == [False, True]
+    assert [r.fields for r in got] == [{"id": "x", "remote": "no", "isRemote": "true", "a.b": "1", "a.b#2": "2"}, {"id": "y", "remote": "true"}]
