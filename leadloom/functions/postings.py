@@ -74,11 +74,15 @@ def job_key(company: Column, platform: Column, external_id: Column, url: Column,
     return F.coalesce(F.concat(company, F.lit(":"), platform, F.lit(":"), given(external_id)), F.concat(company, F.lit(":url:"), short(given(url))), F.concat(company, F.lit(":hash:"), short(rest)))
 
 
+def one_place(text: Column) -> Column:
+    return F.struct(text.alias("place"), F.lower(text).contains("remote").alias("is_remote"))
+
+
 def places(raw: Column) -> Column:
     """The places of a location text, split at slashes and semicolons, with a
     flag for remote ones: array of place, is_remote."""
     parts = F.filter(F.transform(F.split(raw, r"\s*[/;]\s*"), lambda p: F.trim(p)), lambda p: p != "")
-    return F.transform(parts, lambda p: F.struct(p.alias("place"), F.lower(p).contains("remote").alias("is_remote")))
+    return F.transform(parts, one_place)
 
 
 def contact_key(email: Column, name: Column, domain: Column) -> Column:

@@ -25,13 +25,16 @@ class Board:
     employment: tuple[str, ...] = ()
     description: tuple[str, ...] = ()
     workplace: tuple[str, ...] = ()
+    #: lists of places: of all places of the posting, and of those beside its location
+    all_places: tuple[str, ...] = ()
+    more_places: tuple[str, ...] = ()
 
 
 #: platform adapters; add an entry to support another board
 BOARDS = {
     "greenhouse": Board(("id",), ("title",), ("absolute_url",), ("departments[0].name",), ("location.name",), ("first_published", "updated_at"), description=("content",)),
-    "lever": Board(("id",), ("text",), ("hostedUrl",), ("categories.department",), ("categories.location",), ("createdAt",), ("categories.commitment",), ("description",), ("workplaceType",)),
-    "ashby": Board(("id",), ("title",), ("jobUrl",), ("department",), ("location",), ("publishedAt",), ("employmentType",), ("descriptionHtml",), ("workplaceType",)),
+    "lever": Board(("id",), ("text",), ("hostedUrl",), ("categories.department",), ("categories.location",), ("createdAt",), ("categories.commitment",), ("description",), ("workplaceType",), all_places=("categories.allLocations",)),
+    "ashby": Board(("id",), ("title",), ("jobUrl",), ("department",), ("location",), ("publishedAt",), ("employmentType",), ("descriptionHtml",), ("workplaceType",), more_places=("secondaryLocations",)),
     "workable": Board(("shortcode",), ("title",), ("url",), ("department",), ("city",), ("published_on",), ("employment_type",)),
     "smartrecruiters": Board(("id",), ("name", "title"), ("ref",), ("department.label", "department"), ("location.fullLocation", "location.city"), ("releasedDate",)),
     "recruitee": Board(("id",), ("title",), ("careers_url",), ("department",), ("location",), ("published_at",), ("employment_type_code",), ("description",)),
@@ -49,17 +52,27 @@ def page_status(status_code: Column, payload: Column) -> Column:
 def board_postings(pages: DataFrame) -> DataFrame:
     """One row per posting of every readable, successful page: page_id,
     posting_pos, source_platform, external_id, title_raw, url, department_raw,
-    location_raw, posted_text, employment_type, description_raw. Elements that
-    are no objects give no row; platforms without an adapter give none."""
+    location_raw, posted_text, workplace_raw, all_places, more_places (the texts
+    of the platform's lists of places, null where it has none), employment_type,
+    description_raw. Elements that are no objects give no row; platforms without
+    an adapter give none."""
 
-    parts = {"external_id": "external_id", "title": "title_raw", "url": "url", "department": "department_raw", "location": "location_raw", "posted": "posted_text", "employment": "employment_raw", "description": "description_raw"}
+    parts = {"external_id": "external_id", "title": "title_raw", "url": "url", "department": "department_raw", "location": "location_raw", "posted": "posted_text", "employment": "employment_raw", "description": "description_raw", "workplace": "workplace_raw"}
 
     def read(item: str, part: str) -> str:
         cases = "".join(f" when '{name}' then coalesce({', '.join(nested.field(item, p, 'string') for p in getattr(board, part))}, null)" for name, board in BOARDS.items() if getattr(board, part))
         return f"case source_platform{cases} end"
 
+    def texts(item: str, part: str) -> str:
+        def of(path: str) -> str:
+            text = lambda x: f"trim(case when {nested.is_object(x)} then {nested.field(x, 'location', 'string')} else try_variant_get({x}, '$', 'string') end)"
+            return f"filter({nested.each(nested.field(item, path, 'array<variant>'), lambda x, _: text(x))}, t -> t <> '')"
+
+        cases = "".join(f" when '{name}' then coalesce({', '.join(of(p) for p in getattr(board, part))}, null)" for name, board in BOARDS.items() if getattr(board, part))
+        return f"case source_platform{cases} end"
+
     def row(item: str, place: str) -> str:
-        return f"struct(cast({place} as bigint) as posting_pos, {nested.is_object(item)} as is_object, {', '.join(f'{read(item, p)} as {name}' for p, name in parts.items())})"
+        return f"struct(cast({place} as bigint) as posting_pos, {nested.is_object(item)} as is_object, {', '.join(f'{read(item, p)} as {name}' for p, name in parts.items())}, {texts(item, 'all_places')} as all_places, {texts(item, 'more_places')} as more_places)"
 
     rows = nested.each(nested.posting_list(nested.parse_payload("payload")), lambda v, i: nested.let(nested.decoded(v), lambda x: row(x, i)))
     good = pages.filter(page_status(F.col("status_code"), F.col("payload")) == "success").filter(F.col("source_platform").isin(*BOARDS))
@@ -67,13 +80,29 @@ def board_postings(pages: DataFrame) -> DataFrame:
     return found.withColumn("employment_type", P.employment_type(F.col("employment_raw"))).drop("is_object", "employment_raw")
 
 
+#: Kinds of workplace
+WORKPLACES = ("remote", "hybrid", "onsite")
+
+
+def _all_places() -> Column:
+    """The places of a posting, each once if they come from lists; entries of lists are not split."""
+    own = P.places(F.col("location_raw"))
+    listed = lambda c: F.transform(c, P.one_place)
+    beside = F.concat(F.coalesce(own, F.array().cast("array<struct<place:string,is_remote:boolean>>")), listed("more_places"))
+    return F.when(F.size("all_places") > 0, F.array_distinct(listed("all_places"))).when(F.size("more_places") > 0, F.array_distinct(beside)).otherwise(own)
+
+
 def normalized_postings(pages: DataFrame) -> DataFrame:
-    """board_postings with title, function, seniority, places, job key and the instant of posting (zone-less texts as UTC)."""
+    """board_postings with title, function, seniority, places (the platform's
+    list of all places, else its location with the places listed beside it),
+    workplace_type (remote, hybrid, onsite; null for others), job key and the
+    instant of posting (zone-less texts as UTC)."""
+    workplace = F.regexp_replace(F.lower("workplace_raw"), r"[\s_-]+", "")  # on-site, OnSite
     found = board_postings(pages).withColumn("title", P.canonical_title(F.col("title_raw")))
     return found.select(
         "page_id", "posting_pos", "company_id", "source_platform", "title",
-        P.function_class(F.col("title"), F.col("department_raw")).alias("function"), P.seniority_class(F.col("title")).alias("seniority"), P.places(F.col("location_raw")).alias("places"),
-        P.job_key(F.col("company_id"), F.col("source_platform"), F.col("external_id"), F.col("url"), F.col("title"), F.col("department_raw")).alias("job_id"), "employment_type", zoned_micros(F.col("posted_text")).alias("posted_micros"),
+        P.function_class(F.col("title"), F.col("department_raw")).alias("function"), P.seniority_class(F.col("title")).alias("seniority"), _all_places().alias("places"),
+        P.job_key(F.col("company_id"), F.col("source_platform"), F.col("external_id"), F.col("url"), F.col("title"), F.col("department_raw")).alias("job_id"), "employment_type", F.when(workplace.isin(*WORKPLACES), workplace).alias("workplace_type"), zoned_micros(F.col("posted_text")).alias("posted_micros"),
     )
 
 

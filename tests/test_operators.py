@@ -117,6 +117,22 @@ def test_boards(spark):
     assert {r.company_id: r.status for r in boards.complete_sweeps(pages).collect()} == {"c": "schema_violation", "d": "success"}
 
 
+def test_boards_workplace_and_all_places(spark):
+    lever = '[{"id": "a", "workplaceType": " Hybrid", "categories": {"location": "Oslo", "allLocations": ["Oslo", "Bergen", "", null, "Remote"]}}, {"id": "b", "workplaceType": "unspecified", "categories": {"location": "Oslo / Rome", "allLocations": []}}]'
+    ashby = '{"jobs": [{"id": "c", "workplaceType": "Remote", "location": "Oslo", "secondaryLocations": ["Kyiv", {"location": "Lima"}, {"other": 1}, "Oslo"]}, {"id": "d", "location": null, "secondaryLocations": ["Rome"]}, {"id": "e", "workplaceType": "On-Site"}]}'
+    pages = spark.createDataFrame([(1, "c", "lever", 200, lever), (2, "c", "ashby", 200, ashby)], "page_id long, company_id string, source_platform string, status_code int, payload string")
+    raw = {r.external_id: r.workplace_raw for r in boards.board_postings(pages).collect()}
+    assert raw == {"a": " Hybrid", "b": "unspecified", "c": "Remote", "d": None, "e": "On-Site"}
+    got = {r.job_id[-1]: (r.workplace_type, r.places and [tuple(p) for p in r.places]) for r in boards.normalized_postings(pages).collect()}
+    assert got == {
+        "a": ("hybrid", [("Oslo", False), ("Bergen", False), ("Remote", True)]),
+        "b": (None, [("Oslo", False), ("Rome", False)]),
+        "c": ("remote", [("Oslo", False), ("Kyiv", False), ("Lima", False)]),
+        "d": (None, [("Rome", False)]),
+        "e": ("onsite", None),
+    }
+
+
 def test_logs_and_export(spark, tmp_path):
     path = str(tmp_path / "log")
     schema = "k string, v int"
