@@ -11,9 +11,9 @@ meant. Values that meet no entry are reported with 0.
 from __future__ import annotations
 
 import html
-import itertools
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -60,6 +60,8 @@ _TOKEN = re.compile(r"[^\W\d_]+")
 #: costs of reading a typed token
 EXACT, SHORTENED, BEGUN, JOINED, SLIP, SHORT_SLIP = 0.0, 0.05, 0.15, 0.1, 0.3, 0.4
 MOST_COST = 0.95
+#: joins of one token whose costs stay below the most
+MOST_JOINS = 9
 
 
 def _plain(text: str) -> str:
@@ -114,6 +116,13 @@ class Canon:
                     self._add(higher, [level, *tokens(name)])
         self.mentions.make_automaton()
         self.vocabulary = {t for bag in self.bags for t in bag} | set(LEVELS)
+        self.longest = max(map(len, self.vocabulary | set(self.short) | IDLE))
+        # the bags that hold a word so many times
+        self.holders: dict[tuple[str, int], set[int]] = {}
+        for n, bag in enumerate(self.bags):
+            for word, times in Counter(bag).items():
+                for k in range(1, times + 1):
+                    self.holders.setdefault((word, k), set()).add(n)
         self.read: dict[str, list[tuple[float, tuple[str, ...]]]] = {}
         self.known: dict[str, int] = {}
 
@@ -149,29 +158,44 @@ class Canon:
             if len(short) >= 3 and len(token) >= 2 and short != token and one_slip(token, short):
                 for _, words in self._simple(short):
                     found.setdefault(words, (SLIP if len(short) >= 4 else SHORT_SLIP) + SHORTENED)
-        if not found and 5 <= len(token) <= 60:
-            for cost, words in self._apart(token, True):
-                found[words] = min(cost, found.get(words, 9))
-        out = sorted((c, w) for w, c in found.items())[:8]
+        if not found and len(token) >= 5:
+            found = self._apart(token, True, MOST_JOINS, {})
+        out = sorted((c, w) for w, c in found.items())
         if len(self.read) > 200_000:
             self.read.clear()
         self.read[token] = out
         return out
 
-    def _apart(self, token: str, slip: bool) -> list[tuple[float, tuple[str, ...]]]:
-        out = []
-        for cut in range(2, len(token) - 1):
+    def _held(self, words: tuple[str, ...]) -> bool:
+        """Whether some bag holds all the words, each as often as it is given."""
+        sets = [self.holders.get(w, set()) for w in Counter(words).items()]
+        return not sets or bool(set.intersection(*sets))
+
+    def _slipped(self, part: str) -> list[tuple[float, tuple[str, ...]]]:
+        return [(SLIP, (w,)) for w in self.vocabulary if len(w) >= 5 and one_slip(part, w)] if len(part) >= 4 else []
+
+    def _apart(self, token: str, slip: bool, joins: int, known: dict[tuple[str, bool, int], dict]) -> dict[tuple[str, ...], float]:
+        """The words of a run-together token with their least cost: all that cost
+        less than MOST_COST and lie in one bag, as no others can meet an entry."""
+        if joins < 1 or len(token) > (joins + 1) * (self.longest + 1):
+            return {}
+        if (token, slip, joins) in known:
+            return known[token, slip, joins]
+        out: dict[tuple[str, ...], float] = {}
+        for cut in range(2, min(len(token) - 1, self.longest + 2)):
             head, tail = token[:cut], token[cut:]
-            if head in IDLE:
-                heads = [(0.0, ())]
-            else:
-                heads = self._simple(head) or ([(SLIP, (w,)) for w in self.vocabulary if len(w) >= 5 and one_slip(head, w)] if slip and len(head) >= 4 else [])
+            heads = [(0.0, ())] if head in IDLE else self._simple(head) or (self._slipped(head) if slip else [])
             for cost, words in heads:
                 rest_slip = slip and cost < SLIP
-                rests = self._simple(tail) or ([(SLIP, (w,)) for w in self.vocabulary if len(w) >= 5 and one_slip(tail, w)] if rest_slip and len(tail) >= 4 else [])
-                rests = rests or (self._apart(tail, rest_slip) if len(tail) >= 4 else [])
-                out += [(cost + c + JOINED, words + w) for c, w in rests]
-        return sorted(out)[:4]
+                rests = self._simple(tail) or (self._slipped(tail) if rest_slip and len(tail) <= self.longest + 1 else [])
+                if not rests and len(tail) >= 4:
+                    rests = [(c, w) for w, c in self._apart(tail, rest_slip, joins - 1, known).items()]
+                for c, w in rests:
+                    both, total = words + w, cost + c + JOINED
+                    if total < MOST_COST and total < out.get(both, MOST_COST) and self._held(both):
+                        out[both] = total
+        known[token, slip, joins] = out
+        return out
 
     def _mention(self, words: list[str]) -> tuple[int, int, list[str]] | None:
         """The longest mention (the first of equals): entry, its number of words, the words left over."""
@@ -219,19 +243,25 @@ class Canon:
         return 0
 
     def _set_similarity(self, words: list[str]) -> int:
-        if not words or len(words) > 12:
-            return 0
+        """The entry met at the least cost, the first reading of equals. Word by
+        word, the bags read so far are kept with their least cost; those that no
+        entry holds can't meet one."""
         options = [self.readings(w) for w in words]
-        if not all(options):
+        if not words or not all(options):
             return 0
-        best = (MOST_COST, 0)
-        for choice in itertools.islice(itertools.product(*options), 20_000):
-            cost = sum(c for c, _ in choice)
-            if cost < best[0]:
-                ref = self.bags.get(tuple(sorted(t for _, ws in choice for t in ws)), 0)
-                if ref:
-                    best = (cost, ref)
-        return best[1]
+        most = round(100 * MOST_COST)
+        states: dict[tuple[str, ...], tuple[int, tuple[int, ...]]] = {(): (0, ())}
+        for choices in options:
+            after: dict[tuple[str, ...], tuple[int, tuple[int, ...]]] = {}
+            for bag, (cost, path) in states.items():
+                for i, (c, ws) in enumerate(choices):
+                    at = (cost + round(100 * c), (*path, i))
+                    key = tuple(sorted(bag + ws))
+                    if at[0] < most and (at < after[key] if key in after else self._held(key)):
+                        after[key] = at
+            states = after
+        met = [(at, self.bags[bag]) for bag, at in states.items() if self.bags.get(bag)]
+        return min(met)[1] if met else 0
 
 
 def translations(entries: Iterable[tuple[int, str, str, list[str] | None]]) -> dict[str, str]:

@@ -171,3 +171,22 @@ def test_pruning_loses_no_pair(spark):
     weight = {t: math.log(1 + (200 - n + 0.5) / (n + 0.5)) * linkage.SHARES.get(t[0], 1.0) for t, n in df.items()}
     want = {(p, g) for p, a in sides[1].items() for g, b in sides[0].items() if sum(weight[t] for t in set(a) & set(b)) >= linkage.LEAST_SCORE * top}
     assert want and want <= got
+
+
+def test_long_values_and_many_readings_meet_their_entry():
+    long = "Alpha Bravo Charlie Delta Echo Foxtrot Golf Hotel India Juliett Kilo Lima Mike November Oscar"
+    joined = "Communications Infrastructure Development Representative Administrator"
+    begun = [f"Comb{x}{x} Sales{x}" for x in "abcdefghij"]
+    canon = canonical.Canon([(n, label, None) for n, label in enumerate([long, joined, *begun], 1)], "title")
+    assert canon.find(" ".join(reversed(long.split()))) == 1  # more than 12 words
+    assert canon.find(joined.replace(" ", "").lower()) == 2  # more than 60 letters
+    assert [canon.find(f"Sales{x} comb") for x in "abcdefghij"] == list(range(3, 13))  # 10 readings of a word
+    assert canon.find("x" * 5000) == canon.find("of" * 5000) == 0
+
+
+def test_readings_beyond_many_products():
+    # 6 words of 8 readings: the fitting one is the last of 262,144
+    words = [f"{stem}{x}{x}" for stem in ("abra", "bolo", "cinu", "dexo", "fumi", "gari") for x in "stuvwxyz"]
+    entries = [(n, w, None) for n, w in enumerate(words, 1)] + [(99, " ".join(w for w in words if w.endswith("z")), None)]
+    canon = canonical.Canon(entries, "title")
+    assert canon.find("gari fumi dexo cinu bolo abra") == 99
