@@ -91,19 +91,17 @@ def windows(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     """Items (by index, sizes from 1 to capacity) in few windows.
 
     Differencing starts with as many windows as the sum of sizes needs, and
-    their number rises while one exceeds the capacity. It rises no further than
+    their number rises one by one while one exceeds the capacity. It rises no further than
     best fit needs: with three or four items to a window differencing can't
     level the sums any more, and the windows of best fit are taken then.
     """
     if not len(sizes):
         return []
     other = best_fit(sizes, capacity)
-    k, step = -(-int(sizes.sum()) // capacity), 1
-    while k <= len(other):
+    for k in range(-(-int(sizes.sum()) // capacity), len(other) + 1):
         found = difference(sizes, k)
         if max(int(sizes[w].sum()) for w in found) <= capacity:
             return found
-        k, step = k + step, step * 2
     return other
 
 

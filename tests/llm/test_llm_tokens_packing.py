@@ -104,3 +104,10 @@ def test_pack_query(spark):
         pieces = rows.sort_values(["doc_id", "piece"])
         assert (pieces.groupby("doc_id").n_tokens.cumsum() - pieces.n_tokens == pieces.token_start).all()
     assert packing.pack(docs.limit(0), specs).count() == 0
+
+
+def test_differencing_tries_every_count(monkeypatch):
+    tried, real = [], packing.difference
+    monkeypatch.setattr(packing, "difference", lambda sizes, k: tried.append(k) or real(sizes, k))
+    assert len(packing.windows(np.full(9, 6), 10)) == 9
+    assert tried == [6, 7, 8, 9]
