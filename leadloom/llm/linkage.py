@@ -3,10 +3,11 @@
 Method: cross-table retrieval. All attributes of a lead are terms of an
 inverted index, weighted by BM25 (every term occurs once in a record and
 records are of one length, so a weight is its inverse document frequency times
-its field's share). A provider record's terms are looked up by exact top-k
-pruning: the commonest terms whose weights together stay below the least score
-of a match can't make one, so only the others are looked up. Nearest leads are
-tested in both directions, and the score and its gap to the next lead give a
+its field's share). Pruning is by a fixed score floor in place of top-k: the
+commonest terms whose weights together stay below LEAST_SCORE are not looked
+up, so a record whose nearest lead scores below the floor may get no candidate.
+A record takes its nearest lead; the lead takes every record of at least NEAR
+of its best score, as repetitions of a person are all wanted. The score and its gap to the next lead give a
 confidence through a logistic curve fitted to the pairs at hand. Near pairs are
 then checked attribute by attribute.
 
