@@ -259,3 +259,15 @@ def sitemap_candidates(read: DataFrame) -> DataFrame:
     """page_id, link: the first address of a sitemap whose path is like a careers page's."""
     rows = read.select("page_id", F.posexplode("sitemap").alias("pos", "link")).filter(F.col("link").rlike(rules.LINK_HREF))
     return rows.groupBy("page_id").agg(F.min_by("link", "pos").alias("link"))
+
+
+def path_candidates(sites: DataFrame, fetched: DataFrame) -> DataFrame:
+    """company_id, link: of every site (company_id, url of its home) the first
+    usual careers path whose HEAD request was good or not supported, whose page
+    came, and is a careers page (fetched: url, head_code, code, is_careers)."""
+    paths = F.array(*[F.lit(p) for p in rules.CAREERS_PATHS])
+    tried = sites.select("company_id", F.regexp_replace("url", "/+$", "").alias("home"), F.posexplode(paths).alias("pos", "path"))
+    fine = lambda code: F.col(code).between(200, 299)
+    pages = fetched.filter((fine("head_code") | F.col("head_code").isin(405, 501)) & fine("code") & F.col("is_careers")).select(F.col("url").alias("link"))
+    found = tried.select("company_id", "pos", F.concat("home", "path").alias("link")).join(pages, "link")
+    return found.groupBy("company_id").agg(F.min_by("link", "pos").alias("link"))

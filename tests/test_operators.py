@@ -109,6 +109,13 @@ def test_pages(spark):
     assert {r.company_id: r.status for r in web.resolved_source(steps).collect()} == {"c": "unvalidated", "d": "needs_review", "e": "resolved"}
 
 
+def test_path_candidates(spark):
+    sites = spark.createDataFrame([("c", "https://c.example/"), ("d", "https://d.example"), ("e", "https://e.example")], "company_id string, url string")
+    rows = [("https://c.example/careers", 404, 200, True), ("https://c.example/jobs", 405, 200, True), ("https://c.example/join", 200, 200, True), ("https://d.example/careers", 200, 200, False), ("https://d.example/en/careers", 200, 204, True), ("https://e.example/jobs", 200, 500, True)]
+    fetched = spark.createDataFrame(rows, "url string, head_code int, code int, is_careers boolean")
+    assert {tuple(r) for r in web.path_candidates(sites, fetched).collect()} == {("c", "https://c.example/jobs"), ("d", "https://d.example/en/careers")}
+
+
 def test_boards(spark):
     page = '{"jobs": [{"id": 5, "title": "sr eng", "absolute_url": "u", "departments": [{"name": "R&D"}], "location": {"name": "Remote / Oslo"}}, 3]}'
     pages = spark.createDataFrame([(1, "c", "r", "greenhouse", 200, 0, page), (2, "c", "r", "greenhouse", 503, 1, None), (3, "d", "r", "lever", 304, 0, None)], "page_id long, company_id string, run_id string, source_platform string, status_code int, page_no int, payload string")
