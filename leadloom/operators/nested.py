@@ -26,6 +26,8 @@ CHILDREN = {
     "list": ("lists", "content"),
     "location": ("locations", "country"),
 }
+#: Fixed value: the known last element behind a value that is parsed.
+END = "end of the value"
 _CHILD_ROWS = "array<struct<kind:string,child_pos:bigint,child_text:string>>"
 _names = itertools.count()
 
@@ -54,14 +56,32 @@ def is_object(v: str) -> str:
     return f"(try_variant_get({v}, '$', 'map<string,variant>') is not null)"
 
 
-def decoded(v: str) -> str:
-    """JSON held in a string counts as what it holds, up to two levels of strings."""
+def strict_json(text: str) -> str:
+    """text as VARIANT, null unless it is one complete JSON value.
+
+    Spark's parser stops at the end of the first value, so the text is read as
+    the first element of a list with a known last one: whatever follows the
+    value makes the list another one.
+    """
+    n = next(_names)
+    read = f"try_variant_get(try_parse_json(concat('[', {text}, ',\"{END}\"]')), '$', 'array<variant>')"
+    return f"try_element_at(filter(array({read}), v{n} -> size(v{n}) = 2 and try_variant_get(v{n}[1], '$', 'string') = '{END}'), 1)[0]"
+
 
-    def once(x: str) -> str:
-        inner = rf"regexp_replace(try_variant_get({x}, '$', 'string'), r'^[\s\x{{FEFF}}]+', '')"
-        return f"case when {_array(x)} is null and not {is_object(x)} and left({inner}, 1) in ('{{', '[', '\"') then coalesce(try_parse_json({inner}), {x}) else {x} end"
+def _held(v: str) -> str:
+    """The text of a string that may hold JSON, without white space before it; else null."""
+    return rf"case when {_array(v)} is null and not {is_object(v)} then nullif(regexp_extract(try_variant_get({v}, '$', 'string'), r'(?s)^[\s\x{{FEFF}}]*([\[\{{\"].*)', 1), '') end"
 
-    return let(let(v, once), once)
+
+def decoded(v: str) -> str:
+    """JSON held in a string counts as what it holds, however often it is held.
+
+    A text that begins with n quotes (escaped or not) before its value holds
+    n more strings in one another at most, so n + 1 steps reach the end.
+    """
+    n = next(_names)
+    steps = lambda x: rf"coalesce(1 + length(regexp_replace(regexp_extract({_held(x)}, r'^[\s\"\\]+', 0), r'[^\"]', '')), 0)"
+    return let(v, lambda x: f"aggregate(array_repeat(0, {steps(x)}), {x}, (v{n}, i{n}) -> coalesce({strict_json(_held(f'v{n}'))}, v{n}))")
 
 
 def _as_list(v: str) -> str:
@@ -77,19 +97,14 @@ def _text(v: str) -> str:
 def parse_payload(payload: str) -> str:
     """The response as VARIANT, unwrapped; null for text that is not complete JSON.
 
-    Spark's parser stops at the end of the first value, so text after it is
-    looked for by the last character.
+    Every wrapper is a key of the text, so there are no more levels than such keys.
     """
-
-    def whole(body: str) -> str:
-        closed = f"case left({body}, 1) when '{{' then right({body}, 1) = '}}' when '[' then right({body}, 1) = ']' else true end"
-        return f"case when {closed} then try_parse_json({body}) end"
-
     body = rf"regexp_replace({payload}, r'^[\s\x{{FEFF}}]+|[\s\x{{FEFF}}]+$', '')"
-    root = decoded(let(body, whole))
-    for _ in range(3):
-        root = let(root, lambda v: decoded(f"coalesce({', '.join(field(v, k) for k in WRAPPERS)}, {v})"))
-    return root
+    n = next(_names)
+    held = f"coalesce({', '.join(field(f'v{n}', k) for k in WRAPPERS)})"
+    inner = f"case when {held} is null then v{n} else {decoded(held)} end"
+    levels = rf"coalesce(regexp_count({payload}, r'(?:{'|'.join(WRAPPERS)})\\*\"\s*:|\\u00'), 0)"
+    return f"aggregate(array_repeat(0, {levels}), {decoded(strict_json(body))}, (v{n}, i{n}) -> {inner})"
 
 
 def posting_list(root: str) -> str:
@@ -110,6 +125,12 @@ def _children(item: str, place: str) -> str:
     return each(rows, lambda c, _: f"struct(cast({place} as bigint) as posting_pos, {c}.kind as kind, {c}.child_pos as child_pos, {c}.child_text as child_text)")
 
 
+def _read(pages: DataFrame, rows: str) -> DataFrame:
+    """page_id and the rows; of keys given twice in an object the last counts, as in other JSON readers."""
+    pages.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return pages.select("page_id", F.expr(f"inline({rows})"))
+
+
 def postings(pages: DataFrame) -> DataFrame:
     """One row per element of a page's posting list: page_id, posting_pos,
     external_id, title, is_posting (the element is an object). Pages without a
@@ -120,7 +141,7 @@ def postings(pages: DataFrame) -> DataFrame:
         return f"struct(cast({i} as bigint) as posting_pos, {first('id', 'shortcode')} as external_id, {first('title', 'text', 'name')} as title, {is_object(x)} as is_posting)"
 
     rows = each(posting_list(parse_payload("payload")), lambda v, i: let(decoded(v), lambda x: row(x, i)))
-    return pages.select("page_id", F.expr(f"inline({rows})"))
+    return _read(pages, rows)
 
 
 def children(pages: DataFrame) -> DataFrame:
@@ -133,7 +154,7 @@ def children(pages: DataFrame) -> DataFrame:
     rows; repeated pages keep their own rows by page_id.
     """
     rows = each(posting_list(parse_payload("payload")), lambda v, i: let(decoded(v), lambda x: _children(x, i)))
-    return pages.select("page_id", "source_platform", "payload").select("page_id", F.expr(f"inline(flatten({rows}))"))
+    return _read(pages.select("page_id", "source_platform", "payload"), f"flatten({rows})")
 
 
 def children_with_text(pages: DataFrame) -> DataFrame:

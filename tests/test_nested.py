@@ -45,3 +45,29 @@ def test_children_belong_to_postings(spark):
     postings = nested.postings(page).collect()
     assert [(r.posting_pos, r.external_id, r.title, r.is_posting) for r in postings] == [(0, "x", "Dev", True), (1, None, None, False)]
     assert {(r.posting_pos, r.child_pos, r.child_text) for r in nested.children(page).filter("kind = 'list'").collect()} == {(0, 0, "a"), (0, 1, None)}
+
+
+def held(value, times):
+    for _ in range(times):
+        value = json.dumps(value)
+    return value
+
+
+def test_wrappers_and_strings_of_any_depth(spark):
+    deep = whole = {"jobs": [{"offices": held([{"location": "A"}], 5)}]}
+    for i in range(9):
+        deep = {nested.WRAPPERS[i % 5]: deep}
+    mixed = held({"response": held({"data": held(whole, 3)}, 2)}, 4)
+    assert found(spark, ("greenhouse", json.dumps(deep)), ("lever", mixed)) == [(0, 0, "office", 0), (1, 0, "office", 0)]
+
+
+def test_text_behind_a_value_makes_it_incomplete(spark):
+    whole = json.dumps({"jobs": [{"offices": [{"location": "A"}]}]})
+    assert found(spark, *[("greenhouse", whole + tail) for tail in ('{"b":1}', "] [{}", ',{"b":1}', "}", " null")]) == []
+    held_text = json.dumps({"jobs": [{"offices": [{"location": "[1] Berlin"}, {"location": '{"name": "x"} y'}]}]})
+    assert [r.child_text for r in nested.children(pages(spark, ("lever", held_text))).collect()] == ["[1] Berlin", '{"name": "x"} y']
+
+
+def test_last_of_repeated_keys_counts(spark):
+    page = pages(spark, ("lever", '[{"lists": [{"content": "a", "content": "b"}]}]'))
+    assert [r.child_text for r in nested.children(page).collect()] == ["b"]
