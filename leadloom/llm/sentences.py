@@ -4,7 +4,8 @@ Method: a pushdown automaton. It reads a block of running text from left to
 right, keeps the open quotations and brackets on a stack, and emits a boundary
 at a terminator only when the stack is empty; tries of abbreviations (walked
 backwards from a period) and the scripts' terminators decide what ends a
-sentence. List markers and line breaks set the level on which blocks begin.
+sentence. A second stack holds the open list levels: an item begins a block,
+and lines indented to its text belong to it.
 """
 
 from __future__ import annotations
@@ -62,8 +63,12 @@ _SOFT_ITEM = re.compile(r"\s*(?:\d{1,3}\.\s|–\s)")
 _THAI = re.compile("[฀-๿]")
 #: a name that ends a sentence, before another that begins one with a verb behind it
 _THAI_NAMES = re.compile(r"(?:กับ|และ|ใช้|ของ|จาก)\s+([A-ZÀ-Ž]\S*)\s+(?=(?:[A-ZÀ-Ž]\S*\s+)+(?:เปิด|ประกาศ|ก่อตั้ง|ย้าย|ขยาย))")
+_GREEK = re.compile("[Ͱ-Ͽἀ-῿]")
+_WORD = re.compile(r"\w*")
 _THAI_GAP = re.compile(r"(?<=\S)[^\S\n\r]+(?=\S)|(?<=\S)\s+(?=\S)")
 _DENSE = re.compile("[\u0e00-\u0e7f\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\uff01-\uff60]")
+#: widest line whose wrapping a single break that may be a paragraph's end can show
+LONE_WIDTH = 132
 _BLANK = "﻿"
 
 
@@ -105,6 +110,7 @@ class _Automaton:
         self.text, self.begin, self.end = text, begin, end
         self.floor = begin  # where the current sentence begins: no word reaches behind it
         self.match = self._pairs()
+        self.greek = bool(_GREEK.search(text, begin, end))
 
     def _pairs(self) -> dict[int, int]:
         """Openers with their closers; unmatched ones are ordinary characters."""
@@ -147,8 +153,7 @@ class _Automaton:
         if c in ",;:)]}»”،؛、，；：" and k not in self.match:
             return False
         if c in "—–-" and k + 1 < self.end and self.text[k + 1].isspace():
-            f = self._first(k)
-            return f < self.end and self.text[f].isupper() and c == "—" and False
+            return False
         f = self._first(k)
         if f >= self.end:
             return True
@@ -216,12 +221,12 @@ class _Automaton:
         if _in_trie(_END_TRIE, low):
             return not follows.isdigit()
         if word.isdigit() and len(word) <= 2:
-            following = re.match(r"\w*", text[f : f + 20]).group().lower()
-            if following in MONTHS:
+            if _WORD.match(text, f, end).group().lower() in MONTHS:
                 return False
             i = at - len(word)
-            previous = re.search(r"(\w+)\s*$", text[max(self.floor, i - 20) : i])
-            if previous and previous.group(1).lower() in ARTICLES:
+            while i > self.floor and text[i - 1].isspace():
+                i -= 1
+            if self._word(i).lower() in ARTICLES:
                 return False
         return True
 
@@ -267,7 +272,7 @@ class _Automaton:
                 stop += 1
             run = text[at:stop]
             if c in ";;":
-                if c == ";" and not any(_greek(x) for x in text[max(self.begin, at - 30) : at]):
+                if c == ";" and not (self.greek and any(map(_greek, text[self.floor : at]))):
                     continue
                 ends = self._begins(stop)
             elif any(x in _HARD for x in run):
@@ -315,7 +320,10 @@ class _Automaton:
             if a <= start or not (_THAI.match(left) or _THAI.match(right)):
                 continue
             if _THAI.match(left):
-                word = re.split(r"\s", text[max(start, a - 60) : a])[-1]
+                w = a
+                while w > start and not text[w - 1].isspace():
+                    w -= 1
+                word = text[w:a]
                 needs = any(word.endswith(n) for n in THAI_NEEDS)
                 ends = not needs if _THAI.match(right) or right.isupper() else False
             else:
@@ -324,12 +332,68 @@ class _Automaton:
                 out.append(a)
 
 
+def _fits(text: str, line: tuple[int, int], following: tuple[int, int], width: int) -> bool:
+    """Whether the next line's first word had room behind the line (a wide character has no space before it)."""
+    word = text[following[0] : following[1]].lstrip(" \t").split(" ", 1)[0]  # no-break spaces hold words together
+    need = 1 if ord(word[0]) >= 0x2E80 else 1 + min(len(word), 48)
+    return line[1] - line[0] + need <= width
+
+
+def _is_wrapped(text: str, lines: list[tuple[int, int]], dense: list[bool], side: bool, width: int) -> bool:
+    """Whether the lines of one kind (with or without a dense script) are hard-wrapped at the width.
+
+    Its witnesses are the breaks between two lines. Within a sentence for sure
+    (behind a letter, comma or period, before a small letter): those where the next word
+    had no room must be more than those where it had. Without small letters, or
+    where capitals happen to follow: breaks behind no end mark (or an abbreviation) where the next
+    word had no room, against all breaks where it had. Dense scripts leave out
+    end marks and small letters; they need three such breaks behind a letter.
+    """
+    sure = unsure = full = loose = 0
+    for k in range(len(lines) - 1):
+        (s, e), (ns, ne) = lines[k], lines[k + 1]
+        line, following = text[s:e].rstrip(), text[ns:ne].lstrip()
+        if dense[k] != side or not line or not following or e - s > width or _ITEM.match(text, s, e) or _ITEM.match(text, ns, ne):
+            continue
+        last, first = line[-1], following[0]
+        fits = _fits(text, lines[k], lines[k + 1], width)
+        word = line[max(line.rfind(" "), line.rfind("\u00a0")) + 1 : -1].lower()
+        abbreviated = last == "." and (_in_trie(_NAME_TRIE, word) or _in_trie(_NUMBER_TRIE, word))
+        open_end = abbreviated or last == ";" or (last not in _MARKS and last not in _CLOSERS)
+        small = first.islower() and not following[1:2].isupper()
+        if small and last in ".…" or (last.isalnum() or last in ",،、，" or unicodedata.category(last)[0] == "M") and (small or (side and _caseless(first))):
+            sure, unsure = sure + (not fits), unsure + fits
+        full, loose = full + (open_end and not fits), loose + fits
+    if side:
+        return sure >= 3 and sure > unsure
+    return sure > unsure or (sure == unsure and full > loose and (full > 1 or width <= LONE_WIDTH))
+
+
+def _list_level(text: str, line: tuple[int, int], levels: list[int]) -> bool:
+    """Moves the stack of open list levels (the column of each level's text) over
+    a line: items close the levels they don't stand in and open their own, other lines close
+    those they are not indented to. True if the line continues the item on top."""
+    at = line[0]
+    while at < line[1] and text[at] in " \t":
+        at += 1
+    if at == line[1]:
+        return False  # a blank line leaves the lists open
+    column = at - line[0]
+    while levels and levels[-1] > column:
+        levels.pop()
+    item = _ITEM.match(text, *line)
+    if item:
+        levels.append(item.end() - line[0])
+    return bool(levels) and not item
+
+
 def _blocks(text: str) -> Iterator[tuple[int, int]]:
-    """Blocks of running text: lines, those of hard-wrapped paragraphs joined.
+    """Blocks of running text: lines, those of hard-wrapped paragraphs and of items with a hanging indent joined.
 
-    A break is soft if the next line's first word didn't fit the text's width
-    (its longest line of the kind, with or without a dense script, that is no
-    list item, of 50 to 100 characters), the next line is no list item and
+    The width is that of the longest line of the kind (with or without a dense
+    script) that is no list item; breaks within sentences must show that the
+    lines are wrapped at it, whatever it is. A break is soft then if the
+    next line's first word didn't fit, the next line is no list item and
     neither line is blank.
     """
     lines, at = [], 0
@@ -340,18 +404,20 @@ def _blocks(text: str) -> Iterator[tuple[int, int]]:
     # scripts without spaces are wrapped by themselves, or not at all
     dense = [bool(_DENSE.search(text, s, e)) for s, e in lines]
     widths = [max((e - s for (s, e), d in zip(lines, dense, strict=True) if d == side and not _ITEM.match(text, s, e)), default=0) for side in (False, True)]
+    wrapped = [_is_wrapped(text, lines, dense, side, widths[side]) for side in (False, True)]
+    levels: list[int] = []
+    hanging = [_list_level(text, line, levels) for line in lines]
     begin = None
     for k, (s, e) in enumerate(lines):
         if begin is None:
             begin = s
+        if k + 1 < len(lines) and hanging[k + 1] and text[s:e].strip():
+            continue
         width = widths[dense[k]]
-        if 50 <= width <= 100 and k + 1 < len(lines):
+        if wrapped[dense[k]] and k + 1 < len(lines):
             ns, ne = lines[k + 1]
-            words = text[ns:ne].lstrip(" \t").split(" ", 1) if text[ns:ne].strip() else []  # no-break spaces hold words together
-            if words and e - s <= width and text[s:e].strip():
-                first = words[0]
-                wide = ord(first[0]) >= 0x2E80
-                fits = (e - s) + (0 if wide else 1) + (1 if wide else min(len(first), 48)) <= width
+            if text[ns:ne].strip() and e - s <= width and text[s:e].strip():
+                fits = _fits(text, lines[k], lines[k + 1], width)
                 item = _ITEM.match(text, ns, ne)
                 if item and _SOFT_ITEM.match(text, ns, ne) and not fits:
                     # a number or dash that the wrapping brought to a line's start

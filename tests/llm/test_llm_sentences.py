@@ -1,4 +1,5 @@
 import random
+import textwrap
 
 import pytest
 
@@ -76,3 +77,31 @@ def test_query_over_odd_rows(spark):
     got = sorted(tuple(r) for r in sentence_units(docs).collect())
     assert got == [(4, 0, 6), (4, 0, 6), (4, 7, 16), (4, 7, 16), (5, 0, 99999)]
     assert sentence_units(docs.limit(0)).count() == 0
+
+
+def test_wrapping_of_any_width_is_recognised():
+    english = "The team of the company worked for several months on a set of tools which were meant to help all of the customers in their daily work with the data platform and the reports it makes."
+    german = "Wir suchen für unser Team in Köln eine Person mit Erfahrung in der Planung von Lagern, die Freude an Zahlen hat und Kunden in ganz Europa berät."
+    hindi = "पिछले कई महीनों से हमारी टीम ग्राहक सहायता और भंडार योजना पर काम कर रही है और हम इंदौर में एक नया साथी खोज रहे हैं जो हमारे साथ काम करे।"
+    for text in (english, german, hindi):
+        for width in (20, 30, 40, 48, 60, 80, 100, 110, 130):
+            assert len(cut("\n".join(textwrap.wrap(text, width)))) == 1, (width, text)
+    chinese = "我们的团队在过去的几个月里一直在为客户开发新的工具这些工具可以帮助他们更好地使用数据平台和各种报告。"
+    assert len(cut("\n".join(textwrap.wrap(chinese, 12)))) == 1
+
+
+def test_lines_that_are_not_wrapped_stay_apart():
+    assert cut("One long line that has no mark and goes on for a while\nAnd then a second one that stands alone\nA third\nThe last line of them all is no longer than the first") == [
+        "One long line that has no mark and goes on for a while", "And then a second one that stands alone", "A third", "The last line of them all is no longer than the first",
+    ]
+    assert len(cut("高瀬さんは大阪のチームで検索機能を見ています\nVexromontでは請求を担当する方を募集しています。")) == 2
+
+
+def test_items_with_a_hanging_indent():
+    text = "Wanted:\n- Skill in planning,\n  also of small teams. Travel is rare.\n  - Lyon\n    and Paris\n  - Leeds\n- A bike\nApply"
+    assert [" ".join(u.split()) for u in cut(text)] == ["Wanted:", "- Skill in planning, also of small teams.", "Travel is rare.", "- Lyon and Paris", "- Leeds", "- A bike", "Apply"]
+
+
+def test_long_look_backs():
+    assert cut("Am " + " " * 40 + "3. Mai geht es los. Gut.")[0].endswith("los.")
+    assert cut("Τι είναι το " + "Brindle " * 12 + "; Δεν ξέρω.")[1] == "Δεν ξέρω."
