@@ -1,14 +1,13 @@
 """Filling containers of fixed capacity with documents.
 
 Method: Karmarkar-Karp multiway differencing. Partial partitions are merged
-with opposing imbalances into near-equal windows; the number of windows rises
-while one of them exceeds the capacity. Where that takes more windows than best
-fit does (few items to a window), best fit has the block.
+with opposing imbalances into near-equal windows; exchanges of single items
+level what is left, and the number of windows rises while one of them exceeds
+the capacity.
 """
 
 from __future__ import annotations
 
-import bisect
 import heapq
 
 import numpy as np
@@ -72,37 +71,75 @@ def difference(sizes: np.ndarray, k: int) -> list[list[int]]:
     return out
 
 
-def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
-    """Items, largest first, each into the fullest window with room for it."""
-    groups: list[list[int]] = []
-    room: list[tuple[int, int]] = []  # free space and window, least space first
-    for item in np.argsort(-sizes, kind="stable").tolist():
-        size = int(sizes[item])
-        at = bisect.bisect_left(room, (size, -1))
-        free, g = room.pop(at) if at < len(room) else (capacity, len(groups))
-        if g == len(groups):
-            groups.append([])
-        groups[g].append(item)
-        bisect.insort(room, (free - size, g))
-    return groups
+def exchange(sizes: np.ndarray, found: list[list[int]], capacity: int) -> bool:
+    """Levels what differencing left: items of windows over the capacity change
+    places with smaller items of windows that have room for the difference.
+    Changes ``found``; whether no window is over the capacity any more.
+    """
+    where, at = np.zeros(len(sizes), dtype=np.int64), np.zeros(len(sizes), dtype=np.int64)
+    for w, items in enumerate(found):
+        where[items], at[items] = w, np.arange(len(items))
+    sums = np.array([int(sizes[items].sum()) for items in found])
+    for w in np.argsort(-sums, kind="stable").tolist():
+        while sums[w] > capacity:
+            over = int(sums[w]) - capacity
+            best = None
+            for a in found[w]:
+                less = int(sizes[a]) - sizes  # what w loses and the other window gains
+                room = capacity - sums[where]
+                can = np.flatnonzero((less > 0) & (less <= room))
+                if not len(can):
+                    continue
+                # as much of the excess as possible, and of equals the tightest room
+                b = int(can[np.lexsort((room[can] - less[can], -np.minimum(less[can], over)))[0]])
+                score = (min(int(less[b]), over), -int(room[b] - less[b]))
+                if best is None or score > best[0]:
+                    best = (score, a, b)
+            if best is None:
+                return False
+            _, a, b = best
+            v, i, j = int(where[b]), int(at[a]), int(at[b])
+            found[w][i], found[v][j] = b, a
+            where[a], where[b], at[a], at[b] = v, w, j, i
+            sums[w] += sizes[b] - sizes[a]
+            sums[v] += sizes[a] - sizes[b]
+    return True
+
+
+def least_windows(sizes: np.ndarray, capacity: int) -> int:
+    """A number of windows that no packing can do without: by the sum of sizes; of
+    items over a (p + 1)-th of the capacity a window holds p; items over half
+    the capacity are apart, and those of size t or more can't join the ones over capacity - t."""
+    down = np.sort(sizes)[::-1]
+    total = np.concatenate([[0], np.cumsum(down)])
+    least = -(-int(total[-1]) // capacity)
+    if not len(down):
+        return 0
+    for p in range(1, capacity // int(down[-1]) + 1):
+        over = int(np.searchsorted(-down, -capacity / (p + 1), side="left"))
+        least = max(least, -(-over // p))
+    big = int(np.searchsorted(-down, -capacity / 2, side="left"))  # down[:big] are over half
+    for t in np.unique(down[down * 2 <= capacity]).tolist():
+        alone = int(np.searchsorted(-down, -(capacity - t), side="left"))  # over capacity - t
+        upto = int(np.searchsorted(-down, -t, side="right"))  # of size t or more
+        rest = int(total[upto] - total[big]) - ((big - alone) * capacity - int(total[big] - total[alone]))
+        least = max(least, big + max(0, -(-rest // capacity)))
+    return least
 
 
 def windows(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     """Items (by index, sizes from 1 to capacity) in few windows.
 
-    Differencing starts with as many windows as the sum of sizes needs, and
-    their number rises one by one while one exceeds the capacity. It rises no further than
-    best fit needs: with three or four items to a window differencing can't
-    level the sums any more, and the windows of best fit are taken then.
+    Differencing starts with as many windows as are needed at least; their
+    number rises one by one while exchanges can't bring all under the capacity.
     """
-    if not len(sizes):
-        return []
-    other = best_fit(sizes, capacity)
-    for k in range(-(-int(sizes.sum()) // capacity), len(other) + 1):
+    k = least_windows(sizes, capacity)
+    while len(sizes):
         found = difference(sizes, k)
-        if max(int(sizes[w].sum()) for w in found) <= capacity:
+        if exchange(sizes, found, capacity):
             return found
-    return other
+        k += 1
+    return []
 
 
 def pack(documents: DataFrame, specs: DataFrame) -> DataFrame:

@@ -74,9 +74,25 @@ def test_windows_hold_all_items(capacity):
         got = packing.windows(sizes, capacity)
         assert sorted(i for w in got for i in w) == list(range(n))
         assert all(sizes[w].sum() <= capacity for w in got)
-        assert len(got) <= len(packing.best_fit(sizes, capacity))
-        if n >= 300:
-            assert len(got) <= -(-sizes.sum() // capacity) * 1.03 + 1 or (2 * sizes > capacity).sum() >= len(got) - 1
+        assert packing.least_windows(sizes, capacity) <= len(got) <= packing.least_windows(sizes, capacity) * 1.03 + 1
+
+
+def test_least_windows_is_a_bound():
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        k, capacity = int(rng.integers(1, 9)), int(rng.integers(4, 60))
+        parts = [np.diff(np.sort(np.concatenate([[0, capacity], rng.integers(0, capacity, rng.integers(0, 5))]))) for _ in range(k)]
+        sizes = np.concatenate(parts)
+        assert packing.least_windows(sizes[sizes > 0], capacity) <= k  # they fit in k windows by construction
+    assert packing.least_windows(np.full(10, 6), 10) == 10 and packing.least_windows(np.full(10, 4), 10) == 5 and packing.least_windows(np.array([7, 7, 5, 5]), 10) == 3
+
+
+def test_exchange_levels_what_differencing_left():
+    sizes = np.array([6, 5, 4, 4, 5, 6])
+    found = [[0, 1], [2, 3], [4, 5]]
+    assert packing.exchange(sizes, found, 10)
+    assert sorted(i for w in found for i in w) == list(range(6)) and all(sizes[w].sum() == 10 for w in found)
+    assert not packing.exchange(np.array([6, 6]), [[0, 1]], 10)
 
 
 def test_differencing_levels_windows():
@@ -109,5 +125,6 @@ def test_pack_query(spark):
 def test_differencing_tries_every_count(monkeypatch):
     tried, real = [], packing.difference
     monkeypatch.setattr(packing, "difference", lambda sizes, k: tried.append(k) or real(sizes, k))
+    monkeypatch.setattr(packing, "least_windows", lambda sizes, capacity: 6)
     assert len(packing.windows(np.full(9, 6), 10)) == 9
     assert tried == [6, 7, 8, 9]
