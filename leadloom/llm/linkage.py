@@ -3,13 +3,13 @@
 Method: cross-table retrieval. All attributes of a lead are terms of an
 inverted index, weighted by BM25 (every term occurs once in a record and
 records are of one length, so a weight is its inverse document frequency times
-its field's share). Pruning is by a fixed score floor in place of top-k: the
-commonest terms whose weights together stay below LEAST_SCORE are not looked
-up, so a record whose nearest lead scores below the floor may get no candidate.
-A record takes its nearest lead; the lead takes every record of at least NEAR
-of its best score, as repetitions of a person are all wanted. The score and its gap to the next lead give a
-confidence through a logistic curve fitted to the pairs at hand. Near pairs are
-then checked attribute by attribute.
+its field's share). A record is scored against the leads that can reach the
+least score, and its TOP nearest are compared attribute by attribute. It goes to
+its nearest lead. On the lead's side several records may be wanted, as all
+repetitions of a person are, so how near the record is to the lead's nearest
+counts instead of a place. Score, gap to the next lead, nearness from the
+lead's side and agreement give a confidence through a logistic curve. Its labels
+come from a mixture of matches and others fitted to the pairs themselves.
 
 Records equal in all compared attributes are one class; classes are matched and
 the pairs expanded to their members at the end.
@@ -22,11 +22,13 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.llm.canonical import SHORT, one_slip
+from leadloom.operators.tables import top_rows
 from leadloom.session import cut
 
 # Words around names and companies.
@@ -42,15 +44,20 @@ NICKNAMES = {
     "tom": "thomas", "tommy": "thomas", "will": "william", "bill": "william", "billy": "william", "jim": "james", "jimmy": "james", "joe": "joseph", "joey": "joseph", "jon": "jonathan", "ed": "edward", "eddie": "edward", "ted": "edward", "ned": "edward",
     "greg": "gregory", "jess": "jessica", "jessie": "jessica", "meg": "margaret", "maggie": "margaret", "peggy": "margaret", "pat": "patricia", "trish": "patricia", "patty": "patricia", "tricia": "patricia", "rick": "richard", "rich": "richard", "dick": "richard", "ricky": "richard", "richie": "richard",
     "sue": "susan", "suzy": "susan", "susie": "susan", "deb": "deborah", "debbie": "deborah", "debby": "deborah", "vicky": "victoria", "vicki": "victoria", "tori": "victoria", "judy": "judith", "jude": "judith", "theo": "theodore", "teddy": "theodore", "gabby": "gabriella", "gabi": "gabriella", "ella": "gabriella",
-    "toby": "tobias", "tony": "anthony", "ron": "ronald", "ken": "kenneth", "larry": "lawrence", "charlie": "charles", "chuck": "charles", "fred": "frederick", "gus": "gustav", "max": "maximilian", "nate": "nathan", "pete": "peter", "phil": "philip", "steve": "stephen", "zach": "zachary", "mandy": "amanda", "cathy": "catherine", "cindy": "cynthia",
+    "toby": "tobias", "tony": "anthony", "ron": "ronald", "ken": "kenneth", "larry": "lawrence", "charlie": "charles", "chuck": "charles", "fred": "frederick", "gus": "gustav", "max": "maximilian", "nate": "nathan", "pete": "peter", "phil": "philip", "steve": "stephen", "zach": "zachary", "mandy": "amanda", "benji": "benjamin", "jonny": "jonathan", "sammie": "samantha", "sasha": "alexander", "suzie": "susan", "cathy": "catherine", "cindy": "cynthia",
 }
+#: Chief officers.
+CHIEFS = {"ceo": "chief executive officer", "cfo": "chief financial officer", "cto": "chief technology officer", "coo": "chief operating officer", "cmo": "chief marketing officer", "cro": "chief revenue officer", "cpo": "chief product officer"}
 #: share of a field in the score, by the first letter of its terms: C company, F given name, T title word; others 1
 SHARES = {"C": 0.1, "F": 0.3, "T": 0.1}
 #: least score of a match, as a part of the weight of a term of one lead
 LEAST_SCORE = 0.7
-#: of a lead's best score, what a record needs to be near it
-NEAR = 0.35
-LEAST_CONFIDENCE = 0.1
+#: least confidence of a match
+LEAST_CONFIDENCE = 0.5
+#: pairs, drawn by hash, to which the logistic curve is fitted on the driver (about; fewer if there are fewer)
+LABELLED = 20_000
+#: nearest leads of a record that are compared attribute by attribute
+TOP = 5
 FEATURES = "class_id bigint, first string, last string, mask string, cores array<string>, heads array<string>, title array<string>, terms array<string>"
 
 
@@ -129,7 +136,7 @@ def title_words(title: str | None) -> list[str]:
     """The words of a title, abbreviations written out (the first meaning), in order of the alphabet."""
     out = set()
     for word in re.findall(r"[a-z]+", fold(title)):
-        out.update(SHORT.get(word, word).split("|")[0].split())
+        out.update((CHIEFS.get(word) or SHORT.get(word, word)).split("|")[0].split())
     return sorted(out - {"of", "and", "the", "emea", "us", "eu"})
 
 
@@ -218,10 +225,15 @@ def _classes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("class_id").agg(*lists, F.max_by("title", F.size("title")).alias("title"), F.max_by("terms", F.size("title")).alias("terms"))
 
 
-def candidates(leads: DataFrame, persons: DataFrame) -> tuple[DataFrame, float]:
-    """Pairs of a person class and a lead class that share a looked-up term,
-    with the score over the shared looked-up terms; and the weight of a term of
-    one lead. No pair whose whole score reaches the least score is missing."""
+def candidates(leads: DataFrame, persons: DataFrame, k: int = TOP) -> tuple[DataFrame, float]:
+    """The k lead classes of the highest BM25 score of each person class: person,
+    lead, found (the score over all shared terms), place; and the weight of a term of one lead.
+
+    The top k are exact among the leads whose score reaches the least score:
+    the commonest terms of a record whose weights together stay below it can't
+    bring a lead there by themselves, so that only leads sharing one of
+    the other terms are scored; these are scored over all terms.
+    """
     n = leads.count()
     top = math.log(1 + (n - 0.5) / 1.5)
     posting = leads.select(F.col("class_id").alias("lead"), F.explode("terms").alias("term"))
@@ -229,12 +241,16 @@ def candidates(leads: DataFrame, persons: DataFrame) -> tuple[DataFrame, float]:
     share = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SHARES.items() for x in kv]), F.substring("term", 1, 1)), F.lit(1.0))
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = posting.groupBy("term").agg(F.count("*").alias("df")).select(F.xxhash64("term").alias("key"), "term", (idf * share).alias("weight"))
-    asked = asked.join(weights, "term").select("person", "key", "weight")
-    # the commonest terms whose weights stay together below the least score need no look-up
-    common_first = Window.partitionBy("person").orderBy("weight", "key").rowsBetween(Window.unboundedPreceding, 0)
-    looked_up = asked.withColumn("below", F.sum("weight").over(common_first)).filter(F.col("below") >= LEAST_SCORE * top).select("person", "key", "weight")
-    pairs = looked_up.join(posting.select("lead", F.xxhash64("term").alias("key")), "key").groupBy("person", "lead").agg(F.sum("weight").alias("found"))
-    return pairs, top
+    terms = asked.join(weights, "term").groupBy("person").agg(F.array_sort(F.collect_list(F.struct("weight", "key"))).alias("query"))
+    terms = cut(terms)  # a row per record, read by the look-up and by the scoring
+    total = lambda part: F.aggregate(part, F.lit(0.0), lambda acc, t: acc + t["weight"])
+    rarer = F.filter("query", lambda t: total(F.filter("query", lambda u: u <= t)) >= LEAST_SCORE * top)
+    looked_up = terms.select("person", F.explode(F.transform(rarer, lambda t: t["key"])).alias("key"))
+    pairs = looked_up.join(posting.select("lead", F.xxhash64("term").alias("key")), "key").select("person", "lead").distinct()
+    keys = leads.select(F.col("class_id").alias("lead"), F.transform("terms", lambda t: F.xxhash64(t)).alias("keys"))
+    shared = F.filter("query", lambda t: F.array_contains("keys", t["key"]))
+    scored = pairs.join(terms, "person").join(keys, "lead").select("person", "lead", total(shared).alias("found")).filter(F.col("found") >= LEAST_SCORE * top)
+    return top_rows(scored, ["person"], [F.desc("found"), F.col("lead")], k), top
 
 
 def _same_first(a: str, b: str) -> float:
@@ -315,28 +331,63 @@ def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["person", "lead", "found", "first", "last", "company", "title"])
 
 
-def _fit(sample: DataFrame, rounds: int = 8) -> tuple[float, float, float]:
-    """Intercept and slopes (score, gap) of a logistic curve, by Newton steps over all pairs (ridge 1e-2)."""
-    import numpy as np
+#: lower bounds of the levels of agreement of names, companies and titles, and of the gap as a part of the score
+NAME_LEVELS, COMPANY_LEVELS, TITLE_LEVELS, GAP_LEVELS = (0.01, 0.45, 0.55, 0.65, 0.75, 0.95), (0.01, 0.6, 0.8, 0.95), (0.01, 0.34, 0.5, 0.51, 0.67, 0.95), (0.0, 0.05, 0.3, 0.6, 0.9)
+
+
+def _level(value: Column, bounds: tuple[float, ...]) -> Column:
+    return sum((F.when(value >= bound, 1).otherwise(0) for bound in bounds), F.lit(0)).cast("int")
+
+
+#: what is told apart in a pair, with the number of levels: who it is (name and company together), the title, the gap
+VIEWS = {"who": (len(NAME_LEVELS) + 1) * (len(COMPANY_LEVELS) + 1), "what": len(TITLE_LEVELS) + 1, "apart": len(GAP_LEVELS) + 1}
+
+
+def view(name: str) -> Column:
+    """The level of a pair in a view."""
+    if name == "who":
+        return _level(F.col("first") * F.col("last"), NAME_LEVELS) * (len(COMPANY_LEVELS) + 1) + _level(F.col("company"), COMPANY_LEVELS)
+    return _level(F.col("title"), TITLE_LEVELS) if name == "what" else _level(F.col("gap"), GAP_LEVELS)
+
 
-    w = np.zeros(3)
+def agreement_weights(near: DataFrame, rounds: int = 60) -> tuple[int, float, dict[str, list[float]]]:
+    """The number of pairs, the log-odds of a pair to be one person before its
+    views, and what each level of each view adds: a mixture of matches and
+    others with independent views, fitted by expectation-maximisation to the
+    counts of all combinations of levels (at most 1,470 rows, whatever the
+    input). No labels and no rules of decision are used. No pairs give zeros."""
+    sizes = list(VIEWS.values())
+    rows = near.groupBy(*[view(v).alias(v) for v in VIEWS]).agg(F.count("*").alias("n"), F.avg((F.col("first") * F.col("last") * 2 + F.col("company") + F.col("title")) / 4).alias("p")).collect()
+    if not rows:
+        return 0, 0.0, {v: [0.0] * size for v, size in VIEWS.items()}
+    levels, n = np.array([[r[v] for v in VIEWS] for r in rows]), np.array([r["n"] for r in rows], dtype=float)
+    p = np.clip([r["p"] for r in rows], 0.02, 0.98)  # pairs that agree more are likelier one person, to begin with
     for _ in range(rounds):
-        z = F.lit(float(w[0])) + F.lit(float(w[1])) * F.col("score") + F.lit(float(w[2])) * F.col("gap")
-        p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
-        cols = [F.lit(1.0), F.col("score"), F.col("gap")]
-        s = sample.select(*[c.alias(f"x{i}") for i, c in enumerate(cols)], p.alias("p"), F.col("label").cast("double").alias("y"))
-        sums = s.agg(*[F.sum((F.col("y") - F.col("p")) * F.col(f"x{i}")) for i in range(3)], *[F.sum(F.col("p") * (1 - F.col("p")) * F.col(f"x{i}") * F.col(f"x{j}")) for i in range(3) for j in range(3)]).first()
-        if sums[0] is None:
-            return (0.0, 0.0, 0.0)
-        g = np.array(sums[:3]) - 1e-2 * w
-        h = np.array(sums[3:]).reshape(3, 3) + 1e-2 * np.eye(3)
-        w = w + np.clip(np.linalg.solve(h, g), -20, 20)
-    return tuple(float(v) for v in w)
+        share = np.clip((n * p).sum() / n.sum(), 1e-3, 1 - 1e-3)
+        logs = []
+        for j, size in enumerate(sizes):
+            m, u = np.bincount(levels[:, j], n * p, size) + 0.5, np.bincount(levels[:, j], n * (1 - p), size) + 0.5
+            logs.append(np.log(m / m.sum()) - np.log(u / u.sum()))
+        odds = math.log(share / (1 - share)) + sum(logs[j][levels[:, j]] for j in range(len(sizes)))
+        p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+    return int(n.sum()), math.log(share / (1 - share)), {v: logs[j].tolist() for j, v in enumerate(VIEWS)}
+
+
+def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 25) -> np.ndarray:
+    """Intercept and slopes of a logistic curve of the columns of x to the labels y between 0 and 1, by Newton steps (ridge 1e-2)."""
+    x = np.column_stack([np.ones(len(x)), x])
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds if len(x) else 0):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w))
+        w = w + np.clip(np.linalg.solve(h, x.T @ (y - p) - 1e-2 * w), -5, 5)
+    return w
 
 
 def matched_people(leads: DataFrame, persons: DataFrame) -> DataFrame:
-    """gtm_id, person_id, confidence: pairs of a published lead and a provider
-    record about the same person at the same company, every repetition included.
+    """gtm_id, person_id, confidence, mutual: pairs of a published lead and a
+    provider record about the same person at the same company, every repetition
+    included; mutual: the record is also the lead's nearest.
 
     Records without a name match nothing; a missing company or title is no
     contradiction; of equally near leads the one that agrees better by title,
@@ -351,21 +402,21 @@ def matched_people(leads: DataFrame, persons: DataFrame) -> DataFrame:
 
     wide = pairs.join(side(person_classes, "person", "p"), "person").join(side(lead_classes, "lead", "l"), "lead")
     checked = wide.mapInPandas(_check, "person bigint, lead bigint, found double, first double, last double, company double, title double")
-    name = F.col("first") * F.col("last")
-    score = F.col("found") / F.lit(top) + name * 2 + F.col("company") + F.col("title")
-    possible = (F.col("first") > 0) & (F.col("last") > 0) & (F.col("company") > 0) & ((name >= 0.55) | (F.col("title") >= 0.5))
-    certain = (F.col("first") >= 0.8) & (F.col("last") >= 0.8) & (F.col("company") >= 0.7)
-    scored = cut(checked.select("person", "lead", score.alias("score"), possible.alias("possible"), (certain | (possible & (F.col("company") >= 0.7) & (F.col("title") >= 0.5))).alias("label"), "company", "title", "first", "last"))
-    of_person = Window.partitionBy("person").orderBy(F.desc("possible"), F.desc("score"), "lead")
-    near = scored.select("*", F.row_number().over(of_person).alias("place"), F.lead("score").over(of_person).alias("next"))
-    near = near.withColumn("gap", F.col("score") - F.coalesce("next", F.lit(0.0)))
-    best_of_lead = scored.groupBy("lead").agg(F.max("score").alias("best"))
-    near = cut(near.join(best_of_lead, "lead").withColumn("label", F.col("label") & (F.col("place") == 1)))
-    b0, b1, b2 = _fit(near.select("score", "gap", "label"))
-    confidence = 1 / (1 + F.exp(-(F.lit(b0) + F.lit(b1) * F.col("score") + F.lit(b2) * F.col("gap"))))
-    mutual = (F.col("place") == 1) & (F.col("score") >= NEAR * F.col("best"))
-    # alone enough: all compared attributes agree, or one that is missing is made up for by the title
-    sound = (F.col("company") >= 0.7) | ((F.col("company") == 0.5) & (F.col("first") >= 0.8) & (F.col("last") >= 0.8) & (F.col("title") >= 0.6))
-    kept = near.filter(mutual & F.col("possible") & sound & (confidence >= LEAST_CONFIDENCE)).select("person", "lead", confidence.alias("confidence"))
+    of_person = Window.partitionBy("person").orderBy(F.desc("found"), F.desc("title"), "lead")
+    ranked = checked.select("*", F.row_number().over(of_person).alias("place"), F.lead("found", 1, 0.0).over(of_person).alias("next"), F.first("found").over(of_person).alias("best"))
+    gap = F.col("found") - F.when(F.col("place") == 1, F.col("next")).otherwise(F.col("best"))
+    ranked = cut(ranked.withColumn("gap", gap / F.col("found")).withColumn("score", F.col("found") / F.lit(top)))
+    of_lead = ranked.groupBy("lead").agg(F.max("found").alias("most"))
+    near = ranked.join(of_lead, "lead").withColumn("nearness", F.col("found") / F.col("most"))
+    n, base, weights = agreement_weights(near)
+    odds = lambda *views: F.lit(base) + sum((F.array(*[F.lit(w) for w in weights[v]])[view(v)] for v in views), F.lit(0.0))
+    near = near.withColumn("agreement", odds("who", "what")).withColumn("label", 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), odds(*VIEWS))))))
+    features = ("agreement", "score", "gap", "nearness")
+    sampled = F.pmod(F.xxhash64("person", "lead"), F.lit(1_000_000)) < F.lit(1_000_000 * LABELLED // max(n, LABELLED))
+    sample = np.array([tuple(r) for r in near.filter(sampled).select(*features, "label").collect()], dtype=float).reshape(-1, len(features) + 1)
+    w = _fit(sample[:, :-1], sample[:, -1])
+    confidence = 1 / (1 + F.exp(-sum((F.lit(float(v)) * F.col(f) for v, f in zip(w[1:], features, strict=True)), F.lit(float(w[0])))))
+    kept = near.withColumn("confidence", confidence).filter((F.col("place") == 1) & (F.col("confidence") >= LEAST_CONFIDENCE) & (F.col("company") > 0))
+    kept = kept.select("person", "lead", "confidence", (F.col("nearness") == 1).alias("mutual"))
     members = kept.join(person_rows.select(F.col("class_id").alias("person"), F.col("member").alias("person_id")), "person")
-    return members.join(lead_rows.select(F.col("class_id").alias("lead"), F.col("member").alias("gtm_id")), "lead").select("gtm_id", "person_id", "confidence").dropDuplicates(["gtm_id", "person_id"])
+    return members.join(lead_rows.select(F.col("class_id").alias("lead"), F.col("member").alias("gtm_id")), "lead").select("gtm_id", "person_id", "confidence", "mutual").dropDuplicates(["gtm_id", "person_id"])
