@@ -131,15 +131,28 @@ def windows(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     """Items (by index, sizes from 1 to capacity) in few windows.
 
     Differencing starts with as many windows as are needed at least; their
-    number rises one by one while exchanges can't bring all under the capacity.
+    number rises while exchanges can't bring all under the capacity: by growing
+    steps at first, then the steps are halved back, so that the last count that
+    failed is one below the result.
     """
-    k = least_windows(sizes, capacity)
-    while len(sizes):
+    if not len(sizes):
+        return []
+
+    def tried(k: int) -> list[list[int]] | None:
         found = difference(sizes, k)
-        if exchange(sizes, found, capacity):
-            return found
-        k += 1
-    return []
+        return found if exchange(sizes, found, capacity) else None
+
+    failed, step = least_windows(sizes, capacity) - 1, 1
+    while (good := tried(failed + step)) is None:
+        failed, step = failed + step, 2 * step
+    while step > 1:
+        step //= 2
+        found = tried(failed + step)
+        if found is None:
+            failed += step
+        else:
+            good = found
+    return good
 
 
 def pack(documents: DataFrame, specs: DataFrame) -> DataFrame:

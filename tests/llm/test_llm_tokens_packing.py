@@ -122,9 +122,11 @@ def test_pack_query(spark):
     assert packing.pack(docs.limit(0), specs).count() == 0
 
 
-def test_differencing_tries_every_count(monkeypatch):
+def test_count_below_the_result_fails(monkeypatch):
     tried, real = [], packing.difference
     monkeypatch.setattr(packing, "difference", lambda sizes, k: tried.append(k) or real(sizes, k))
-    monkeypatch.setattr(packing, "least_windows", lambda sizes, capacity: 6)
-    assert len(packing.windows(np.full(9, 6), 10)) == 9
-    assert tried == [6, 7, 8, 9]
+    monkeypatch.setattr(packing, "least_windows", lambda sizes, capacity: 40)
+    for n in (40, 41, 47, 48, 64, 100):
+        tried.clear()
+        assert len(packing.windows(np.full(n, 6), 10)) == n
+        assert n in tried and (n == 40 or n - 1 in tried)
