@@ -21,6 +21,7 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -104,6 +105,7 @@ def split_name(name: str | None, first: str | None, last: str | None) -> tuple[s
     return _name_key(given) if len(given) > 1 else given, "-".join(filter(None, (_name_key(p) for p in family.split("-"))))
 
 
+@lru_cache(1 << 16)
 def domain_core(site: str | None) -> str:
     """The name in a site's host, without host parts that many sites share."""
     host = re.sub(r"^[a-z]+://", "", fold(site).strip()).split("/")[0].split("?")[0].split(":")[0].strip(". ")
@@ -124,6 +126,7 @@ def _stem(core: str) -> str:
     return re.sub(r"(?:app|hq)$", "", core) if len(core) > 7 else core
 
 
+@lru_cache(1 << 16)
 def company_words(name: str | None) -> list[str]:
     """The words of a company's name without legal forms."""
     words = re.findall(r"[a-z]+", re.sub(r"(?<=\b[a-z])\.(?=[a-z]\b)", "", fold(name)))
@@ -132,6 +135,7 @@ def company_words(name: str | None) -> list[str]:
     return words
 
 
+@lru_cache(1 << 16)
 def title_words(title: str | None) -> list[str]:
     """The words of a title, abbreviations written out (the first meaning), in order of the alphabet."""
     out = set()
