@@ -68,3 +68,26 @@ def test_fields_of_one_target_keep_their_values(spark):
     got = drift.consistent_table(records, drift.schema_changes(records)).filter("file_seq = 3").orderBy("line_no").collect()
     assert [r.remote for r in got] == [False, True]
     assert [r.fields for r in got] == [{"id": "x", "remote": "no", "isRemote": "true", "a.b": "1", "a.b#2": "2"}, {"id": "y", "remote": "true"}]
+
+
+def test_migration_steps_are_recorded(spark):
+    files = {1: [{"id": "x", "remote": True, "workplaceType": "remote"}, "{bad"], 2: [{"id": "x", "isRemote": True, "workplaceType": ["remote"]}, {"id": "y", "isRemote": "yes"}], 3: [{"id": "z", "isRemote": True}], 4: ["{bad"]}
+    records = table(spark, files)
+    got = {tuple(r)[1:] for r in drift.migration_steps(records, drift.schema_changes(records)).collect()}
+    assert got == {(2, "rename", "isRemote", "remote", ""), (2, "cast", "isRemote", "remote", "boolean,string"), (2, "cast", "workplaceType", "workplaceType", "array"), (3, "rename", "isRemote", "remote", ""), (3, "default", "", "workplaceType", "null")}
+    empty = records.limit(0)
+    assert drift.migration_steps(empty, drift.schema_changes(empty)).count() == drift.consistent_table(empty, drift.schema_changes(empty)).count() == 0
+
+
+def test_names_that_come_back_start_anew(spark):
+    one = lambda **f: [{"id": "x", **f}]
+    files = {1: one(a=1), 2: one(b=1), 3: one(c=1), 4: one(c=1, b=7), 5: one(a=1, b=7), 6: one(b=7)}
+    records = table(spark, files)
+    spans = {tuple(r)[1:] for r in drift.rename_spans(drift.schema_changes(records)).collect()}
+    assert spans == {("b", "a", 2, 3), ("c", "a", 3, 5)}
+
+
+def test_versions_count_fingerprints(spark):
+    files = {1: [{"id": "x", "a": 1}], 2: [{"id": "y", "a": 2}], 3: [{"id": "y", "a": "2"}], 4: [{"id": "y", "a": "3"}]}
+    got = sorted((r.file_seq, r.version) for r in drift.file_versions(table(spark, files)).collect())
+    assert got == [(1, 1), (2, 1), (3, 2), (4, 2)]
