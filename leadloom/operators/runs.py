@@ -18,8 +18,10 @@ def run_ledger(snapshots: DataFrame) -> DataFrame:
 
 def latest_run(runs: DataFrame) -> DataFrame:
     """The last run of each company; of runs begun together the one with the least run_id."""
-    last = Window.partitionBy("company_id").orderBy(F.desc("started_at"), F.col("run_id"))
-    return runs.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
+    least_last = F.concat(F.transform(F.split("run_id", ""), lambda c: -F.ascii(c)), F.array(F.lit(1)))  # a smaller run_id is a greater list
+    rest = F.struct(*[F.col(c) for c in runs.columns if c != "company_id"])
+    best = runs.groupBy("company_id").agg(F.max_by(rest, F.struct("started_at", least_last)).alias("_run"))
+    return best.select("company_id", "_run.*")
 
 
 def coverage(runs: DataFrame) -> DataFrame:
@@ -35,14 +37,28 @@ def status_counts(runs: DataFrame) -> DataFrame:
     return runs.groupBy("source_platform", "status").agg(F.count("*").alias("runs"))
 
 
-def run_decisions(runs: DataFrame) -> DataFrame:
-    """Each run with first_success (no successful run before it) and suspicious
-    (successful, without jobs, after a successful run with jobs)."""
-    before = Window.partitionBy("board_id").orderBy("run_seq").rowsBetween(Window.unboundedPreceding, -1)
+def judged_runs(runs: DataFrame) -> DataFrame:
+    """Each run with first_success (no successful run before it), suspicious
+    (successful, without jobs, after a successful run with jobs) and
+    prior_suspicious (of the run before it)."""
+    by_board = Window.partitionBy("board_id").orderBy("run_seq")
+    before = by_board.rowsBetween(Window.unboundedPreceding, -1)
     ok = F.col("status") == "success"
     had = F.max(F.when(ok, F.col("run_seq"))).over(before)
     jobs_before = F.max_by("jobs_found", F.when(ok, F.col("run_seq"))).over(before)
-    return runs.select("board_id", "run_seq", (ok & had.isNull()).alias("first_success"), F.coalesce(ok & (F.col("jobs_found") == 0) & (jobs_before > 0), F.lit(False)).alias("suspicious"))
+    judged = runs.select("*", (ok & had.isNull()).alias("first_success"), F.coalesce(ok & (F.col("jobs_found") == 0) & (jobs_before > 0), F.lit(False)).alias("suspicious"))
+    return judged.withColumn("prior_suspicious", F.coalesce(F.lag("suspicious").over(by_board), F.lit(False)))
+
+
+def run_decisions(runs: DataFrame) -> DataFrame:
+    """board_id, run_seq, first_success, suspicious of each run."""
+    return judged_runs(runs).select("board_id", "run_seq", "first_success", "suspicious")
+
+
+def zero_jobs_decisions(runs: DataFrame) -> DataFrame:
+    """board_id, run_seq, decision of the successful runs without jobs: hold (suspicious), emptied (the run before was held), accept."""
+    empty = judged_runs(runs).filter((F.col("status") == "success") & (F.col("jobs_found") == 0))
+    return empty.select("board_id", "run_seq", F.when(F.col("suspicious"), "hold").when(F.col("prior_suspicious"), "emptied").otherwise("accept").alias("decision"))
 
 
 def drift_reasons(runs: DataFrame) -> DataFrame:

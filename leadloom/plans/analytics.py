@@ -36,12 +36,12 @@ def _sql_list(words) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
 
-def _contains_any(text: str, words) -> str:
+def contains_any(text: str, words) -> str:
     return "(" + " or ".join(f"contains({text}, '{w}')" for w in words) + ")"
 
 
-def _case_first(text: str, groups) -> str:
-    return "case " + " ".join(f"when {_contains_any(text, words)} then '{name}'" for name, words in groups) + " end"
+def case_first(text: str, groups) -> str:
+    return "case " + " ".join(f"when {contains_any(text, words)} then '{name}'" for name, words in groups) + " end"
 
 
 # --- records and keys -------------------------------------------------------
@@ -139,7 +139,7 @@ def context_signals(spark: SparkSession, folder: str) -> DataFrame:
 # --- normalisation ----------------------------------------------------------
 
 
-@query(f"select raw_id, {_case_first('lower(title)', rules.SENIORITY_KEYWORDS)} as seniority, {_case_first("(lower(title) || ' ')", rules.FUNCTION_KEYWORDS)} as function from raw_posting where title is not null")
+@query(f"select raw_id, {case_first('lower(title)', rules.SENIORITY_KEYWORDS)} as seniority, {case_first("(lower(title) || ' ')", rules.FUNCTION_KEYWORDS)} as function from raw_posting where title is not null")
 def title_classes(spark: SparkSession, folder: str) -> DataFrame:
     title = F.col("title")
     return table(spark, folder, "raw_posting").filter("title is not null").select("raw_id", P.seniority_class(title).alias("seniority"), P.function_class(title, F.lit(None).cast("string")).alias("function"))
