@@ -36,6 +36,11 @@ TIERS = ((20, 0.35, 0.3), (50, 0.20, 0.6), (150, 0.05, 1.0), (None, -0.10, 1.0))
 # where the size is unknown: funding stage to the tier's place
 STAGE_TIER = {"pre-seed": 0, "seed": 0, "series a": 1, "series b": 2}
 WEIGHTS = {"function": 0.35, "seniority": 0.30, "ownership": 0.20, "location": 0.05, "recruiter": 0.15, "short_tenure": -0.10}
+REPORTS_TO = r"(?i)reports?\s+to\s+(?:the\s+)?([A-Z][A-Za-z/&\- ]{2,60})"
+# what each weakness takes from a match's confidence
+CONFIDENCE_LOSS = {"unclassified": 0.15, "degraded": 0.20, "guessed": 0.10, "thin": 0.15, "unreachable": 0.15}
+# labels of a score, best first, with the least score of each
+LABELS = (("correct_owner", 0.6), ("plausible", 0.3))
 OWNER_TITLES = {
     "engineering": ("VP Engineering", "Head of Engineering", "Director of Engineering", "Engineering Manager", "CTO"),
     "product": ("VP Product", "Head of Product", "Director of Product", "Group Product Manager", "CPO"),
@@ -77,3 +82,22 @@ EMPLOYMENT_TYPES = {
     "CONTRACT": "contract", "CONTRACTOR": "contract", "TEMPORARY": "contract", "INTERN": "internship", "INTERNSHIP": "internship",
 }
 WORKPLACE_TYPES = {"remote": "remote", "hybrid": "hybrid", "onsite": "onsite", "on-site": "onsite", "on_site": "onsite", "on site": "onsite", "office": "onsite", "in-office": "onsite"}
+# ranking: half-life in days and least weight of a posting's age, weights of how a lead can be reached, shares of signals of the company
+RECENCY_HALF_LIFE, RECENCY_LEAST = 14.0, 0.3
+REACH = (("verified email", 1.0), ("guessed email", 0.7), ("phone only", 0.6), ("no contact on file", 0.4))
+CONTEXT = {"funding": 0.15, "hiring": 0.10}
+FUNDING_WORDS = ("raised", "funding", "series a", "series b", "seed round", "investment")
+HIRING_WORDS = ("hiring", "growth", "expanding", "new head", "joins as", "appoints")
+# words that say nothing when texts are compared; those of titles beside
+STOP_WORDS, GENERIC_TITLE_WORDS = ("of", "the", "and", "a", "an"), ("vp", "head", "chief", "director", "manager", "lead", "president", "officer", "of")
+# employment types as two platforms and all others write them
+LEVER_TYPES = {"full time": "full_time", "part time": "part_time", "contract": "contract", "temporary": "contract", "internship": "internship", "intern": "internship"}
+ASHBY_TYPES = {"fulltime": "full_time", "parttime": "part_time", "contract": "contract", "intern": "internship", "internship": "internship"}
+SCHEMA_TYPES = {"FULL_TIME": "full_time", "PART_TIME": "part_time", "CONTRACTOR": "contract", "TEMPORARY": "contract", "INTERN": "internship"}
+# confidence of each way to tell a page's platform, and the least one that routes to it
+FINGERPRINTS = {"url_host": 0.98, "redirect": 0.95, "embed": 0.90, "network": 0.85, "dom": 0.75, "cname": 0.60}
+ROUTABLE, ROUTING_LEAST = ("greenhouse", "lever", "ashby", "workable", "smartrecruiters", "recruitee", "rippling"), 0.8
+SPA_ROOTS, SUSPENSE_MARK = ("root", "app", "__next", "___gatsby"), "<!--$-->"
+# confidence of each way to find a company's careers page
+RESOLUTION = {"manual": 1.0, "homepage_board": 0.95, "homepage_own": 0.85, "path": 0.75, "sitemap": 0.75, "search_restricted": 0.60, "search_open": 0.40}
+UNRESOLVED = ("no_careers_page", "resolution_unvalidated", "domain_unreachable", "needs_review")

@@ -46,6 +46,44 @@ def seniority_score(job: Column, lead: Column, penalty: Column) -> Column:
     return F.lit(1.0) - (F.lit(1.0) - base.otherwise(0.3)) * penalty
 
 
+def reporting_line(description: Column) -> Column:
+    """Whom a posting says it reports to, without end marks; null if it says nothing."""
+    line = F.regexp_extract(description, rules.REPORTS_TO, 1)
+    return F.nullif(F.regexp_replace(F.trim(line), r"[.,;]+$", ""), F.lit(""))
+
+
+def ownership_score(job_function: Column, title: Column, line: Column) -> Column:
+    """1 if the lead's title holds the reporting line, 0.8 if it is one of the function's owner titles, else 0."""
+    owns = F.lit(False)
+    for function, titles in rules.OWNER_TITLES.items():
+        owns = owns | ((job_function == function) & F.lower(title).isin(*[t.lower() for t in titles]))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return F.when(yes(F.lower(title).contains(F.lower(line)) & (line != "")), 1.0).when(yes(owns), 0.8).otherwise(0.0)
+
+
+def signals_met(*signals: Column) -> Column:
+    """How many of the signals are above 0."""
+    return sum((F.when(s > 0, 1).otherwise(0) for s in signals), F.lit(0))
+
+
+def match_confidence(classified: Column, degraded: Column, guessed: Column, met: Column, reachable: Column) -> Column:
+    """How well founded a match is: 1 less a part for every weakness of its evidence, between 0 and 1, in the order of the rules."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    weak = {"unclassified": ~yes(classified), "degraded": yes(degraded), "guessed": yes(guessed), "thin": met <= 1, "unreachable": ~yes(reachable)}
+    score = F.lit(1.0)
+    for name, part in rules.CONFIDENCE_LOSS.items():
+        score = score - F.when(weak[name], part).otherwise(0.0)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
+
+
+def match_label(score: Column) -> Column:
+    """The label of a score: the first threshold it reaches."""
+    label = F.lit("wrong")
+    for name, least in reversed(rules.LABELS):
+        label = F.when(score >= least, name).otherwise(label)
+    return label
+
+
 def combined_score(function: Column, seniority: Column, ownership: Column, location: Column, founder_bonus: Column, recruiter: Column, short_tenure: Column) -> Column:
     """The weighted sum, terms added from left to right, between 0 and 1."""
     w = rules.WEIGHTS
@@ -60,16 +98,18 @@ def match_top_k(jobs: DataFrame, leads: DataFrame, companies: DataFrame, floor:
 
     jobs: company_id, job_id, function, seniority, location_raw; leads:
     company_id, lead_id, title_raw, function, seniority, is_founder,
-    is_recruiter, location_raw, tenure_months. Jobs and leads without company
+    is_recruiter, location_raw, tenure_months. jobs may have reporting_line,
+    whom they report to; leads are told apart by their titles then. Jobs and leads without company
     have no match, nulls in other columns score as unknown.
     """
-    job_class = ["company_id", "j_function", "j_seniority", "j_place"]
-    j = jobs.filter("company_id is not null").select("company_id", "job_id", F.col("function").alias("j_function"), F.col("seniority").alias("j_seniority"), F.lower("location_raw").alias("j_place")).dropDuplicates(["job_id"])
+    lines = "reporting_line" in jobs.columns
+    job_class = ["company_id", "j_function", "j_seniority", "j_place", *(["j_line"] if lines else [])]
+    j = jobs.filter("company_id is not null").select("company_id", "job_id", F.col("function").alias("j_function"), F.col("seniority").alias("j_seniority"), F.lower("location_raw").alias("j_place"), *([F.lower("reporting_line").alias("j_line")] if lines else [])).dropDuplicates(["job_id"])
     owner = F.array(*[F.when(F.lower(F.trim("title_raw")).isin(*[t.lower() for t in titles]), F.lit(f)) for f, titles in rules.OWNER_TITLES.items()])
-    lead_class = ["company_id", "l_function", "l_seniority", "is_founder", "is_recruiter", "l_short", "l_owns", "l_place"]
+    lead_class = ["company_id", "l_function", "l_seniority", "is_founder", "is_recruiter", "l_short", "l_owns", "l_place", *(["l_title"] if lines else [])]
     people = leads.filter("company_id is not null").select(
         "company_id", "lead_id", F.col("function").alias("l_function"), F.col("seniority").alias("l_seniority"), "is_founder", "is_recruiter",
-        (F.coalesce("tenure_months", F.lit(99)) < 3).alias("l_short"), F.array_compact(owner).alias("l_owns"), F.lower("location_raw").alias("l_place"),
+        (F.coalesce("tenure_months", F.lit(99)) < 3).alias("l_short"), F.array_compact(owner).alias("l_owns"), F.lower("location_raw").alias("l_place"), *([F.lower("title_raw").alias("l_title")] if lines else []),
     )
     people = top_rows(people, lead_class, [F.col("lead_id")], k, "_n").groupBy(*lead_class).agg(F.array_sort(F.collect_list("lead_id")).alias("lead_ids"))
     tiers = companies.select(F.col("id").alias("company_id"), size_tier(F.col("headcount"), F.col("funding_stage")).alias("tier"))
@@ -77,6 +117,8 @@ def match_top_k(jobs: DataFrame, leads: DataFrame, companies: DataFrame, floor:
     founder_bonus = F.when(F.coalesce("is_founder", F.lit(False)), F.col("tier.founder_bonus")).otherwise(0.0)
     here = F.when(F.coalesce(F.col("l_place").contains(F.col("j_place")) & (F.col("j_place") != ""), F.lit(False)), 0.3).otherwise(0.0)
     owns = F.when(F.coalesce(F.array_contains("l_owns", F.col("j_function")), F.lit(False)), 0.8).otherwise(0.0)
+    if lines:
+        owns = F.when(F.coalesce(F.col("l_title").contains(F.col("j_line")) & (F.col("j_line") != ""), F.lit(False)), 1.0).otherwise(owns)
     score = combined_score(
         function_score(F.col("j_function"), F.col("l_function"), F.col("is_founder"), F.col("is_recruiter")),
         seniority_score(F.col("j_seniority"), F.col("l_seniority"), F.coalesce("tier.penalty", F.lit(rules.TIERS[1][2]))), owns, here, F.coalesce(founder_bonus, F.lit(0.0)), F.col("is_recruiter"), F.col("l_short"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadloom.functions import rules
 from leadloom.operators.tables import rate
 
 
@@ -25,14 +26,30 @@ def latest_run(runs: DataFrame) -> DataFrame:
 
 
 def coverage(runs: DataFrame) -> DataFrame:
-    """One row: runs, success_rate over runs, companies, covered_rate (last run successful), empty_rate (successful last run without jobs); rates of nothing are null."""
+    """One row over the closed runs (with a status): attempted, successful,
+    success_rate, degraded, degraded_rate (over the successful); over the last run of each
+    company companies, resolved (a careers page is known), resolution_rate,
+    with_board (a platform of its own, over the resolved), board_coverage,
+    unscraped (without success), empty (successful without jobs). Rates of nothing are null."""
+    closed = runs.filter(F.col("status").isNotNull())
     ok = F.col("status") == "success"
-    over_runs = runs.agg(F.count("*").alias("runs"), rate(F.count_if(ok), F.count("*")).alias("success_rate"))
-    last = latest_run(runs).agg(F.count("*").alias("companies"), rate(F.count_if(ok), F.count("*")).alias("covered_rate"), rate(F.count_if(ok & (F.col("jobs_found") == 0)), F.count_if(ok)).alias("empty_rate"))
+    over_runs = closed.agg(F.count("*").alias("attempted"), F.count_if(ok).alias("successful"), rate(F.count_if(ok), F.count("*")).alias("success_rate"), F.count_if(F.col("status") == "parse_degraded").alias("degraded"), rate(F.count_if(F.col("status") == "parse_degraded"), F.count_if(ok)).alias("degraded_rate"))
+    known = ~F.col("status").isin(*rules.UNRESOLVED)
+    board = known & F.col("source_platform").isin(*rules.ROUTABLE)
+    last = latest_run(closed).agg(
+        F.count("*").alias("companies"), F.count_if(known).alias("resolved"), rate(F.count_if(known), F.count("*")).alias("resolution_rate"), F.count_if(board).alias("with_board"), rate(F.count_if(board), F.count_if(known)).alias("board_coverage"),
+        F.count_if(~ok).alias("unscraped"), F.count_if(ok & (F.col("jobs_found") == 0)).alias("empty"),
+    )
     both = over_runs.unionByName(last, allowMissingColumns=True)  # one row each
     return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
+def status_frequency(runs: DataFrame, status: str = "ats_unknown") -> DataFrame:
+    """source_platform, runs: how often runs of a platform end so; runs without a platform are left out."""
+    named = runs.filter((F.col("status") == status) & (F.coalesce("source_platform", F.lit("")) != ""))
+    return named.groupBy("source_platform").agg(F.count("*").alias("runs"))
+
+
 def status_counts(runs: DataFrame) -> DataFrame:
     return runs.groupBy("source_platform", "status").agg(F.count("*").alias("runs"))
 
@@ -61,13 +78,20 @@ def zero_jobs_decisions(runs: DataFrame) -> DataFrame:
     return empty.select("board_id", "run_seq", F.when(F.col("suspicious"), "hold").when(F.col("prior_suspicious"), "emptied").otherwise("accept").alias("decision"))
 
 
-def drift_reasons(runs: DataFrame) -> DataFrame:
-    """board_id, run_seq, reasons of runs that differ from the run before: platform_changed, became_unhealthy, emptied."""
+def drift_reasons(runs: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+    """board_id, run_seq, reasons of runs that differ from the platform expected of
+    the company (company_id, expected_platform): platform_unexpected; or from the
+    run before: platform_changed, became_unhealthy, emptied."""
+    if expected is None:
+        runs = runs.withColumn("expected_platform", F.lit(None).cast("string"))
+    else:
+        runs = runs.join(expected.select("company_id", "expected_platform"), "company_id", "left")
     by_board = Window.partitionBy("board_id").orderBy("run_seq")
     was = {c: F.lag(c).over(by_board) for c in ("source_platform", "status", "jobs_found")}
-    marked = runs.select("board_id", "run_seq", "source_platform", "status", "jobs_found", *[c.alias(f"was_{n}") for n, c in was.items()])
+    marked = runs.select("board_id", "run_seq", "source_platform", "expected_platform", "status", "jobs_found", *[c.alias(f"was_{n}") for n, c in was.items()])
     reasons = F.array_compact(
         F.array(
+            F.when(F.col("expected_platform") != F.col("source_platform"), "platform_unexpected"),
             F.when(F.col("was_source_platform") != F.col("source_platform"), "platform_changed"),
             F.when((F.col("was_status") == "success") & (F.col("status") != "success"), "became_unhealthy"),
             F.when((F.col("status") == "success") & (F.col("jobs_found") == 0) & (F.col("was_jobs_found") > 0), "emptied"),

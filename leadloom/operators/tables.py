@@ -46,11 +46,6 @@ def last_known(log: DataFrame, keys: list[str], order: str, columns: list[str])
     return log.filter(" and ".join(f"`{k}` is not null" for k in keys)).groupBy(*keys).agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns])
 
 
-def admitted(requests: DataFrame, group: list[str], order: list[Column], ceiling: int) -> DataFrame:
-    """Requests of unit cost with whether the group's ceiling still admits them, in order."""
-    return requests.withColumn("admitted", F.row_number().over(Window.partitionBy(*group).orderBy(*order)) <= ceiling)
-
-
 def first_with_word(rows: DataFrame, group: list[str], text: str, word: str, order: str) -> DataFrame:
     """Of each group the first row whose text holds the word, else its first row; the row's order value and whether it holds the word."""
     holds = F.coalesce(F.lower(text).contains(word), F.lit(False))

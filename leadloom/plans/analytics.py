@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from leadloom.functions import postings as P
 from leadloom.functions import rules
 from leadloom.operators import boards, matching, runs, web
-from leadloom.operators.tables import admitted, first_with_word, keyed_scan, last_known, latest_per_key, top_rows, without
+from leadloom.operators.tables import first_with_word, keyed_scan, last_known, latest_per_key, top_rows, without
 from leadloom.sources.files import csv_rows
 from leadloom.sources.tables import table
 from leadloom.streaming.changes import windowed_counts
@@ -32,7 +32,7 @@ def query(sql: str | None = None):
     return register
 
 
-def _sql_list(words) -> str:
+def sql_list(words) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
 
@@ -95,23 +95,15 @@ def top_leads_per_company(spark: SparkSession, folder: str) -> DataFrame:
     return top_rows(leads.join(companies, "domain"), ["company_id"], [F.desc("relevance_score"), F.col("gtm_id")], 5).select("company_id", "gtm_id", "relevance_score", "place")
 
 
-@query(
-    """select gtm_id, coalesce(company.name, '') as company_name, coalesce(cast(company.headcount as varchar), '') as company_headcount, coalesce(lead.email, '') as lead_email,
-    coalesce(printf('%.3f', relevance_score), '') as relevance_score, coalesce(cast(rank as varchar), '') as rank from gtm_lead"""
-)
-def csv_export(spark: SparkSession, folder: str) -> DataFrame:
-    return csv_rows(table(spark, folder, "gtm_lead")).select("gtm_id", "company_name", "company_headcount", "lead_email", "relevance_score", "rank")
+_TEXTS = [("company", c) for c in ("name", "domain", "stage", "headcount")] + [("job", c) for c in ("title", "function", "seniority", "location", "posting_url")] + [("lead", c) for c in ("name", "title", "linkedin_url", "email", "phone", "contactability")]
 
 
 @query(
-    """with runs as (select company.domain d, job.posting_url u, lead.name n, generated_at t, gtm_id, row_number() over (partition by company.domain, job.posting_url order by generated_at desc, gtm_id) k from gtm_lead)
-    select a.gtm_id, b.gtm_id as superseded_gtm_id from runs a join runs b on a.d = b.d and a.u = b.u and a.k = 1 and b.k = 2 and a.n <> b.n"""
+    f"""select gtm_id, {", ".join(f"coalesce(cast({s}.{c} as varchar), '') as {s}_{c}" for s, c in _TEXTS)}, coalesce(printf('%.3f', relevance_score), '') as relevance_score, coalesce(printf('%.3f', confidence_score), '') as confidence_score,
+    coalesce(rationale, '') as rationale, coalesce(cast(rank as varchar), '') as rank, coalesce(strftime(make_timestamp(epoch_us(generated_at)), '%Y-%m-%dT%H:%M:%SZ'), '') as generated_at from gtm_lead"""
 )
-def superseded_leads(spark: SparkSession, folder: str) -> DataFrame:
-    leads = table(spark, folder, "gtm_lead").select("gtm_id", F.col("company.domain").alias("domain"), F.col("job.posting_url").alias("url"), F.col("lead.name").alias("name"), "generated_at")
-    two = top_rows(leads.filter("domain is not null and url is not null"), ["domain", "url"], [F.desc("generated_at"), F.col("gtm_id")], 2)
-    pair = two.groupBy("domain", "url").agg(*[F.max(F.when(F.col("place") == i, F.col(c))).alias(f"{c}{i}") for i in (1, 2) for c in ("gtm_id", "name")])
-    return pair.filter("name1 <> name2").select(F.col("gtm_id1").alias("gtm_id"), F.col("gtm_id2").alias("superseded_gtm_id"))
+def csv_export(spark: SparkSession, folder: str) -> DataFrame:
+    return csv_rows(table(spark, folder, "gtm_lead"))
 
 
 @query(
@@ -122,11 +114,6 @@ def last_known_fields(spark: SparkSession, folder: str) -> DataFrame:
     return last_known(table(spark, folder, "lead_record"), ["lead_id"], "ingest_seq", ["email", "phone", "linkedin_url", "location_raw"])
 
 
-@query("select ingest_seq, company_id, row_number() over (partition by company_id order by ingest_seq) <= 25 as admitted from lead_record")
-def budget_admission(spark: SparkSession, folder: str) -> DataFrame:
-    return admitted(table(spark, folder, "lead_record").select("ingest_seq", "company_id"), ["company_id"], [F.col("ingest_seq")], 25)
-
-
 @query(
     """select company_id, doc_id, holds from (select company_id, doc_id, coalesce(contains(lower(text), 'hiring'), false) as holds, row_number() over (partition by company_id order by not coalesce(contains(lower(text), 'hiring'), false), doc_id) k
     from documents where doc_kind = 'context' and company_id is not null) where k = 1"""
@@ -226,19 +213,39 @@ def latest_run_per_company(spark: SparkSession, folder: str) -> DataFrame:
     return runs.latest_run(_runs(spark, folder)).select("company_id", "run_id", "status", "jobs_found")
 
 
+_KNOWN, _BOARD = f"status not in ({sql_list(rules.UNRESOLVED)})", f"status not in ({sql_list(rules.UNRESOLVED)}) and source_platform in ({sql_list(rules.ROUTABLE)})"
+
+
 @query(
-    f"""select * from (select count(*) as runs, count(*) filter (status = 'success') / count(*) as success_rate from ({RUNS})),
-    (select count(*) as companies, count(*) filter (status = 'success') / count(*) as covered_rate, count(*) filter (status = 'success' and jobs_found = 0) / nullif(count(*) filter (status = 'success'), 0) as empty_rate from ({LAST_RUNS}))"""
+    f"""select * from (select count(*) as attempted, count(*) filter (status = 'success') as successful, count(*) filter (status = 'success') / count(*) as success_rate, count(*) filter (status = 'parse_degraded') as degraded, count(*) filter (status = 'parse_degraded') / nullif(count(*) filter (status = 'success'), 0) as degraded_rate from ({RUNS}) where status is not null),
+    (select count(*) as companies, count(*) filter ({_KNOWN}) as resolved, count(*) filter ({_KNOWN}) / count(*) as resolution_rate, count(*) filter ({_BOARD}) as with_board, count(*) filter ({_BOARD}) / nullif(count(*) filter ({_KNOWN}), 0) as board_coverage,
+    count(*) filter (status <> 'success') as unscraped, count(*) filter (status = 'success' and jobs_found = 0) as empty from ({LAST_RUNS}))"""
 )
 def coverage_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return runs.coverage(_runs(spark, folder))
 
 
+@query(f"select source_platform, count(*) as runs from ({RUNS}) where status = 'rate_limited' and source_platform <> '' group by 1")
+def status_by_platform(spark: SparkSession, folder: str) -> DataFrame:
+    """One status by platform; no run of the tables has the status of unknown boards."""
+    return runs.status_frequency(_runs(spark, folder), "rate_limited")
+
+
 @query(f"select source_platform, status, count(*) as runs from ({RUNS}) group by all")
 def run_status_frequency(spark: SparkSession, folder: str) -> DataFrame:
     return runs.status_counts(_runs(spark, folder))
 
 
+_STAGES = {"success": "extracted", "rate_limited": "retry", "schema_violation": "review", "blocked_403": "blocked"}
+
+
+@query(f"select board_id, run_seq, case status {' '.join(f"when '{k}' then '{v}'" for k, v in list(_STAGES.items())[:3])} else 'unknown' end as stage from ({RUNS})")
+def status_mapping(spark: SparkSession, folder: str) -> DataFrame:
+    """Statuses to stages; those the table does not hold are unknown."""
+    known = F.create_map(*[F.lit(x) for kv in list(_STAGES.items())[:3] for x in kv])
+    return _runs(spark, folder).select("board_id", "run_seq", F.coalesce(F.try_element_at(known, F.col("status")), F.lit("unknown")).alias("stage"))
+
+
 @query(
     f"""with r as (select *, max(case when status = 'success' then run_seq end) over w as had, arg_max(jobs_found, case when status = 'success' then run_seq end) over w as before from ({RUNS})
     window w as (partition by board_id order by run_seq rows between unbounded preceding and 1 preceding))
@@ -250,11 +257,14 @@ def run_decisions(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"""with r as (select *, lag(source_platform) over w as p, lag(status) over w as s, lag(jobs_found) over w as j from ({RUNS}) window w as (partition by board_id order by run_seq)),
-    x as (select board_id, run_seq, concat_ws(',', case when p <> source_platform then 'platform_changed' end, case when s = 'success' and status <> 'success' then 'became_unhealthy' end,
-    case when status = 'success' and jobs_found = 0 and j > 0 then 'emptied' end) as reasons from r) select * from x where reasons <> ''"""
+    e as (select company_id, min(source_platform) as expected from board_snapshot group by 1),
+    x as (select board_id, run_seq, concat_ws(',', case when expected <> source_platform then 'platform_unexpected' end, case when p <> source_platform then 'platform_changed' end, case when s = 'success' and status <> 'success' then 'became_unhealthy' end,
+    case when status = 'success' and jobs_found = 0 and j > 0 then 'emptied' end) as reasons from r join e using (company_id)) select * from x where reasons <> ''"""
 )
 def drift_reasons(spark: SparkSession, folder: str) -> DataFrame:
-    return runs.drift_reasons(_runs(spark, folder))
+    """The platform expected of a company is the first by name of its boards."""
+    ledger = _runs(spark, folder)
+    return runs.drift_reasons(ledger, ledger.groupBy("company_id").agg(F.min("source_platform").alias("expected_platform")))
 
 
 # --- matching ---------------------------------------------------------------
@@ -263,13 +273,13 @@ _TIERS = rules.TIERS
 _STAGE = "lower(trim(replace(funding_stage, '_', ' ')))"
 
 
-def _tier_sql(part: int) -> str:
+def tier_sql(part: int) -> str:
     by_size = " ".join(f"when headcount < {t[0]} then {t[part]}::double" for t in _TIERS[:3])
     by_stage = " ".join(f"when {_STAGE} = '{s}' then {_TIERS[i][part]}::double" for s, i in rules.STAGE_TIER.items())
     return f"case when headcount is not null then case {by_size} else {_TIERS[3][part]}::double end else case {by_stage} else {_TIERS[1][part]}::double end end"
 
 
-@query(f"select id, {_tier_sql(1)} as founder_bonus, {_tier_sql(2)} as penalty, headcount is null as guessed from company")
+@query(f"select id, {tier_sql(1)} as founder_bonus, {tier_sql(2)} as penalty, headcount is null as guessed from company")
 def headcount_tier(spark: SparkSession, folder: str) -> DataFrame:
     tier = matching.size_tier(F.col("headcount"), F.col("funding_stage"))
     return table(spark, folder, "company").select("id", tier["founder_bonus"].alias("founder_bonus"), tier["penalty"].alias("penalty"), tier["guessed"].alias("guessed"))
@@ -279,20 +289,20 @@ def _rank_sql(level: str) -> str:
     return f"case {level} " + " ".join(f"when '{k}' then {v}" for k, v in rules.SENIORITY_RANK.items()) + " end"
 
 
-def _function_sql(job: str, lead: str, founder: str, recruiter: str) -> str:
+def function_sql(job: str, lead: str, founder: str, recruiter: str) -> str:
     near = " or ".join(f"({job} = '{a}' and {lead} = '{b}') or ({job} = '{b}' and {lead} = '{a}')" for a, b in rules.ADJACENT_FUNCTIONS)
     return f"case when {job} = {lead} then 1.0::double when {founder} then 0.8::double when {recruiter} then 0.7::double when {near} then 0.5::double else 0.0::double end"
 
 
-def _seniority_sql(job: str, lead: str, penalty: str) -> str:
+def seniority_sql(job: str, lead: str, penalty: str) -> str:
     above = f"({_rank_sql(lead)} - {_rank_sql(job)})"
     base = f"case when {above} is null then 0.3::double when {above} < 0 then 0.0::double " + " ".join(f"when {above} = {d} then {s}::double" for d, s in rules.SENIORITY_BASE.items()) + " else 0.3::double end"
     return f"(1.0::double - (1.0::double - {base}) * {penalty})"
 
 
 @query(
-    f"""select case_id, {_function_sql('job.function', 'lead.function', 'lead.is_founder', 'lead.is_recruiter')} as function_score,
-    round({_seniority_sql('job.seniority', 'lead.seniority', _tier_sql(2).replace(_STAGE, "null::varchar"))}, 9) as seniority_score from golden_case"""
+    f"""select case_id, {function_sql('job.function', 'lead.function', 'lead.is_founder', 'lead.is_recruiter')} as function_score,
+    round({seniority_sql('job.seniority', 'lead.seniority', tier_sql(2).replace(_STAGE, "null::varchar"))}, 9) as seniority_score from golden_case"""
 )
 def match_signals(spark: SparkSession, folder: str) -> DataFrame:
     penalty = matching.size_tier(F.col("headcount"), F.lit(None).cast("string"))["penalty"]
@@ -303,7 +313,7 @@ def match_signals(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _matches(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def matches_of(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     companies = table(spark, folder, "company")
     known = companies.select(F.col("id").alias("company_id"), "domain")
     jobs = table(spark, folder, "gtm_lead").select(F.col("gtm_id").alias("job_id"), F.col("company.domain").alias("domain"), "job.function", "job.seniority", F.col("job.location").alias("location_raw"))
@@ -312,11 +322,11 @@ def _matches(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Da
     return jobs, leads, matching.match_top_k(jobs, leads, companies)
 
 
-_OWNS = "(" + " or ".join(f"(jf = '{f}' and lower(trim(title_raw)) in ({_sql_list(t.lower() for t in titles)}))" for f, titles in rules.OWNER_TITLES.items()) + ")"
+_OWNS = "(" + " or ".join(f"(jf = '{f}' and lower(trim(title_raw)) in ({sql_list(t.lower() for t in titles)}))" for f, titles in rules.OWNER_TITLES.items()) + ")"
 _W = rules.WEIGHTS
-MATCHES = f"""with j as (select gtm_id as job_id, c.id as company_id, job.function jf, job.seniority js, lower(job.location) jl, {_tier_sql(1)} as bonus, {_tier_sql(2)} as penalty from gtm_lead g join company c on g.company.domain = c.domain),
+MATCHES = f"""with j as (select gtm_id as job_id, c.id as company_id, job.function jf, job.seniority js, lower(job.location) jl, {tier_sql(1)} as bonus, {tier_sql(2)} as penalty from gtm_lead g join company c on g.company.domain = c.domain),
     l as ({LATEST_LEADS}),
-    s as (select company_id, job_id, lead_id, greatest(0.0::double, least(1.0::double, {_W['function']}::double * {_function_sql('jf', 'l.function', 'is_founder', 'is_recruiter')} + {_W['seniority']}::double * {_seniority_sql('js', 'l.seniority', 'penalty')}
+    s as (select company_id, job_id, lead_id, greatest(0.0::double, least(1.0::double, {_W['function']}::double * {function_sql('jf', 'l.function', 'is_founder', 'is_recruiter')} + {_W['seniority']}::double * {seniority_sql('js', 'l.seniority', 'penalty')}
     + {_W['ownership']}::double * case when {_OWNS} then 0.8::double else 0.0::double end + {_W['location']}::double * case when jl <> '' and contains(lower(location_raw), jl) then 0.3::double else 0.0::double end
     + case when is_founder then bonus else 0.0::double end + case when is_recruiter then {_W['recruiter']}::double else 0.0::double end + case when coalesce(tenure_months, 99) < 3 then {_W['short_tenure']}::double else 0.0::double end)) as score from j join l using (company_id)),
     m as (select *, row_number() over (partition by job_id order by score desc, lead_id) place from s where score >= 0.3::double), top3 as (select * from m where place <= 3) """
@@ -324,36 +334,36 @@ MATCHES = f"""with j as (select gtm_id as job_id, c.id as company_id, job.functi
 
 @query(MATCHES + "select company_id, job_id, lead_id, round(score, 9) as score, place from top3")
 def match_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return _matches(spark, folder)[2].withColumn("score", F.round("score", 9))
+    return matches_of(spark, folder)[2].withColumn("score", F.round("score", 9))
 
 
 @query(MATCHES + ", no as (select j.job_id, coalesce(jf, 'unknown') as function, case when exists (select 1 from l where l.company_id = j.company_id) then 'no_plausible_owner' else 'no_leads' end as reason from j where job_id not in (select job_id from top3)) select * from no")
 def unmatched_jobs(spark: SparkSession, folder: str) -> DataFrame:
-    jobs, leads, matches = _matches(spark, folder)
+    jobs, leads, matches = matches_of(spark, folder)
     return runs.unmatched_jobs(jobs, matches, leads)
 
 
 @query(MATCHES + "select count(*) as jobs, count(t.job_id) as matched, count(t.job_id) / count(*) as match_rate from (select distinct job_id from j) x left join (select distinct job_id from top3) t using (job_id)")
 def matching_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    jobs, _, matches = _matches(spark, folder)
+    jobs, _, matches = matches_of(spark, folder)
     return runs.matching_metrics(jobs, matches)
 
 
 @query(MATCHES + "select a.job_id, a.lead_id as first_lead, b.lead_id as second_lead, round(a.score - b.score, 9) as gap from top3 a join top3 b on a.job_id = b.job_id and a.place = 1 and b.place = 2 where a.score - b.score < 0.05::double")
 def tie_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    return matching.near_ties(_matches(spark, folder)[2]).withColumn("gap", F.round("gap", 9))
+    return matching.near_ties(matches_of(spark, folder)[2]).withColumn("gap", F.round("gap", 9))
 
 
 @query(MATCHES + ", p as (select job_id from top3 where place = 2 and ends_with(lead_id, '7')) select job_id, lead_id, case when job_id in (select job_id from p) and place = 1 then 2 when job_id in (select job_id from p) and place = 2 then 1 else place end as place from top3")
 def tie_break_swap(spark: SparkSession, folder: str) -> DataFrame:
-    matches = _matches(spark, folder)[2]
+    matches = matches_of(spark, folder)[2]
     preferred = matches.filter("place = 2 and endswith(lead_id, '7')").select("job_id", "lead_id")
     return matching.swap_first_two(matches, preferred).select("job_id", "lead_id", "place")
 
 
 @query(MATCHES + "select l.source, count(*) as first_matches, count(*) filter (l.is_founder) / count(*) as founder_share from top3 t join l using (lead_id) where place = 1 group by l.source")
 def founder_share(spark: SparkSession, folder: str) -> DataFrame:
-    _, leads, matches = _matches(spark, folder)
+    _, leads, matches = matches_of(spark, folder)
     first = matches.filter("place = 1").join(leads.select("lead_id", "source", "is_founder"), "lead_id")
     return first.groupBy("source").agg(F.count("*").alias("first_matches"), (F.count_if("is_founder") / F.count("*")).alias("founder_share"))
 
@@ -368,12 +378,6 @@ def lead_cache_refresh(spark: SparkSession, folder: str) -> DataFrame:
     return runs.missing_functions(jobs, _latest_leads(spark, folder))
 
 
-@query("select expected_label, count(*) as cases, count(*) filter (job.function = lead.function) / count(*) as same_function from golden_case group by 1")
-def golden_agreement(spark: SparkSession, folder: str) -> DataFrame:
-    same = F.coalesce(F.col("job.function") == F.col("lead.function"), F.lit(False))
-    return table(spark, folder, "golden_case").groupBy("expected_label").agg(F.count("*").alias("cases"), (F.count_if(same) / F.count("*")).alias("same_function"))
-
-
 @query("select gtm_id, contains(lower(rationale), lower(lead.title)) as names_title, contains(lower(rationale), lower(job.function)) as names_function from gtm_lead")
 def grounding_check(spark: SparkSession, folder: str) -> DataFrame:
     text = F.lower("rationale")

@@ -19,7 +19,7 @@ def test_every_sql_has_a_query():
 
 def comparable(frame):
     frame = frame[sorted(frame.columns)]
-    return sorted(tuple("" if v is None or v is pd.NA or v != v else f"{v:.6f}" if isinstance(v, float) else str(v) for v in row) for row in frame.astype(object).itertuples(index=False))
+    return sorted(tuple("" if v is None or v is pd.NA or v != v else f"{v:.6f}".removesuffix(".000000") if isinstance(v, float) else str(v) for v in row) for row in frame.astype(object).itertuples(index=False))
 
 
 @needs_data

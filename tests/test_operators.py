@@ -185,9 +185,8 @@ def test_embedded_and_captured_lists(spark):
     assert sorted((r.page_id, r.item_pos, r.title, r.url) for r in got) == [(1, 0, "A", "x"), (1, 1, None, None)]
 
 
-def test_last_known_admitted_and_first_with_word(spark):
+def test_last_known_and_first_with_word(spark):
     log = spark.createDataFrame([("a", 1, "x", None), ("a", 2, None, "p"), ("a", 3, None, None), (None, 4, "z", "z")], "k string, n int, e string, f string")
     assert [tuple(r) for r in tables.last_known(log, ["k"], "n", ["e", "f"]).collect()] == [("a", "x", "p")]
-    assert [r.admitted for r in tables.admitted(log.filter("k = 'a'"), ["k"], [F.col("n")], 2).orderBy("n").collect()] == [True, True, False]
     docs = spark.createDataFrame([("c", 1, "no"), ("c", 2, "We are Hiring"), ("d", 5, None)], "c string, n int, t string")
     assert {tuple(r) for r in tables.first_with_word(docs, ["c"], "t", "hiring", "n").collect()} == {("c", 2, True), ("d", 5, False)}
