@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leadloom.functions import rules
-from leadloom.functions.text import SPACE
+from leadloom.functions.text import SPACE, trimmed
 
 # What is cut from titles, and the abbreviations written out.
 EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}]+"
@@ -81,7 +81,7 @@ def one_place(text: Column) -> Column:
 def places(raw: Column) -> Column:
     """The places of a location text, split at slashes and semicolons, with a
     flag for remote ones: array of place, is_remote."""
-    parts = F.filter(F.transform(F.split(raw, r"\s*[/;]\s*"), lambda p: F.trim(p)), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(raw, r"\s*[/;]\s*"), trimmed), lambda p: p != "")
     return F.transform(parts, one_place)
 
 

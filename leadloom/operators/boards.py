@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions import postings as P
+from leadloom.functions import rules
+from leadloom.functions.text import trimmed
 from leadloom.operators import nested
 from leadloom.operators.timestamps import zoned_micros
 
@@ -85,8 +87,10 @@ WORKPLACES = ("remote", "hybrid", "onsite")
 
 
 def _all_places() -> Column:
-    """The places of a posting, each once if they come from lists; entries of lists are not split."""
-    own = P.places(F.col("location_raw"))
+    """The places of a posting, each once if they come from lists; entries of lists
+    are not split, nor are the texts of platforms that name one place in them."""
+    single = F.when(trimmed(F.col("location_raw")) != "", F.array(P.one_place(trimmed(F.col("location_raw"))))).when(F.col("location_raw").isNotNull(), F.array().cast("array<struct<place:string,is_remote:boolean>>"))
+    own = F.when(F.col("source_platform").isin("greenhouse", "lever", "ashby"), single).otherwise(P.places(F.col("location_raw")))
     listed = lambda c: F.transform(c, P.one_place)
     beside = F.concat(F.coalesce(own, F.array().cast("array<struct<place:string,is_remote:boolean>>")), listed("more_places"))
     return F.when(F.size("all_places") > 0, F.array_distinct(listed("all_places"))).when(F.size("more_places") > 0, F.array_distinct(beside)).otherwise(own)
@@ -114,7 +118,93 @@ def complete_sweeps(pages: DataFrame) -> DataFrame:
     return each.groupBy("company_id", "run_id").agg(failing.alias("bad"), F.count("*").alias("pages")).select("company_id", "run_id", F.coalesce("bad.status", F.lit("success")).alias("status"), "pages")
 
 
-def page_titles(postings: DataFrame) -> DataFrame:
-    """The number of postings and distinct titles of each page, by a window over its postings."""
-    by_page = Window.partitionBy("page_id")
-    return postings.select("page_id", F.count("*").over(by_page).alias("postings"), F.size(F.collect_set("title_raw").over(by_page)).alias("titles")).distinct()
+def _text(path: str) -> Column:
+    """A text of the item that is not empty; null for other values."""
+    v = F.try_variant_get("item", f"$.{path}", "variant")
+    return F.when(F.schema_of_variant(v) == "STRING", F.nullif(F.try_variant_get("item", f"$.{path}", "string"), F.lit("")))
+
+
+def _says(text: Column, word: str) -> Column:
+    return F.coalesce(text.rlike(rf"(?i)\b{word}\b"), F.lit(False))
+
+
+def _place(raw: Column, city: Column | None = None, region: Column | None = None, country: Column | None = None, remote: Column | None = None) -> Column:
+    none = F.lit(None).cast("string")
+    parts = {"city": city, "region": region, "country": country}
+    return F.struct(raw.alias("raw"), *[(none if c is None else c).alias(n) for n, c in parts.items()], (_says(raw, "remote") if remote is None else remote).alias("is_remote"))
+
+
+_PLACES = "array<struct<raw:string,city:string,region:string,country:string,is_remote:boolean>>"
+
+
+def _schema_places() -> tuple[Column, Column]:
+    """The place text and the places of an item in the schema.org form: an object, a list of objects, or a text split at slashes and semicolons."""
+    part = lambda v, p: F.try_variant_get(v, f"$.address.{p}", "string")
+    whole = lambda v: F.array_join(F.filter(F.array(*[part(v, f"address{p}") for p in ("Locality", "Region", "Country")]), lambda t: t != ""), ", ")
+    place = lambda v: _place(whole(v), part(v, "addressLocality"), part(v, "addressRegion"), part(v, "addressCountry"), F.lit(False))
+    is_object = lambda v: F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+    at = F.try_variant_get("item", "$.jobLocation", "variant")
+    listed = F.transform(F.filter(F.try_variant_get("item", "$.jobLocation", "array<variant>"), is_object), place)
+    text = _text("jobLocation")
+    pieces = F.filter(F.transform(F.split(text, r"\s*[/;]\s*"), lambda p: F.trim(p)), lambda p: p != "")
+    split = F.transform(pieces, lambda p: _place(p, F.when(~_says(p, "remote"), p)))
+    raw = F.when(is_object(at), F.nullif(whole(at), F.lit(""))).when(listed.isNotNull(), F.nullif(F.array_join(F.filter(F.transform(listed, lambda p: p["raw"]), lambda t: t != ""), " / "), F.lit(""))).otherwise(text)
+    return raw, F.when(is_object(at), F.array(place(at))).when(listed.isNotNull(), listed).when(F.size(split) > 0, split).when(text.isNotNull(), F.array(_place(text)))
+
+
+def posting_details(items: DataFrame, description: str | None = None) -> DataFrame:
+    """items (platform, item as VARIANT, fetched_at, is_hydrated) with location_raw,
+    places (raw, city, region, country, is_remote), workplace_type, remote_scope,
+    employment_type, pay (min, max, currency, period), posted_micros,
+    posted_inferred and extraction_confidence. description: a column of the
+    posting's text, in which hybrid work overrules all else.
+
+    Every platform has its own fields for places; those without come in the
+    schema.org form. A field of another type than expected counts as missing;
+    a place is split only where a text holds several. The date is the
+    platform's own, else datePosted, else the fetch (inferred). An item that is
+    no object is degraded: all null, confidence 0.
+    """
+    platform = F.col("platform")
+    schema_raw, schema_places = _schema_places()
+    flat = {"greenhouse": _text("location.name"), "generic_html": _text("location"), "lever": _text("categories.location"), "ashby": _text("location")}
+    raw = F.when(F.lit(False), F.lit(None).cast("string"))
+    for name, text in flat.items():
+        raw = raw.when(platform == name, text)
+    raw = raw.otherwise(schema_raw)
+    one = lambda text: F.when(text.isNotNull(), F.array(_place(text))).otherwise(F.array().cast(_PLACES))
+    # lists of texts, or of objects with a location
+    name_of = lambda v: F.nullif(F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.try_variant_get(v, "$.location", "string")), F.lit(""))
+    several = lambda path: F.transform(F.filter(F.transform(F.try_variant_get("item", f"$.{path}", "array<variant>"), name_of), lambda t: t.isNotNull()), lambda t: _place(t))
+    remote_flag = F.coalesce(F.try_variant_get("item", "$.isRemote", "boolean"), F.lit(False))
+    lever = F.when(F.size(F.try_variant_get("item", "$.categories.allLocations", "array<variant>")) > 0, several("categories.allLocations")).otherwise(one(flat["lever"]))
+    first = F.when(flat["ashby"].isNotNull(), F.array(_place(flat["ashby"], remote=_says(flat["ashby"], "remote") | remote_flag))).otherwise(F.array().cast(_PLACES))
+    ashby = F.concat(first, F.coalesce(several("secondaryLocations"), F.array().cast(_PLACES)))
+    places = F.when(platform.isin("greenhouse", "generic_html"), one(raw)).when(platform == "lever", lever).when(platform == "ashby", ashby).otherwise(F.coalesce(schema_places, F.array().cast(_PLACES)))
+    told = F.lower(F.trim(_text("workplaceType")))
+    structured = F.when(platform.isin("lever", "ashby") & told.isin(*WORKPLACES), told).when((platform == "ashby") & remote_flag, "remote").when(~platform.isin(*flat) & (F.upper(_text("jobLocationType")) == "TELECOMMUTE"), "remote")
+    workplace = F.coalesce(structured, F.when(_says(F.col("location_raw"), "remote"), "remote").when(_says(F.col("location_raw"), "hybrid"), "hybrid"))
+    if description is not None:
+        workplace = F.when(_says(F.col(description), "hybrid"), "hybrid").otherwise(workplace)
+    lookup = lambda table, key: F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+    listed_type = F.try_variant_get("item", "$.employmentType[0]", "string")
+    employment = F.when(platform == "lever", lookup(rules.LEVER_TYPES, F.lower(F.trim(_text("categories.commitment"))))).when(platform == "ashby", lookup(rules.ASHBY_TYPES, F.lower(F.trim(_text("employmentType"))))).otherwise(lookup(rules.SCHEMA_TYPES, F.upper(F.coalesce(listed_type, _text("employmentType")))))
+    number = lambda p: F.try_variant_get("item", f"$.baseSalary.value.{p}", "double")
+    given_range = number("minValue").isNotNull() | number("maxValue").isNotNull()
+    low, high = F.when(given_range, number("minValue")).otherwise(number("value")), F.when(given_range, number("maxValue")).otherwise(number("value"))
+    pay = F.when(low.isNotNull() | high.isNotNull(), F.struct(low.alias("min"), high.alias("max"), _text("baseSalary.currency").alias("currency"), F.lower(_text("baseSalary.value.unitText")).alias("period")))
+    millis = F.when(F.schema_of_variant(F.try_variant_get("item", "$.createdAt", "variant")) == "BIGINT", F.try_variant_get("item", "$.createdAt", "bigint"))
+    iso = lambda text: zoned_micros(F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), text))
+    native = F.when(platform == "greenhouse", iso(_text("first_published"))).when(platform == "lever", millis * 1000).when(platform == "ashby", iso(_text("publishedAt")))
+    posted = F.coalesce(native, iso(_text("datePosted")))
+    whole = F.try_variant_get("item", "$", "map<string,variant>").isNotNull()
+    confidence = F.when(~F.coalesce(whole, F.lit(False)), 0.0).when(platform == "generic_html", 0.3).when(F.col("is_hydrated"), 1.0).otherwise(0.7)
+    read = items.withColumns({"location_raw": raw, "_places": F.when(whole, places)})
+    read = read.withColumns({"workplace_type": workplace, "remote_scope": F.nullif(F.regexp_extract("location_raw", r"(?i)remote\s*\(([^)]+)\)", 1), F.lit("")), "employment_type": employment, "pay": pay})
+    all_remote = F.transform("_places", lambda p: p.withField("is_remote", p["is_remote"] | F.coalesce(F.col("workplace_type") == "remote", F.lit(False))))
+    return read.select(*items.columns, "location_raw", all_remote.alias("places"), "workplace_type", "remote_scope", "employment_type", "pay", F.coalesce(posted, F.unix_micros("fetched_at")).alias("posted_micros"), posted.isNull().alias("posted_inferred"), confidence.alias("extraction_confidence"))
+
+
+def url_identity(external_id: Column, url: Column) -> Column:
+    """Which rung of the ladder of ids a posting stands on: external_id, url or content."""
+    return F.when(F.trim(external_id) != "", "external_id").when(F.trim(url) != "", "url").otherwise("content")

@@ -135,7 +135,7 @@ def title_classes(spark: SparkSession, folder: str) -> DataFrame:
 _WS = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
-def _canonical_sql(raw: str) -> str:
+def canonical_sql(raw: str) -> str:
     text = f"regexp_replace({raw}, '{P.EMOJI}', '', 'g')"
     for pattern in (P.PLACE_IN_PARENTHESES, P.REQUISITION):
         text = f"regexp_replace({text}, '{pattern}', '', 'g')"
@@ -147,7 +147,7 @@ def _canonical_sql(raw: str) -> str:
 
 
 @query(
-    f"""with t as (select raw_id, {_canonical_sql('title')} as t from raw_posting)
+    f"""with t as (select raw_id, {canonical_sql('title')} as t from raw_posting)
     select raw_id, trim(case when t <> '' and (t = lower(t) or t = upper(t)) then array_to_string(list_transform(regexp_extract_all(lower(t), '(\\p{{L}}+|[^\\p{{L}}]+)'), lambda x: upper(x[1:1]) || x[2:]), '') else t end) as title from t"""
 )
 def canonical_title(spark: SparkSession, folder: str) -> DataFrame:
@@ -404,16 +404,6 @@ def complete_sweeps(spark: SparkSession, folder: str) -> DataFrame:
     return boards.complete_sweeps(table(spark, folder, "board_page"))
 
 
-@query()
-def board_postings(spark: SparkSession, folder: str) -> DataFrame:
-    return boards.board_postings(table(spark, folder, "board_page")).drop("description_raw")
-
-
-@query()
-def normalized_postings(spark: SparkSession, folder: str) -> DataFrame:
-    return boards.normalized_postings(table(spark, folder, "board_page"))
-
-
 _PLATFORM_HOSTS = (("greenhouse", "boards.leafhire.example"), ("lever", "jobs.pryhire.example"), ("workable", "apply.toilhire.example"), ("smartrecruiters", "api.wiserecruit.example"))
 
 

@@ -83,7 +83,7 @@ def _child_sql(kind: str, field: str, leaf: str) -> str:
 _FULL_SQL = f"""select page_id, item_pos as posting_pos, 'full_location' as kind, 0 as child_pos, {_leaf_sql("(child -> '$.fullLocation')")} as t
     from ({_list_sql("item -> '$.location'", "child", "page_id, item_pos, source_platform", "item")}) where child_pos = 0 and source_platform = 'smartrecruiters'"""
 
-_P1_ITEMS = f"""with raw as (select page_id, source_platform, regexp_replace(payload, '^[\\s\\x{{FEFF}}]+', '') as s from board_page where payload is not null),
+P1_ITEMS = f"""with raw as (select page_id, source_platform, regexp_replace(payload, '^[\\s\\x{{FEFF}}]+', '') as s from board_page where payload is not null),
     parsed as (select page_id, source_platform, s::json as j from raw where json_valid(s)),
     whole as (select page_id, source_platform, case when json_type(j) = 'VARCHAR' and json_valid(j ->> '$') then (j ->> '$')::json else j end as j from parsed),
     outer_ as (select page_id, source_platform, coalesce(j -> '$.response', j) as j from whole), inner_ as (select page_id, source_platform, coalesce(j -> '$.data', j) as j from outer_),
@@ -91,10 +91,10 @@ _P1_ITEMS = f"""with raw as (select page_id, source_platform, regexp_replace(pay
     item as ({_list_sql("l", "item", "page_id, source_platform", "root")})"""
 _CHILDREN_SQL = " union all ".join(_child_sql(k, f, leaf) for k, (f, leaf) in nested.CHILDREN.items())
 
-P1_SQL = f"""{_P1_ITEMS}, found as ({_CHILDREN_SQL} union all {_FULL_SQL})
+P1_SQL = f"""{P1_ITEMS}, found as ({_CHILDREN_SQL} union all {_FULL_SQL})
     select page_id, posting_pos, kind, child_pos::bigint as child_pos from found where regexp_matches(t, '[^\\s\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{3000}}]')"""
-P1_POSTINGS_SQL = f"""{_P1_ITEMS} select page_id, item_pos::bigint as posting_pos, coalesce(item ->> '$.id', item ->> '$.shortcode') as external_id, coalesce(item ->> '$.title', item ->> '$.text', item ->> '$.name') as title, json_type(item) = 'OBJECT' as is_posting from item"""
-P1_CHILDREN_SQL = f"""{_P1_ITEMS}, found as ({_CHILDREN_SQL.replace(" where json_type(child) = 'OBJECT'", "")} union all select i.page_id, i.item_pos, 'full_location', 0, f.t from item i left join ({_FULL_SQL}) f on f.page_id = i.page_id and f.posting_pos = i.item_pos where i.source_platform = 'smartrecruiters')
+P1_POSTINGS_SQL = f"""{P1_ITEMS} select page_id, item_pos::bigint as posting_pos, coalesce(item ->> '$.id', item ->> '$.shortcode') as external_id, coalesce(item ->> '$.title', item ->> '$.text', item ->> '$.name') as title, json_type(item) = 'OBJECT' as is_posting from item"""
+P1_CHILDREN_SQL = f"""{P1_ITEMS}, found as ({_CHILDREN_SQL.replace(" where json_type(child) = 'OBJECT'", "")} union all select i.page_id, i.item_pos, 'full_location', 0, f.t from item i left join ({_FULL_SQL}) f on f.page_id = i.page_id and f.posting_pos = i.item_pos where i.source_platform = 'smartrecruiters')
     select page_id, posting_pos::bigint as posting_pos, kind, child_pos::bigint as child_pos, t as child_text from found"""
 
 _P7 = """with recursive r as (select board_id, file_seq::bigint as file_seq, line_no::bigint as line_no, file_id, record::json as j from board_record where json_valid(record) and json_type(record::json) = 'OBJECT'),

@@ -83,7 +83,7 @@ def test_runs(spark):
     assert {(r.run_seq, r.first_success, r.suspicious) for r in runs.run_decisions(ledger).collect()} == {(1, True, False), (2, False, True), (3, False, False), (4, False, False)}
     assert {(r.run_seq, r.reasons) for r in runs.drift_reasons(ledger).collect()} == {(2, "emptied"), (3, "became_unhealthy")}
     row = runs.coverage(ledger).first()
-    assert (row.runs, row.success_rate, row.companies, row.covered_rate, row.empty_rate) == (4, 0.75, 1, 1.0, 0.0)
+    assert (row.attempted, row.success_rate, row.degraded_rate, row.companies, row.resolved, row.board_coverage, row.unscraped, row.empty) == (4, 0.75, 0.0, 1, 1, 1.0, 0, 0)
     assert runs.coverage(ledger.limit(0)).first().success_rate is None
 
 
