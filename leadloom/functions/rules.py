@@ -75,6 +75,12 @@ JOB_LINK = r"(?i)/(?:jobs?|careers?|positions?|openings?)/[\w-]{3,}"
 ASSET_LINK = r"(?i)\.(?:svg|png|jpe?g|gif|ico|css|js|mjs|woff2?|ttf|eot|webp|avif|json|map)(?:[?#]|$)"
 LINK_TEXT, LINK_HREF = r"(?i)careers?|jobs|join us|we'?re hiring|work with us|open roles", r"(?i)careers?|jobs|join|hiring|opportunities"
 BLOG_HREF, AGGREGATOR_TEXT = r"(?i)/blog/|/news/|/press/", r"(?i)other companies|browse (all )?jobs|job board for"
+# how like a careers link an anchor is: text, address, known board, in the page's frame, a blog, an aggregator
+ANCHOR_POINTS = {"text": 5, "href": 4, "board": 5, "chrome": 2, "blog": -3, "aggregator": -5}
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6", "strong", "b")
+PLACE_CLASS, PLACE_TEXT, PLACE_LENGTH = r"(?i)locat|city|office|region", r"(?i)\b(?:remote|hybrid|on-?site)\b|,\s*[A-Za-z]{2,}(?:\s|$)|\b(?:USA|US|UK|EU)\b", 120
+# marks of a platform in a page: "#" an id, "." a class, "[]" an attribute; "*" a part of it
+DOM_MARKS = (("greenhouse", "#", "grnhse_app"), ("lever", ".", "lever-job"), ("lever", ".*", "lever-jobs"), ("ashby", "[]", "data-ashby-embed"), ("ashby", "#*", "ashby"))
 CAREERS_COPY, JOB_DETAIL = r"(?i)open positions|join our team|current openings", r"(?i)/jobs?/[\w-]+"
 CAREERS_PATHS = ("/careers", "/career", "/jobs", "/join", "/join-us", "/hiring", "/work-with-us", "/about/careers", "/company/careers", "/en/careers")
 EMPLOYMENT_TYPES = {

@@ -28,34 +28,41 @@ _VOID = set("area base br col embed hr img input link meta source track wbr".spl
 _HIDDEN = ("script", "style", "noscript", "template")
 _CHROME = ("nav", "header", "footer")
 PAGE = (
-    "page_id bigint, url string, anchors array<struct<pos:int,href:string,link:string,text:string,in_chrome:boolean,cluster:string>>, "
-    "body string, description string, records array<string>, sources array<string>, sitemap array<string>, next_data string"
+    "page_id bigint, url string, anchors array<struct<pos:int,href:string,link:string,text:string,in_chrome:boolean,cluster:string,title:string,place:string>>, "
+    "body string, description string, records array<string>, sources array<string>, sitemap array<string>, is_index boolean, next_data string, marks array<string>"
 )
 
 
 class _Page(HTMLParser):
-    """Collects anchors, visible text, meta descriptions, ld+json scripts and sources of one page."""
+    """One page as a list of elements in document order, each with the span of
+    elements and of texts in it, and what is looked for on the way: meta
+    descriptions, ld+json scripts, sources, marks of platforms."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str]] = []
-        self.anchors: list[list] = []
-        self.open: list | None = None
+        self.nodes: list[list] = []  # tag, classes, parent, first text, end of texts, end of elements, href
+        self.texts: list[str] = []
+        self.stack: list[int] = []
         self.body: list[str] = []
         self.meta: dict[str, str] = {}
         self.records: list[str] = []
         self.sources: list[str] = []
+        self.marks: dict[str, bool] = {}
         self.script: list[str] | None = None
         self.kind = self.next_data = ""
 
+    def _mark(self, at: dict[str, str]) -> None:
+        classes = at.get("class", "").split()
+        for platform, sort, name in rules.DOM_MARKS:
+            met = {"#": at.get("id") == name, "#*": name in at.get("id", ""), ".": name in classes, ".*": name in at.get("class", ""), "[]": name in at}[sort]
+            if met:
+                self.marks[platform] = True
+        if at.get("id") in rules.SPA_ROOTS:
+            self.marks["spa"] = True
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         at = {k: v or "" for k, v in attrs}
-        if tag == "a" and "href" in at:
-            parent = self.stack[-1] if self.stack else ("", "")
-            chrome = any(t in _CHROME for t, _ in self.stack)
-            self.open = [len(self.anchors), at["href"].strip(), [], chrome, f"{parent[0]}.{parent[1]}"]
-            self.anchors.append(self.open)
-        elif tag == "meta":
+        if tag == "meta":
             name = (at.get("name") or at.get("property") or "").lower()
             if name in ("description", "og:description"):
                 self.meta.setdefault(name, at.get("content", ""))
@@ -64,8 +71,16 @@ class _Page(HTMLParser):
         if tag == "script":
             self.kind = "next" if at.get("id") == "__NEXT_DATA__" else "ld" if "ld+json" in at.get("type", "").lower() else ""
             self.script = []
+        self._mark(at)
+        n = len(self.nodes)
+        self.nodes.append([tag, " ".join(sorted(at.get("class", "").split())), self.stack[-1] if self.stack else -1, len(self.texts), len(self.texts), n + 1, at["href"].strip() if tag == "a" and "href" in at else None])
         if tag not in _VOID:
-            self.stack.append((tag, " ".join(sorted(at.get("class", "").split()))))
+            self.stack.append(n)
+
+    def _end(self, depth: int) -> None:
+        for n in self.stack[depth:]:
+            self.nodes[n][4:6] = len(self.texts), len(self.nodes)
+        del self.stack[depth:]
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "script" and self.script is not None:
@@ -75,21 +90,57 @@ class _Page(HTMLParser):
             elif self.kind == "next":
                 self.next_data = text
             self.script = None
-        if tag == "a":
-            self.open = None
         for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                del self.stack[k:]
+            if self.nodes[self.stack[k]][0] == tag:
+                self._end(k)
                 break
 
     def handle_data(self, data: str) -> None:
         if self.script is not None:
             self.script.append(data)
             return
-        if self.open is not None:
-            self.open[2].append(data)
-        if not any(t in _HIDDEN or t in _CHROME for t, _ in self.stack):
-            self.body.append(data)
+        self.texts.append(data)
+        if data.strip() and not any(self.nodes[n][0] in _HIDDEN or self.nodes[n][0] in _CHROME for n in self.stack):
+            self.body.append(" ".join(data.split()))
+
+    def handle_comment(self, data: str) -> None:
+        if data == rules.SUSPENSE_MARK.removeprefix("<!--").removesuffix("-->"):
+            self.marks["spa"] = True
+
+    def close(self) -> None:
+        super().close()
+        self._end(0)
+
+    def text(self, n: int) -> str:
+        return " ".join("".join(self.texts[self.nodes[n][3] : self.nodes[n][4]]).split())
+
+    def _place(self, n: int, title: str) -> str | None:
+        """The text in element n that is like a place: by its class, else by its words."""
+        inner = [(self.nodes[k][1], self.text(k)) for k in range(n + 1, self.nodes[n][5])]
+        inner = [(c, t) for c, t in inner if t and t != title and len(t) <= rules.PLACE_LENGTH]
+        return next((t for c, t in inner if re.search(rules.PLACE_CLASS, c)), None) or next((t for _, t in inner if re.search(rules.PLACE_TEXT, t)), None)
+
+    def anchors(self, base: str) -> list[tuple]:
+        """Anchors with their text, title (of a heading in them, else the text) and
+        place (in them, else in the element around that holds no other anchor)."""
+        out = []
+        for n, (tag, _, parent, *_, href) in enumerate(self.nodes):
+            if tag != "a" or href is None:
+                continue
+            text = self.text(n)
+            heads = (self.text(k) for k in range(n + 1, self.nodes[n][5]) if self.nodes[k][0] in rules.HEADINGS)
+            title = next((t for t in heads if t), text)
+            place, up, chrome = None, parent, False
+            while up >= 0:
+                chrome = chrome or self.nodes[up][0] in _CHROME
+                up = self.nodes[up][2]
+            if re.search(rules.JOB_LINK, href):
+                place = self._place(n, title)
+                if place is None and parent >= 0 and sum(self.nodes[k][0] == "a" for k in range(parent + 1, self.nodes[parent][5])) <= 1:
+                    place = self._place(parent, title)
+            around = self.nodes[parent] if parent >= 0 else ("", "")
+            out.append((len(out), href, urljoin(base, href), text, chrome, f"{around[0]}.{around[1]}", title, place))
+        return out
 
 
 def _postings_in(text: str) -> Iterator[str]:
@@ -106,10 +157,11 @@ def _postings_in(text: str) -> Iterator[str]:
 
 def read_pages(pages: DataFrame) -> DataFrame:
     """page_id, url and what its html holds: anchors in document order (with
-    absolute link, text, whether inside nav, header or footer, and the tag and
-    classes around), body text, description, JobPosting records, script and
-    frame sources, sitemap locations, embedded page data. Null and empty html
-    holds nothing."""
+    absolute link, text, whether inside nav, header or footer, the tag and
+    classes around, title and place of job links), body text (a line for each
+    text), description, JobPosting records, script and frame sources, sitemap
+    locations and whether they are sitemaps, embedded page data, marks of
+    platforms and of pages made by scripts. Null and empty html holds nothing."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -118,12 +170,11 @@ def read_pages(pages: DataFrame) -> DataFrame:
                 page = _Page()
                 page.feed(html or "")
                 page.close()
-                clean = lambda parts: " ".join("".join(parts).split())
-                anchors = [(i, href, urljoin(url or "", href), clean(text), chrome, cluster) for i, href, text, chrome, cluster in page.anchors]
                 records = [r for text in page.records for r in _postings_in(text)]
                 sitemap = re.findall(r"(?is)<loc>\s*(.*?)\s*</loc>", html or "")
-                rows.append((page_id, url, anchors, clean(page.body), page.meta.get("description") or page.meta.get("og:description"), records, page.sources, sitemap, page.next_data or None))
-            yield pd.DataFrame(rows, columns=["page_id", "url", "anchors", "body", "description", "records", "sources", "sitemap", "next_data"])
+                is_index = bool(re.search(r"(?i)<sitemapindex[\s>]", html or ""))
+                rows.append((page_id, url, page.anchors(url or ""), "\n".join(page.body), page.meta.get("description") or page.meta.get("og:description"), records, page.sources, sitemap, is_index, page.next_data or None, sorted(page.marks)))
+            yield pd.DataFrame(rows, columns=["page_id", "url", "anchors", "body", "description", "records", "sources", "sitemap", "is_index", "next_data", "marks"])
 
     return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInPandas(read, PAGE)
 
@@ -153,7 +204,8 @@ def anchors(read: DataFrame) -> DataFrame:
     """One row per anchor: page_id, pos, href, link, text, in_chrome, cluster, score (how like a careers link)."""
     rows = read.select("page_id", F.inline("anchors"))
     known = platform_of_host(host_of(F.col("link"))).isNotNull()
-    points = [(F.col("text").rlike(rules.LINK_TEXT), 5), (F.col("href").rlike(rules.LINK_HREF), 4), (known, 5), (F.col("in_chrome"), 2), (F.col("href").rlike(rules.BLOG_HREF), -3), (F.col("text").rlike(rules.AGGREGATOR_TEXT), -5)]
+    tests = {"text": F.col("text").rlike(rules.LINK_TEXT), "href": F.col("href").rlike(rules.LINK_HREF), "board": known, "chrome": F.col("in_chrome"), "blog": F.col("href").rlike(rules.BLOG_HREF), "aggregator": F.col("text").rlike(rules.AGGREGATOR_TEXT)}
+    points = [(tests[name], n) for name, n in rules.ANCHOR_POINTS.items()]
     return rows.withColumn("score", reduce(lambda a, b: a + b, [F.when(c, F.lit(n)).otherwise(0) for c, n in points]))
 
 
@@ -170,36 +222,68 @@ def is_careers_page(read: DataFrame) -> DataFrame:
 
 
 def job_links(read: DataFrame) -> DataFrame:
-    """Job links of pages without a known board: page_id, link, text. Of the
+    """Job links of pages without a known board: page_id, pos, link, text, title, place. Of the
     links that look like jobs (the first of each address), the group with the
     same surroundings that is larger than all others, with two links or more."""
     links = anchors(read).filter(job_like(F.col("href")))
-    links = top_rows(links, ["page_id", "link"], [F.col("pos")], 1)
+    links = top_rows(links, ["page_id", "link"], [F.col("pos")], 1, "_n")
     sizes = links.groupBy("page_id", "cluster").agg(F.count("*").alias("size"))
     ranked = Window.partitionBy("page_id").orderBy(F.desc("size"))
     sizes = sizes.withColumn("_place", F.row_number().over(ranked)).withColumn("_next", F.lead("size").over(ranked))
     largest = sizes.filter((F.col("_place") == 1) & (F.col("size") >= 2) & (F.col("size") > F.coalesce("_next", F.lit(0))))
-    return links.join(largest.select("page_id", "cluster"), ["page_id", "cluster"], "left_semi").select("page_id", "pos", "link", "text")
+    return links.join(largest.select("page_id", "cluster"), ["page_id", "cluster"], "left_semi").select("page_id", "pos", "link", "text", "title", "place")
 
 
 def jsonld_postings(read: DataFrame) -> DataFrame:
-    """page_id, record_pos, title, url, posted, external_id of embedded JobPosting records."""
+    """page_id, record_pos, title, url, posted, external_id, item (the record as
+    VARIANT, for ``boards.posting_details``) of embedded JobPosting records."""
     rows = read.select("page_id", F.col("url").alias("page_url"), F.posexplode("records").alias("record_pos", "record"))
     v = F.try_parse_json("record")
     get = lambda path: F.try_variant_get(v, path, "string")
-    return rows.select("page_id", F.col("record_pos").cast("bigint").alias("record_pos"), get("$.title").alias("title"), F.coalesce(get("$.url"), F.col("page_url")).alias("url"), get("$.datePosted").alias("posted"), F.coalesce(get("$.identifier.value"), get("$.identifier")).alias("external_id"))
+    return rows.select("page_id", F.col("record_pos").cast("bigint").alias("record_pos"), get("$.title").alias("title"), F.coalesce(get("$.url"), F.col("page_url")).alias("url"), get("$.datePosted").alias("posted"), F.coalesce(get("$.identifier.value"), get("$.identifier")).alias("external_id"), v.alias("item"))
+
+
+def _job_link(a: Column) -> Column:
+    return a["href"].rlike(rules.JOB_LINK) & ~a["href"].rlike(rules.ASSET_LINK)
+
+
+def _embedded(source: Column) -> Column:
+    return F.coalesce(*[F.when(F.lower(source).contains(part), F.lit(name)) for name, part in rules.EMBEDS])
+
+
+def _first_known(urls: Column, platform) -> Column:  # noqa: ANN001
+    return F.try_element_at(F.filter(urls, lambda u: platform(u).isNotNull()), F.lit(1))
 
 
-def _any_contains(array: str, part: str) -> Column:
-    return F.exists(array, lambda text: F.lower(text).contains(part))
+def fingerprint(read: DataFrame) -> DataFrame:
+    """page_id, platform, token, signal, confidence: the first way that tells a
+    page's platform, from the surest on: its host, where it redirects to
+    (final_url), an embedded source, a requested host (requests), a mark in the
+    page (no token), an alias of its host (aliases). final_url, requests and
+    aliases are optional columns. All null if nothing tells it."""
+    has = lambda c, kind: F.col(c) if c in read.columns else F.lit(None).cast(kind)
+    by_host = lambda u: platform_of_host(host_of(u))
+    bare = lambda h: platform_of_host(F.lower(h))
+    source, asked, alias = _first_known(F.col("sources"), _embedded), _first_known(has("requests", "array<string>"), by_host), _first_known(has("aliases", "array<string>"), bare)
+    marked = F.coalesce(*[F.when(F.array_contains("marks", name), F.lit(name)) for name, *_ in rules.DOM_MARKS])
+    none = F.lit(None).cast("string")
+    ways = {
+        "url_host": (by_host(F.col("url")), F.col("url")), "redirect": (by_host(has("final_url", "string")), has("final_url", "string")), "embed": (_embedded(source), source),
+        "network": (by_host(asked), asked), "dom": (marked, none), "cname": (bare(alias), F.col("url")),
+    }
+    told = [F.when(platform.isNotNull(), F.struct(platform.alias("platform"), board_token(platform, of).alias("token"), F.lit(signal).alias("signal"), F.lit(rules.FINGERPRINTS[signal]).alias("confidence"))) for signal, (platform, of) in ways.items()]
+    return read.select("page_id", F.coalesce(*told).alias("_f")).select("page_id", "_f.platform", "_f.token", "_f.signal", "_f.confidence")
 
 
 def route(read: DataFrame) -> DataFrame:
-    """page_id, route: the first way that fits to read a page: a known board (by
-    host or embedded source), JobPosting records, job links, else rendering."""
-    embedded = F.coalesce(*[F.when(_any_contains("sources", fragment), F.lit(name)) for name, fragment in rules.EMBEDS])
-    links = F.exists("anchors", lambda a: a["href"].rlike(rules.JOB_LINK) & ~a["href"].rlike(rules.ASSET_LINK))
-    return read.select("page_id", F.coalesce(platform_of_host(host_of(F.col("url"))), embedded, F.when(F.size("records") > 0, "jsonld"), F.when(links, "generic_html"), F.lit("rendered")).alias("route"))
+    """page_id, route: the first way that fits to read a page: the platform it
+    surely has and that has an adapter, JobPosting records, rendering (no job
+    links, but an embed or a page made by scripts), else its links."""
+    sure = F.when(F.col("platform").isin(*rules.ROUTABLE) & (F.col("confidence") >= rules.ROUTING_LEAST), F.col("platform"))
+    scripted = F.array_contains("marks", "spa") | F.exists("sources", lambda s: _embedded(s).isNotNull())
+    rendered = F.when(~F.exists("anchors", _job_link) & scripted, "rendered_dom")
+    read = read.join(fingerprint(read), "page_id")
+    return read.select("page_id", F.coalesce(sure, F.when(F.size("records") > 0, "jsonld"), rendered, F.lit("generic_html")).alias("route"))
 
 
 def allowed_by_robots(urls: DataFrame, robots: DataFrame, agent: str = "*") -> DataFrame:
@@ -223,14 +307,6 @@ def allowed_by_robots(urls: DataFrame, robots: DataFrame, agent: str = "*") -> D
     return joined.select("url", "robots").mapInPandas(judge, "url string, allowed boolean")
 
 
-def resolved_source(candidates: DataFrame) -> DataFrame:
-    """One source per company of candidates (company_id, url, strategy, ladder,
-    validated, confidence): the lowest ladder step given; a step that was not
-    validated stops the ladder. status: resolved, needs_review or unvalidated."""
-    first = top_rows(candidates, ["company_id"], [F.col("ladder"), F.col("url")], 1).drop("place")
-    return first.withColumn("status", F.when(~F.col("validated"), "unvalidated").when(F.col("confidence") < 0.5, "needs_review").otherwise("resolved"))
-
-
 def next_data_postings(read: DataFrame) -> DataFrame:
     """page_id, item_pos, external_id, title, url of job items in embedded page
     data: the items of the query whose key names job posts."""
@@ -255,10 +331,52 @@ def captured_postings(captured: DataFrame) -> DataFrame:
     return rows.select("page_id", F.col("item_pos").cast("bigint").alias("item_pos"), title(F.col("item")).alias("title"), F.coalesce(*[F.try_variant_get("item", f"$.{k}", "string") for k in ("url", "absolute_url", "hostedUrl", "jobUrl")]).alias("url"))
 
 
-def sitemap_candidates(read: DataFrame) -> DataFrame:
-    """page_id, link: the first address of a sitemap whose path is like a careers page's."""
-    rows = read.select("page_id", F.posexplode("sitemap").alias("pos", "link")).filter(F.col("link").rlike(rules.LINK_HREF))
-    return rows.groupBy("page_id").agg(F.min_by("link", "pos").alias("link"))
+def sitemap_candidates(read: DataFrame, most: int = 10) -> DataFrame:
+    """page_id, link: the first address of a sitemap whose path is like a careers
+    page's. A sitemap of sitemaps stands for the first so many of them that
+    were read too (by url), in order."""
+    own = read.filter("not is_index").select("page_id", F.lit(0).alias("part"), F.posexplode("sitemap").alias("pos", "link"))
+    parts = read.filter("is_index").select("page_id", F.posexplode(F.slice("sitemap", 1, most)).alias("part", "child"))
+    theirs = parts.join(read.select(F.col("url").alias("child"), "sitemap"), "child").select("page_id", "part", F.posexplode("sitemap").alias("pos", "link"))
+    path = F.regexp_extract("link", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    return own.unionByName(theirs).filter(path.rlike(rules.LINK_HREF)).groupBy("page_id").agg(F.min_by("link", F.struct("part", "pos")).alias("link"))
+
+
+def search_candidates(results: DataFrame) -> DataFrame:
+    """company_id, url, strategy of web search results (company_id, domain,
+    restricted, pos, url): the first of a search restricted to the domain, else
+    the first of an open one on the domain or a known board."""
+    host = host_of(F.col("url"))
+    own = (host == F.lower("domain")) | host.endswith(F.concat(F.lit("."), F.lower("domain")))
+    fit = results.filter((F.coalesce("url", F.lit("")) != "") & (F.col("restricted") | F.coalesce(own, F.lit(False)) | platform_of_host(host).isNotNull()))
+    best = fit.groupBy("company_id").agg(F.min(F.struct((~F.col("restricted")).alias("open"), "pos", "url")).alias("_b"))
+    return best.select("company_id", "_b.url", F.when(F.col("_b.open"), "search_open").otherwise("search_restricted").alias("strategy"))
+
+
+def resolved_source(candidates: DataFrame) -> DataFrame:
+    """One source per company of candidates (company_id, url, strategy, validated):
+    that of the first strategy of the ladder, with its confidence; what is not
+    validated stops the ladder. status: needs_review (confidence below 0.5),
+    resolution_unvalidated or resolved."""
+    ladder = F.create_map(*[F.lit(x) for n, (name, sure) in enumerate(rules.RESOLUTION.items()) for x in (name, F.struct(F.lit(n).alias("step"), F.lit(sure).alias("confidence")))])
+    known = candidates.withColumn("_l", F.try_element_at(ladder, F.col("strategy"))).filter("_l is not null")
+    first = top_rows(known, ["company_id"], [F.col("_l.step"), F.col("url")], 1)
+    sure = F.col("_l.confidence")
+    status = F.when(sure < 0.5, "needs_review").when((F.col("strategy") != "manual") & ~F.coalesce("validated", F.lit(False)), "resolution_unvalidated").otherwise("resolved")
+    return first.select("company_id", "url", "strategy", sure.alias("confidence"), status.alias("status"))
+
+
+def fetch_outcome(attempts: DataFrame, most: int = 4) -> DataFrame:
+    """url, attempts, status_code, outcome of logged fetches (url, attempt from 1,
+    status_code, null for a transport error): an attempt is repeated after 429,
+    5xx and transport errors, so many times at most; the first other one counts:
+    ok, not_modified, denied (401, 403), missing (404), failed; else the last: unavailable."""
+    again = F.col("status_code").isNull() | (F.col("status_code") == 429) | (F.col("status_code") >= 500)
+    tried = attempts.filter(F.col("attempt") <= most)
+    ends = tried.groupBy("url").agg(F.min(F.when(~again, F.struct("attempt", "status_code"))).alias("_e"), F.max(F.struct("attempt", "status_code")).alias("_l"))
+    code = F.col("_e.status_code")
+    outcome = F.when(F.col("_e").isNull(), "unavailable").when(code == 304, "not_modified").when(code.isin(401, 403), "denied").when(code == 404, "missing").when(code < 400, "ok").otherwise("failed")
+    return ends.select("url", F.coalesce("_e.attempt", "_l.attempt").alias("attempts"), F.coalesce(code, F.col("_l.status_code")).alias("status_code"), outcome.alias("outcome"))
 
 
 def path_candidates(sites: DataFrame, fetched: DataFrame) -> DataFrame:

@@ -404,61 +404,18 @@ def complete_sweeps(spark: SparkSession, folder: str) -> DataFrame:
     return boards.complete_sweeps(table(spark, folder, "board_page"))
 
 
-_PLATFORM_HOSTS = (("greenhouse", "boards.leafhire.example"), ("lever", "jobs.pryhire.example"), ("workable", "apply.toilhire.example"), ("smartrecruiters", "api.wiserecruit.example"))
-
-
 @query(
-    "select page_id, case "
-    + " ".join(f"when h = '{host}' or ends_with(h, '.{host}') then '{name}'" for name, host in _PLATFORM_HOSTS)
-    + " end as platform, h as host from (select page_id, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) as h from board_page)"
+    "select lead_id, case "
+    + " ".join(f"when h = '{host}' or ends_with(h, '.{host}') then '{name}'" for name, host in rules.HOSTS)
+    + f""" end as platform from (select lead_id, lower(regexp_extract(u, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) as h from (select lead_id, case ingest_seq % {len(rules.HOSTS) + 1} {' '.join(f"when {i} then 'https://' || case when ingest_seq % 2 = 0 then 'Sub.' else '' end || '{host.upper()}:443/x'" for i, (_, host) in enumerate(rules.HOSTS))} else 'https://notjobs.lever.com/' end as u from ({LATEST_LEADS})))"""
 )
 def host_platform(spark: SparkSession, folder: str) -> DataFrame:
-    host = web.host_of(F.col("url"))
-    return table(spark, folder, "board_page").select("page_id", web.platform_of_host(host, _PLATFORM_HOSTS).alias("platform"), host.alias("host"))
-
-
-def _pages(spark: SparkSession, folder: str) -> DataFrame:
-    """A home page of every company, made from the company table."""
-    c = table(spark, folder, "company").select(F.substring("id", 4, 9).cast("bigint").alias("page_id"), F.concat(F.lit("https://"), F.col("domain"), F.lit("/")).alias("url"), "name", "domain")
-    html = F.concat(
-        F.lit("<html><head><meta name='description' content='"), F.col("name"), F.lit("'></head><body><nav><a href='/blog/jobs'>Jobs blog</a></nav><h1>"), F.col("name"), F.lit("</h1><ul class='roles list'>"),
-        F.array_join(F.transform(F.sequence(F.lit(1), F.col("page_id") % 4 + 1), lambda i: F.concat(F.lit("<li class='role'><a href='/jobs/role-"), i.cast("string"), F.lit("'>Role "), i.cast("string"), F.lit("</a></li>"))), ""),
-        F.lit("</ul><footer><a href='https://jobs.lever.co/"), F.col("domain"), F.lit("'>Careers</a></footer>"),
-        F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("<script type='application/ld+json'>{\"@type\": \"JobPosting\", \"title\": \"Role at "), F.col("name"), F.lit("\"}</script>"))).otherwise(""), F.lit("</body></html>"),
-    )
-    return c.select("page_id", "url", html.alias("html"))
-
-
-@query("select cast(substr(id, 4) as bigint) as page_id, 'https://jobs.lever.co/' || domain as link, 16 as score from company")
-def best_anchor(spark: SparkSession, folder: str) -> DataFrame:
-    return web.best_anchor(web.read_pages(_pages(spark, folder)))
-
-
-@query("select p as page_id, i::int as pos, 'https://' || domain || '/jobs/role-' || i as link, 'Role ' || i as text from (select cast(substr(id, 4) as bigint) p, domain, unnest(range(1, p % 4 + 2)) i from company) where p % 4 > 0")
-def generic_job_links(spark: SparkSession, folder: str) -> DataFrame:
-    return web.job_links(web.read_pages(_pages(spark, folder)))
-
-
-@query("select cast(substr(id, 4) as bigint) as page_id, 0::bigint as record_pos, 'Role at ' || name as title, 'https://' || domain || '/' as url from company where cast(substr(id, 4) as bigint) % 3 = 0")
-def jsonld_postings(spark: SparkSession, folder: str) -> DataFrame:
-    return web.jsonld_postings(web.read_pages(_pages(spark, folder))).select("page_id", "record_pos", "title", "url")
-
-
-@query("select cast(substr(id, 4) as bigint) as page_id, case when cast(substr(id, 4) as bigint) % 3 = 0 then 'jsonld' else 'generic_html' end as route from company")
-def route_extraction(spark: SparkSession, folder: str) -> DataFrame:
-    return web.route(web.read_pages(_pages(spark, folder)))
-
-
-@query("select cast(substr(id, 4) as bigint) as page_id, cast(substr(id, 4) as bigint) % 3 = 0 or cast(substr(id, 4) as bigint) % 4 + 1 >= 3 as valid from company")
-def careers_validation(spark: SparkSession, folder: str) -> DataFrame:
-    return web.is_careers_page(web.read_pages(_pages(spark, folder)))
-
-
-@query("select cast(substr(id, 4) as bigint) as page_id, 'lever' as platform, nullif(regexp_extract('https://jobs.lever.co/' || domain, '(?i)jobs\\.lever\\.co/([\\w-]+)', 1), '') as token from company")
-def board_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    links = web.best_anchor(web.read_pages(_pages(spark, folder)))
-    platform = web.platform_of_host(web.host_of(F.col("link")))
-    return links.select("page_id", platform.alias("platform"), web.board_token(platform, F.col("link")).alias("token"))
+    """Every known host, as it is and as a subdomain, and an unknown one, dealt to the leads."""
+    case = F.col("ingest_seq") % (len(rules.HOSTS) + 1)
+    url = F.lit("https://notjobs.lever.com/")
+    for i, (_, host) in enumerate(rules.HOSTS):
+        url = F.when(case == i, F.concat(F.lit("https://"), F.when(F.col("ingest_seq") % 2 == 0, "Sub.").otherwise(""), F.lit(f"{host.upper()}:443/x"))).otherwise(url)
+    return _latest_leads(spark, folder).select("lead_id", web.platform_of_host(web.host_of(url)).alias("platform"))
 
 
 _PERSONAS = {f: ",".join(sorted({*titles, *rules.FOUNDER_TITLES, *rules.RECRUITING_TITLES})) for f, titles in rules.OWNER_TITLES.items()}

@@ -96,13 +96,14 @@ def board_postings(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumns({c: F.array_join(c, "|") for c in ("all_places", "more_places")})
 
 
-_SPLIT = "list_filter(list_transform(regexp_split_to_array(location_raw, '\\s*[/;]\\s*'), lambda t: trim(t)), lambda t: t <> '')"
+_TRIM = "regexp_replace({0}, '^[\\s\\x{{A0}}\\x{{3000}}]+|[\\s\\x{{A0}}\\x{{3000}}]+$', '', 'g')"
+_SPLIT = f"list_filter(list_transform(regexp_split_to_array(location_raw, '\\s*[/;]\\s*'), lambda t: {_TRIM.format('t')}), lambda t: t <> '')"
 
 
 @query(
     BOARD
     + f""", t as (select *, {canonical_sql('title_raw')} as c from posts), n as (select *, trim(case when c <> '' and (c = lower(c) or c = upper(c)) then array_to_string(list_transform(regexp_extract_all(lower(c), '(\\p{{L}}+|[^\\p{{L}}]+)'), lambda x: upper(x[1:1]) || x[2:]), '') else c end) as title from t),
-    o as (select *, case when source_platform in ('greenhouse', 'lever', 'ashby') then list_filter([trim(location_raw)], lambda t: t <> '') else {_SPLIT} end as own, regexp_replace(lower(workplace_raw), '[\\s_-]+', '', 'g') as wp from n)
+    o as (select *, case when source_platform in ('greenhouse', 'lever', 'ashby') then list_filter([{_TRIM.format('location_raw')}], lambda t: t <> '') else {_SPLIT} end as own, regexp_replace(lower(workplace_raw), '[\\s_-]+', '', 'g') as wp from n)
     select page_id, posting_pos, company_id, source_platform, title, {case_first("lower(coalesce(title, '') || ' ' || coalesce(department_raw, ''))", rules.FUNCTION_KEYWORDS)} as function, {case_first("lower(coalesce(title, ''))", rules.SENIORITY_KEYWORDS)} as seniority,
     array_to_string(list_transform(case when len(all_places) > 0 then list_distinct(all_places) when len(more_places) > 0 then list_distinct(coalesce(own, []) || more_places) else own end, lambda t: t || case when contains(lower(t), 'remote') then ' R' else '' end), '|') as places,
     case when trim(external_id) <> '' then company_id || ':' || source_platform || ':' || trim(external_id) when trim(url) <> '' then company_id || ':url:' || substr(sha256(trim(url)), 1, 16) else company_id || ':hash:' || substr(sha256(company_id || '|' || coalesce(title, '') || '|' || coalesce(department_raw, '')), 1, 16) end as job_id, employment_type,

@@ -98,15 +98,49 @@ def test_pages(spark):
     assert web.best_anchor(read).collect()[0].link == "https://a.example/careers"
     assert {r.link for r in web.job_links(read).filter("page_id = 1").collect()} == {"https://a.example/jobs/dev-one", "https://a.example/jobs/dev-two", "https://a.example/jobs/dev-two#x"}
     assert [(r.title, r.external_id) for r in web.jsonld_postings(read).collect()] == [("A", "7")]
-    assert {r.page_id: r.route for r in web.route(read).collect()} == {1: "lever", 2: "lever", 3: "rendered"}
+    assert {r.page_id: r.route for r in web.route(read).collect()} == {1: "lever", 2: "lever", 3: "generic_html"}
     assert {r.page_id: r.valid for r in web.is_careers_page(read).collect()} == {1: True, 2: False, 3: False}
     assert one(spark, "lever", web.board_token, "https://jobs.lever.co/acme/1") == "acme"
     assert one(spark, "workable", web.board_token, "https://apply.workable.com/j/1") is None
     robots = spark.createDataFrame([("a.example", "User-agent: *\nDisallow: /private")], "host string, text string")
     urls = spark.createDataFrame([("https://a.example/private/1",), ("https://a.example/ok",), ("https://z.example/private",)], "url string")
     assert {r.url: r.allowed for r in web.allowed_by_robots(urls, robots).collect()} == {"https://a.example/private/1": False, "https://a.example/ok": True, "https://z.example/private": True}
-    steps = spark.createDataFrame([("c", "u1", "path", 2, True, 0.75), ("c", "u0", "link", 1, False, 0.9), ("d", "u", "search", 4, True, 0.4), ("e", "u", "manual", 0, True, 1.0)], "company_id string, url string, strategy string, ladder int, validated boolean, confidence double")
-    assert {r.company_id: r.status for r in web.resolved_source(steps).collect()} == {"c": "unvalidated", "d": "needs_review", "e": "resolved"}
+    steps = spark.createDataFrame([("c", "u1", "path", True), ("c", "u0", "homepage_own", False), ("d", "u", "search_open", True), ("e", "u", "manual", None), ("f", "u", "guess", True)], "company_id string, url string, strategy string, validated boolean")
+    assert {r.company_id: (r.url, r.status, r.confidence) for r in web.resolved_source(steps).collect()} == {"c": ("u0", "resolution_unvalidated", 0.85), "d": ("u", "needs_review", 0.4), "e": ("u", "resolved", 1.0)}
+
+
+def test_fingerprints_from_the_surest_on(spark):
+    none = (None, [], [])
+    rows = [
+        (1, "https://jobs.lever.co/acme", "<script src='https://embed.ashbyhq.com/z'></script>", *none), (2, "https://a.example", "", "https://acme.recruitee.com/o", [], []), (3, "https://a.example", "<iframe src='https://boards.greenhouse.io/embed/job_board?for=acme'></iframe>", *none),
+        (4, "https://a.example", "", None, ["https://x.example", "https://ats.rippling.com/acme/j"], []), (5, "https://a.example", "<div class='x lever-jobs-list'>", *none), (6, "https://a.example", "", None, [], ["cdn.example", "Jobs.Ashbyhq.com"]), (7, "https://a.example", "<p>", *none), (8, None, None, None, None, None),
+    ]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, final_url string, requests array<string>, aliases array<string>")
+    read = web.read_pages(frame).join(frame.select("page_id", "final_url", "requests", "aliases"), "page_id")
+    got = {r.page_id: (r.platform, r.token, r.signal) for r in web.fingerprint(read).collect()}
+    assert got == {1: ("lever", "acme", "url_host"), 2: ("recruitee", "acme", "redirect"), 3: ("greenhouse", "acme", "embed"), 4: ("rippling", "acme", "network"), 5: ("lever", None, "dom"), 6: ("ashby", None, "cname"), 7: (None, None, None), 8: (None, None, None)}
+
+
+def test_rendered_pages_have_no_job_links(spark):
+    pages = [(1, "https://a.example", "<!--$--><p>x</p>"), (2, "https://a.example", "<div id='__next'><a href='/jobs/abc'>A</a></div>"), (3, "https://a.example", "<script type='application/ld+json'>{\"@type\": \"JobPosting\"}</script><div id=app>"), (4, "https://a.example", "<div class='app'>")]
+    read = web.read_pages(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    assert {r.page_id: r.route for r in web.route(read).collect()} == {1: "rendered_dom", 2: "generic_html", 3: "jsonld", 4: "generic_html"}
+
+
+def test_title_and_place_of_job_links(spark):
+    html = "<div><p><a href='/jobs/one'><b>One</b> <i class=office>Lyon</i></a></p><p><a href='/jobs/two'>Two</a><span>Remote, EU</span></p><ul><li class=c><a href='/jobs/three'>Three</a><em>Rome, IT</em><a href='/x'>more</a></li></ul></div>"
+    read = web.read_pages(spark.createDataFrame([(1, "https://a.example", html)], "page_id long, url string, html string"))
+    got = [(a.title, a.place) for a in read.first().anchors if "/jobs/" in a.href]
+    assert got == [("One", "Lyon"), ("Two", "Remote, EU"), ("Three", None)]
+
+
+def test_fetches_and_searches(spark):
+    tries = [("a", 1, 503), ("a", 2, 200), ("b", 1, 404), ("c", 1, None), ("c", 2, 429), ("d", 1, 403), ("e", 5, 200), ("e", 4, 500), ("f", 1, 304)]
+    got = {r.url: (r.attempts, r.status_code, r.outcome) for r in web.fetch_outcome(spark.createDataFrame(tries, "url string, attempt int, status_code int")).collect()}
+    assert got == {"a": (2, 200, "ok"), "b": (1, 404, "missing"), "c": (2, 429, "unavailable"), "d": (1, 403, "denied"), "e": (4, 500, "unavailable"), "f": (1, 304, "not_modified")}
+    found = [("c", "c.example", True, 1, "https://any.example/p"), ("c", "c.example", False, 0, "https://c.example"), ("d", "d.example", True, 0, ""), ("d", "d.example", False, 0, "https://notd.example"), ("d", "d.example", False, 1, "https://jobs.lever.co/d"), ("e", "e.example", False, 0, None)]
+    best = web.search_candidates(spark.createDataFrame(found, "company_id string, domain string, restricted boolean, pos int, url string"))
+    assert {tuple(r) for r in best.collect()} == {("c", "https://any.example/p", "search_restricted"), ("d", "https://jobs.lever.co/d", "search_open")}
 
 
 def test_path_candidates(spark):
@@ -120,7 +154,7 @@ def test_boards(spark):
     page = '{"jobs": [{"id": 5, "title": "sr eng", "absolute_url": "u", "departments": [{"name": "R&D"}], "location": {"name": "Remote / Oslo"}}, 3]}'
     pages = spark.createDataFrame([(1, "c", "r", "greenhouse", 200, 0, page), (2, "c", "r", "greenhouse", 503, 1, None), (3, "d", "r", "lever", 304, 0, None)], "page_id long, company_id string, run_id string, source_platform string, status_code int, page_no int, payload string")
     got = boards.normalized_postings(pages).collect()
-    assert [(r.job_id, r.title, r.function, r.seniority, [tuple(p) for p in r.places]) for r in got] == [("c:greenhouse:5", "Senior Engineer", "engineering", "senior", [("Remote", True), ("Oslo", False)])]
+    assert [(r.job_id, r.title, r.function, r.seniority, [tuple(p) for p in r.places]) for r in got] == [("c:greenhouse:5", "Senior Engineer", "engineering", "senior", [("Remote / Oslo", True)])]
     assert {r.company_id: r.status for r in boards.complete_sweeps(pages).collect()} == {"c": "schema_violation", "d": "success"}
 
 
