@@ -192,3 +192,16 @@ def token_ids(documents: DataFrame, name: str = "byte_bpe_50k") -> DataFrame:
 def token_counts(documents: DataFrame, name: str = "byte_bpe_50k") -> DataFrame:
     """doc_id, n_tokens; 0 for null and empty texts."""
     return token_ids(documents, name).select("doc_id", F.size("ids").alias("n_tokens"))
+
+
+def token_texts(encoded: DataFrame, name: str = "byte_bpe_50k") -> DataFrame:
+    """doc_id, text of token ids (doc_id, ids): the inverse of ``token_ids``; a null or empty list is an empty text."""
+    path = vocabulary_path(encoded.sparkSession, name)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spelled = vocabulary(path).token
+        for batch in batches:
+            texts = [b"".join(spelled[i] for i in ids or ()).decode("utf-8", "surrogatepass") for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id bigint, text string")
