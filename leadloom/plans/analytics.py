@@ -434,6 +434,7 @@ def personas_for_company(spark: SparkSession, folder: str) -> DataFrame:
 # --- events -----------------------------------------------------------------
 
 
-@query("select time_bucket(interval '1 hour', ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
+@query("select epoch_us(time_bucket(interval '1 hour', ts)) as window_micros, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def windowed_events(spark: SparkSession, folder: str) -> DataFrame:
-    return windowed_counts(table(spark, folder, "events")).withColumn("total", F.round("total", 4))
+    counted = windowed_counts(table(spark, folder, "events"))
+    return counted.select(F.unix_micros("window_start").alias("window_micros"), "event_type", "n", F.round("total", 4).alias("total"))

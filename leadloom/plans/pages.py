@@ -4,7 +4,7 @@ SQL makes the same pages and reads them with regular expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leadloom.functions import rules
@@ -136,3 +136,76 @@ def sitemap_pages(spark: SparkSession, folder: str) -> DataFrame:
     part = lambda i: c.filter(F.expr(f"{_N} % 3 = 0")).select((-F.expr(_N)).alias("page_id"), F.concat(F.lit("https://"), "domain", F.lit(f"/s{i}.xml")).alias("url"), F.when(F.expr(f"{_N} % 2 <= {i}"), F.concat(F.lit("<url><loc>https://"), "domain", F.lit("/x</loc></url><url><loc>https://"), "domain", F.lit("/jobs"), F.expr(f"{_N} % 2").cast("string"), F.lit("</loc></url>"))).otherwise("<urlset/>").alias("html"))
     read = web.read_pages(own.unionByName(part(0)).unionByName(part(1)))
     return web.sitemap_candidates(read).filter("page_id >= 0")
+
+
+@query(f"select u as url, not ({_N} % 2 = 0 and p = '/private/x') and not ({_N} % 3 = 0 and p = '/jobs/y') as allowed from (select id, domain, unnest(['/private/x', '/jobs/y', '/']) as p, 'https://' || domain || p as u from company)")
+def robots_gate(spark: SparkSession, folder: str) -> DataFrame:
+    """Three addresses of every company against its robots text; every company of a sixth part has none."""
+    c = table(spark, folder, "company").select("domain", F.expr(_N).alias("n"))
+    urls = c.select(F.explode(F.transform(F.array(*[F.lit(p) for p in ("/private/x", "/jobs/y", "/")]), lambda p: F.concat(F.lit("https://"), "domain", p))).alias("url"))
+    rules_ = F.concat(F.lit("User-agent: *\n"), F.when(F.col("n") % 2 == 0, "Disallow: /private\n").otherwise(""), F.when(F.col("n") % 3 == 0, "Disallow: /jobs/\n").otherwise(""))
+    robots = c.filter("n % 2 = 0 or n % 3 = 0").select(F.col("domain").alias("host"), rules_.alias("text"))
+    return web.allowed_by_robots(urls, robots)
+
+
+@query(
+    """with t as (select url, row_number() over (partition by url order by fetched_at, page_id) as attempt, status_code as code from board_page), k as (select *, coalesce(code = 429 or code >= 500, true) as again from t where attempt <= 4),
+    e as (select url, arg_min(code, attempt) filter (not again) as c, min(attempt) filter (not again) as a, max(attempt) as la, arg_max(code, attempt) as lc from k group by 1)
+    select url, coalesce(a, la)::int as attempts, coalesce(c, lc) as status_code, case when a is null then 'unavailable' when c = 304 then 'not_modified' when c in (401, 403) then 'denied' when c = 404 then 'missing' when c < 400 then 'ok' else 'failed' end as outcome from e"""
+)
+def fetch_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """The fetches of each address of a board, in order, as attempts."""
+    in_order = Window.partitionBy("url").orderBy("fetched_at", "page_id")
+    tries = table(spark, folder, "board_page").select("url", F.row_number().over(in_order).alias("attempt"), "status_code")
+    return web.fetch_outcome(tries)
+
+
+@query(
+    f"""with s as (select id as company_id, {_N} as n, domain from company) select company_id, case when n % 3 = 0 then 'https://any.example/' || n when n % 5 < 2 then 'https://jobs.' || domain || '/r' else 'https://jobs.lever.co/' || n end as url, case when n % 3 = 0 then 'search_restricted' else 'search_open' end as strategy from s where n % 3 = 0 or n % 5 < 4"""
+)
+def search_fallback(spark: SparkSession, folder: str) -> DataFrame:
+    """Search results made by arithmetic: a restricted one for every third company, open ones on a foreign host, the company's own, and a board."""
+    c = table(spark, folder, "company").select(F.col("id").alias("company_id"), "domain", F.expr(_N).alias("n"))
+    row = lambda restricted, pos, url: F.struct(F.lit(restricted).alias("restricted"), F.lit(pos).alias("pos"), url.alias("url"))
+    results = F.array(
+        F.when(F.col("n") % 3 == 0, row(True, 3, F.concat(F.lit("https://any.example/"), F.col("n").cast("string")))), row(False, 0, F.concat(F.lit("https://not"), "domain", F.lit("/q"))),
+        F.when(F.col("n") % 5 < 2, row(False, 1, F.concat(F.lit("https://jobs."), "domain", F.lit("/r")))), F.when(F.col("n") % 5 < 4, row(False, 2, F.concat(F.lit("https://jobs.lever.co/"), F.col("n").cast("string")))),
+    )
+    return web.search_candidates(c.select("company_id", "domain", F.inline(F.array_compact(results))))
+
+
+_PATH = lambda n, i: f"({n} * 7 + {i} * 3) % 5"
+
+
+@query(
+    f"""with t as (select id as company_id, {_N} as n, domain, unnest(range({len(rules.CAREERS_PATHS)})) as i from company), m as (select *, ['{"', '".join(rules.CAREERS_PATHS)}'][i + 1] as path, {_PATH('n', 'i')} as k from t)
+    select company_id, arg_min('https://' || domain || path, i) as link from m where k in (1, 4) and (n + i) % 2 = 0 group by 1"""
+)
+def path_probe(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers to the usual paths of every company: head 404, 405 or 200, page 200 or 500, a careers page or not, by arithmetic."""
+    c = table(spark, folder, "company").select(F.col("id").alias("company_id"), F.concat(F.lit("https://"), "domain", F.lit("/")).alias("url"), "domain", F.expr(_N).alias("n"))
+    asked = c.select("domain", "n", F.posexplode(F.array(*[F.lit(p) for p in rules.CAREERS_PATHS])).alias("i", "path")).withColumn("k", F.expr(_PATH("n", "i")))
+    fetched = asked.select(F.concat(F.lit("https://"), "domain", "path").alias("url"), F.element_at(F.array(*[F.lit(x) for x in (404, 405, 200, 404, 200)]), (F.col("k") + 1).cast("int")).alias("head_code"), F.when(F.col("k") == 2, 500).otherwise(200).alias("code"), ((F.col("n") + F.col("i")) % 2 == 0).alias("is_careers"))
+    return web.path_candidates(c.select("company_id", "url"), fetched)
+
+
+_BODY = f"""case when {_N} % 4 = 0 then concat('{{"results": [{{"title": "A', {_N}, '", "url": "u"}}, {{"n": 1}}]}}') when {_N} % 4 = 1 then concat('[{{"name": "B', {_N}, '", "jobUrl": "v"}}]') when {_N} % 4 = 2 then '[{{"n": 1}}, {{"n": 2}}, {{"n": 3}}, {{"title": "few"}}]' else 'not json' end""".replace("{{", "{").replace("}}", "}")
+
+
+@query(
+    f"""with c as (select {_N} as page_id, ({_BODY}) as body from company where {_N} % 4 < 2), l as (select page_id, cast(case when json_type(body::json) = 'ARRAY' then body::json else body::json -> '$.results' end as json[]) as items from c), r as (select page_id, unnest(items) as item, unnest(range(len(items))) as i from l)
+    select page_id, i::bigint as item_pos, coalesce(item ->> '$.title', item ->> '$.name') as title, coalesce(item ->> '$.url', item ->> '$.jobUrl') as url from r"""
+)
+def captured_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """Responses that pages asked for: a settings object before a job list, or no job list."""
+    c = table(spark, folder, "company").select(F.expr(_N).alias("page_id"), F.array(F.lit('{"user": 1}'), F.expr(_BODY)).alias("bodies"))
+    return web.captured_postings(c.select("page_id", F.posexplode("bodies").alias("pos", "body")))
+
+
+_STATE = f"""concat('<html><script id="__NEXT_DATA__" type="application/json">{{"props": {{"pageProps": {{"dehydratedState": {{"queries": [{{"queryKey": ["a", "b", "other"], "state": {{"data": {{"items": [{{"id": 0}}]}}}}}}, {{"queryKey": ["a", "b", "job-posts"], "state": {{"data": {{"items": [{{"id": ', {_N}, ', "name": "Role ', {_N} % 9, '", "url": "u"}}, {{"id": "x", "name": null}}]}}}}}}]}}}}}}}}</script></html>')"""
+
+
+@query(f"with c as (select {_N} as page_id from company) select page_id, 0::bigint as item_pos, page_id::varchar as external_id, 'Role ' || page_id % 9 as title, 'u' as url from c union all select page_id, 1, 'x', null, null from c")
+def embedded_items(spark: SparkSession, folder: str) -> DataFrame:
+    made = table(spark, folder, "company").select(F.expr(_N).alias("page_id"), F.lit("https://a.example").alias("url"), F.expr(_STATE).alias("html"))
+    return web.next_data_postings(web.read_pages(made))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from leadloom.functions import rules
 from leadloom.operators import people
 from leadloom.operators.tables import latest_per_key, top_rows
 from leadloom.plans.analytics import LATEST_LEADS, case_first, query, sql_list
+from leadloom.session import shared_dir
+from leadloom.sources.files import append_log, archive_payloads, read_log
 from leadloom.sources.tables import table
 
 #: the instant that ages are counted to
@@ -177,3 +181,30 @@ def context_stale(spark: SparkSession, folder: str) -> DataFrame:
     last = table(spark, folder, "documents").filter("doc_kind = 'context'").groupBy("company_id").agg(F.max("fetched_at").alias("at"))
     companies = table(spark, folder, "company").select(F.col("id").alias("company_id")).join(last, "company_id", "left")
     return companies.select("company_id", people.stale(F.col("at"), now(), 7).alias("stale"))
+
+
+@query("select lead_id, ingest_seq, epoch_us(coalesce(enriched_at, retrieved_at)) as version from lead_record where lead_id is not null and ingest_seq % 2 = 0 union all select lead_id, ingest_seq, epoch_us(coalesce(enriched_at, retrieved_at)) from lead_record where lead_id is not null and ingest_seq % 2 = 1")
+def log_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Two appends to a JSON-lines log in the shared folder, read again."""
+    rows = table(spark, folder, "lead_record").filter("lead_id is not null").select("lead_id", "ingest_seq", F.unix_micros(F.coalesce("enriched_at", "retrieved_at")).alias("version"))
+    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    for odd in (0, 1):
+        append_log(rows.filter(F.col("ingest_seq") % 2 == odd), path)
+    return read_log(spark, path, rows.schema)
+
+
+@query("select company_id, run_id, page_id, payload from board_page where company_id is not null and run_id is not null")
+def payload_archive(spark: SparkSession, folder: str) -> DataFrame:
+    """The payloads written by platform in the shared folder, read again."""
+    path = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
+    archive_payloads(table(spark, folder, "board_page").filter("company_id is not null and run_id is not null"), path, ("source_platform",))
+    return read_log(spark, path, "page_id bigint, payload string, company_id string, run_id string").select("company_id", "run_id", "page_id", "payload")
+
+
+_PAIR = "concat('job: ', job.title, ' (', coalesce(job.function, 'unknown'), ', ', coalesce(job.seniority, 'unknown'), ') in ', coalesce(job.location, 'unknown'), chr(10), 'lead: ', lead.name, ', ', lead.title, chr(10), 'contact: ', lead.contactability, chr(10), 'score: ', {0}, chr(10), 'text: ', substr(rationale, 1, 800))"
+
+
+@query("select gtm_id, " + _PAIR.format("printf('%.3f', relevance_score)") + " as prompt from gtm_lead")
+def pair_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """What a scorer is told of each pair, its text cut to 800 characters."""
+    return table(spark, folder, "gtm_lead").select("gtm_id", F.expr(_PAIR.format("format_string('%.3f', relevance_score)")).alias("prompt"))

@@ -20,12 +20,14 @@ def read_log(spark: SparkSession, path: str, schema: StructType | str) -> DataFr
 
 def append_log(rows: DataFrame, path: str, *partition_by: str) -> None:
     """Appends rows as JSON lines; an empty frame appends no rows."""
-    rows.write.mode("append").partitionBy(*partition_by).option("ignoreNullFields", "false").json(path)
+    writer = rows.write.mode("append").option("ignoreNullFields", "false")
+    (writer.partitionBy(*partition_by) if partition_by else writer).json(path)
 
 
-def archive_payloads(pages: DataFrame, path: str) -> None:
-    """The raw payloads of every company and run, overwritten run by run."""
-    pages.select("company_id", "run_id", "page_id", "payload").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("company_id", "run_id").json(path)
+def archive_payloads(pages: DataFrame, path: str, by: tuple[str, ...] = ("company_id", "run_id")) -> None:
+    """The raw payloads, a folder for each company and run (or the columns given, where those are too many), each overwritten as a whole."""
+    rows = pages.select("company_id", "run_id", "page_id", "payload", *[c for c in by if c not in ("company_id", "run_id")]).repartition(*by)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).json(path)
 
 
 def csv_rows(rows: DataFrame) -> DataFrame:
@@ -50,3 +52,8 @@ def csv_rows(rows: DataFrame) -> DataFrame:
 def write_csv(rows: DataFrame, path: str) -> None:
     """Writes the export as CSV parts with a header each."""
     csv_rows(rows).write.mode("overwrite").option("header", True).option("quoteAll", False).csv(path)
+
+
+def read_fixture(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """The elements of one JSON array in a file, or of several files."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", True).json(path)

@@ -201,8 +201,13 @@ def test_streams_equal_batches(spark, tmp_path):
         whole.filter(f"run_seq = {s}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         arriving = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
         changes.follow_snapshots(arriving, str(tmp_path / "runs"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    got = {(r.run_seq, r.id, r.change) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    got = {(r.run_seq, r.id, r.change) for r in changes.current_changes(spark, str(tmp_path / "out")).collect()}
     assert got == {(2, "a", "removed"), (2, "c", "added"), (3, "b", "removed")}
+    for s in (1, 3, 2):  # run 2 is late: what changed in run 3 is told anew
+        whole.filter(f"run_seq = {s}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in2"))
+        arriving = spark.readStream.schema(schema).parquet(str(tmp_path / "in2"))
+        changes.follow_snapshots(arriving, str(tmp_path / "runs2"), str(tmp_path / "out2"), str(tmp_path / "cp2")).awaitTermination()
+    assert {(r.run_seq, r.id, r.change) for r in changes.current_changes(spark, str(tmp_path / "out2")).collect()} == got
     events = spark.createDataFrame([(T0, "x", 1.0), (T0.replace(minute=59), "x", 2.0), (T0.replace(hour=1), "x", 4.0)], "ts timestamp, event_type string, value double")
     assert sorted((r.n, r.total) for r in changes.windowed_counts(events).collect()) == [(1, 4.0), (2, 3.0)]
 
