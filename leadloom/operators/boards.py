@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.functions import postings as P
@@ -208,3 +208,33 @@ def posting_details(items: DataFrame, description: str | None = None) -> DataFra
 def url_identity(external_id: Column, url: Column) -> Column:
     """Which rung of the ladder of ids a posting stands on: external_id, url or content."""
     return F.when(F.trim(external_id) != "", "external_id").when(F.trim(url) != "", "url").otherwise("content")
+
+
+def complete_listing(pages: DataFrame, most: int = 20) -> DataFrame:
+    """company_id, run_id, pages_read, complete of listings in pages (company_id,
+    run_id, page_no from 0, status, listed, total): a listing ends with the
+    page that reaches the total, an empty page, or the last page allowed; it is
+    complete if all its pages up to there came and succeeded (a page that was
+    not modified ends it too). Pages behind the end count for nothing."""
+    in_order = Window.partitionBy("company_id", "run_id").orderBy("page_no")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    fine = F.col("status").isin("success", "not_modified")
+    ends = (F.col("status") == "not_modified") | (F.sum("listed").over(so_far) >= F.col("total")) | (F.coalesce("listed", F.lit(0)) == 0) | (F.col("page_no") == most - 1)
+    marked = pages.filter(F.col("page_no") < most).select("company_id", "run_id", "page_no", fine.alias("fine"), (ends & fine).alias("ends"))
+    last = marked.groupBy("company_id", "run_id").agg(F.min(F.when(F.col("ends"), F.col("page_no"))).alias("end"), F.collect_set(F.when(F.col("fine"), F.col("page_no"))).alias("read"))
+    wanted = F.sequence(F.lit(0), F.col("end"))
+    return last.select("company_id", "run_id", F.size(F.filter("read", lambda n: F.col("end").isNull() | (n <= F.col("end")))).alias("pages_read"), (F.col("end").isNotNull() & (F.size(F.array_except(wanted, "read")) == 0)).alias("complete"))
+
+
+def hydrated(postings: DataFrame, details: DataFrame) -> DataFrame:
+    """postings with description_raw and url of their detail (external_id and
+    detail as JSON text): the posting's text and the qualifications, a blank
+    line between, and the public address; is_hydrated: a readable detail was
+    there. Of details of one posting the greatest text counts."""
+    one = details.filter(F.col("external_id").isNotNull()).groupBy("external_id").agg(F.max("detail").alias("_detail"))
+    v = F.try_parse_json("_detail")
+    part = lambda name: F.nullif(F.trim(F.try_variant_get(v, f"$.jobAd.sections.{name}.text", "string")), F.lit(""))
+    text = F.nullif(F.concat_ws("\n\n", part("jobDescription"), part("qualifications")), F.lit(""))
+    changes = {"description_raw": F.coalesce(text, "description_raw"), "url": F.coalesce(F.try_variant_get(v, "$.postingUrl", "string"), "url")}
+    met = postings.join(one, "external_id", "left")
+    return met.select(*[changes[c].alias(c) if c in changes else F.col(f"`{c}`") for c in postings.columns], F.coalesce(F.try_variant_get(v, "$", "map<string,variant>").isNotNull(), F.lit(False)).alias("is_hydrated"))

@@ -193,3 +193,15 @@ def filled_classes(postings: DataFrame, decisions: DataFrame) -> DataFrame:
     told = decisions.groupBy("title").agg(F.max_by(F.struct("function", "seniority"), "seq").alias("_d"))
     filled = {c: F.coalesce(F.col(c), F.col(f"_d.{c}")) for c in ("function", "seniority")}
     return postings.join(told, "title", "left").select(*[filled[c].alias(c) if c in filled else F.col(f"`{c}`") for c in postings.columns])
+
+
+def enrichment_outcome(leads: DataFrame) -> DataFrame:
+    """lead_id, outcome, touched of leads (lead_id, matched, attempted, admitted,
+    failed, rung, corroborated), the first that holds: passed (no job wants the
+    lead), complete (nothing to ask), skipped (no budget, or the provider
+    failed), missed (no answer), identity_weak (found by name without a shared
+    word), enriched. touched: the try counts as the lead's last one."""
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    weak = (F.col("rung") == "name") & ~yes("corroborated")
+    outcome = F.when(~yes("matched"), "passed").when(~yes("attempted"), "complete").when(~yes("admitted") | yes("failed"), "skipped").when(F.col("rung").isNull(), "missed").when(weak, "identity_weak").otherwise("enriched")
+    return leads.select("lead_id", outcome.alias("outcome")).withColumn("touched", F.col("outcome").isin("missed", "identity_weak", "enriched"))

@@ -59,16 +59,16 @@ def retrieval_status(spark: SparkSession, folder: str) -> DataFrame:
     return people.retrieval_status(searches, 5)
 
 
-_COMPLETE = "(coalesce(email_status = 'verified', false) and coalesce(trim(phone), '') <> '' and coalesce(trim(title_raw), '') <> '')"
+COMPLETE = "(coalesce(email_status = 'verified', false) and coalesce(trim(phone), '') <> '' and coalesce(trim(title_raw), '') <> '')"
 
 
-@query(f"select lead_id, not {_COMPLETE} as needed, not {_COMPLETE} or (enriched_at is not null and epoch({NOW_SQL}) - epoch(enriched_at) >= 90 * 86400) as attempted from ({LATEST_LEADS})")
+@query(f"select lead_id, not {COMPLETE} as needed, not {COMPLETE} or (enriched_at is not null and epoch({NOW_SQL}) - epoch(enriched_at) >= 90 * 86400) as attempted from ({LATEST_LEADS})")
 def enrichment_attempts(spark: SparkSession, folder: str) -> DataFrame:
     leads = latest_per_key(table(spark, folder, "lead_record"), ["lead_id"], "ingest_seq")
     return leads.select("lead_id", people.needs_enrichment(F.col("email_status"), F.col("phone"), F.col("title_raw")).alias("needed"), people.attempts_enrichment(leads, now()).alias("attempted"))
 
 
-def _asked_and_answers(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def asked_and_answers(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """The leads' first records ask, the records of one provider are the answers; the company stands for its domain."""
     records = table(spark, folder, "lead_record").withColumn("domain", F.col("company_id"))
     first = latest_per_key(records.filter("source <> 'pdl'").withColumn("_o", -F.col("ingest_seq")), ["lead_id"], "_o")
@@ -76,15 +76,15 @@ def _asked_and_answers(spark: SparkSession, folder: str) -> tuple[DataFrame, Dat
     return asked, records.filter("source = 'pdl'").withColumn("answer_id", F.col("ingest_seq"))
 
 
-_WATERFALL = """a as (select * exclude (k, linkedin_url, email), company_id as domain, case when ingest_seq % 3 = 0 then linkedin_url end as linkedin_url, case when ingest_seq % 2 = 0 then email end as email from (select *, row_number() over (partition by lead_id order by ingest_seq) k from lead_record where source <> 'pdl' and lead_id is not null) where k = 1),
+WATERFALL = """a as (select * exclude (k, linkedin_url, email), company_id as domain, case when ingest_seq % 3 = 0 then linkedin_url end as linkedin_url, case when ingest_seq % 2 = 0 then email end as email from (select *, row_number() over (partition by lead_id order by ingest_seq) k from lead_record where source <> 'pdl' and lead_id is not null) where k = 1),
     p as (select *, company_id as domain from lead_record where source = 'pdl'), q as (select lead_id, nullif(trim(linkedin_url), '') as l, nullif(trim(email), '') as e, lower(case when contains(full_name, '*') then split_part(full_name, ' ', 1) else full_name end) as n, lower(domain) as d from a),
     bl as (select nullif(trim(linkedin_url), '') as l, min(ingest_seq) as al from p group by 1), be as (select nullif(trim(email), '') as e, min(ingest_seq) as ae from p group by 1), bn as (select lower(full_name) as n, lower(domain) as d, min(ingest_seq) as an from p group by 1, 2),
     w as (select lead_id, coalesce(al, ae, an) as answer_id, case when al is not null then 'linkedin' when ae is not null then 'email' when an is not null then 'name' end as rung from q left join bl using (l) left join be using (e) left join bn on bn.n = q.n and bn.d = q.d and q.l is null and q.e is null)"""
 
 
-@query(f"with {_WATERFALL} select * from w")
+@query(f"with {WATERFALL} select * from w")
 def enrichment_waterfall(spark: SparkSession, folder: str) -> DataFrame:
-    return people.waterfall(*_asked_and_answers(spark, folder))
+    return people.waterfall(*asked_and_answers(spark, folder))
 
 
 @query(
@@ -103,12 +103,12 @@ def _words_sql(text: str, less: tuple[str, ...] = ()) -> str:
     return f"list_filter(regexp_extract_all(lower({text}), '[a-z]+'), lambda x: length(x) > 1 and x not in ({sql_list((*rules.STOP_WORDS, *less))}))"
 
 
-def _corroborated_sql(title: str, other: str, place: str, other_place: str) -> str:
+def corroborated_sql(title: str, other: str, place: str, other_place: str) -> str:
     generic = rules.GENERIC_TITLE_WORDS
     return f"(coalesce(list_has_any({_words_sql(title, generic)}, {_words_sql(other, generic)}), false) or coalesce(list_has_any({_words_sql(place)}, {_words_sql(other_place)}), false))"
 
 
-@query(f"select ingest_seq, {_corroborated_sql('r.title_raw', 'c.title_raw', 'r.location_raw', 'c.location_raw')} as corroborated from lead_record r join ({LATEST_LEADS}) c using (lead_id)".replace("select ingest_seq,", "select r.ingest_seq,"))
+@query(f"select ingest_seq, {corroborated_sql('r.title_raw', 'c.title_raw', 'r.location_raw', 'c.location_raw')} as corroborated from lead_record r join ({LATEST_LEADS}) c using (lead_id)".replace("select ingest_seq,", "select r.ingest_seq,"))
 def corroboration(spark: SparkSession, folder: str) -> DataFrame:
     """Whether each record of a lead shares a word of title or place with the lead's last record."""
     records = table(spark, folder, "lead_record")
@@ -118,14 +118,14 @@ def corroboration(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""with {_WATERFALL}, m as (select a.*, rung, p.email as we, p.email_status as ws, p.phone as mo, p.linkedin_url as pr, p.location_raw as pl, p.title_raw as jt from a left join w using (lead_id) left join p on p.ingest_seq = w.answer_id),
-    u as (select *, rung is not null and rung = 'name' and not {_corroborated_sql('title_raw', 'jt', 'location_raw', 'pl')} as weak, coalesce(email_status = 'verified', false) and coalesce(trim(email), '') <> '' as kept from m),
+    f"""with {WATERFALL}, m as (select a.*, rung, p.email as we, p.email_status as ws, p.phone as mo, p.linkedin_url as pr, p.location_raw as pl, p.title_raw as jt from a left join w using (lead_id) left join p on p.ingest_seq = w.answer_id),
+    u as (select *, rung is not null and rung = 'name' and not {corroborated_sql('title_raw', 'jt', 'location_raw', 'pl')} as weak, coalesce(email_status = 'verified', false) and coalesce(trim(email), '') <> '' as kept from m),
     v as (select *, rung is not null and not weak as use_ from u)
     select lead_id, case when use_ and not kept and coalesce(trim(we), '') <> '' then we else email end as email, case when use_ and not kept and coalesce(trim(we), '') <> '' then case when ws = 'verified' then 'verified' else 'guessed' end when use_ and not kept and coalesce(trim(email), '') <> '' then coalesce(email_status, 'guessed') else email_status end as email_status,
     case when use_ then coalesce(nullif(trim(phone), ''), nullif(trim(mo), '')) else phone end as phone, case when weak then 'enrichment_identity_weak' when use_ then 'enriched' else 'enrichment_skipped' end as enrichment_status, coalesce(use_ and trim(jt) <> '' and lower(jt) <> lower(title_raw), false) as job_changed from v"""
 )
 def enrich_merge(spark: SparkSession, folder: str) -> DataFrame:
-    asked, answers = _asked_and_answers(spark, folder)
+    asked, answers = asked_and_answers(spark, folder)
     told = answers.select("answer_id", F.col("email").alias("work_email"), F.col("email_status").alias("work_status"), F.col("phone").alias("mobile"), F.col("linkedin_url").alias("profile"), F.col("location_raw").alias("place"), F.col("title_raw").alias("job_title"))
     found = people.waterfall(asked, answers).join(told, "answer_id", "left")
     return people.enriched(asked, found).select("lead_id", "email", "email_status", "phone", "enrichment_status", "job_changed")

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.functions import rules
-from leadloom.operators import matching, ranking, runs
+from leadloom.operators import matching, people, ranking, runs
 from leadloom.plans.analytics import MATCHES, function_sql, matches_of, query, seniority_sql, sql_list, tier_sql
-from leadloom.plans.people import NOW_SQL, now
+from leadloom.plans.people import COMPLETE, NOW_SQL, WATERFALL, asked_and_answers, corroborated_sql, now
 from leadloom.sources.tables import table
 
 _W = rules.WEIGHTS
@@ -163,3 +163,22 @@ def tie_choices(spark: SparkSession, folder: str) -> DataFrame:
     case = F.ascii(F.substring("job_id", -1, 1)) % 3
     choices = ties.select("job_id", F.when(case == 1, F.col("second_lead")).when(case == 2, F.lit("ld-unknown")).alias("lead_id"))
     return ranking.chosen_of_two(ties, choices)
+
+
+@query(
+    MATCHES.rstrip()
+    + f""", {WATERFALL}, b as (select lead_id, row_number() over (partition by company_id order by ingest_seq) <= 5 as admitted from a), t as (select a.lead_id, a.title_raw as tt, a.location_raw as tl, rung, p.title_raw as jt, p.location_raw as pl from a left join w using (lead_id) left join p on p.ingest_seq = w.answer_id),
+    o as (select a.lead_id, case when a.lead_id not in (select lead_id from top3) then 'passed' when {COMPLETE} and not (enriched_at is not null and epoch({NOW_SQL}) - epoch(enriched_at) >= 90 * 86400) then 'complete' when not admitted or right(a.lead_id, 1) = '9' then 'skipped' when rung is null then 'missed'
+    when rung = 'name' and not {corroborated_sql('tt', 'jt', 'tl', 'pl')} then 'identity_weak' else 'enriched' end as outcome from a join b using (lead_id) join t using (lead_id))
+    select lead_id, outcome, outcome in ('missed', 'identity_weak', 'enriched') as touched from o"""
+)
+def enrichment_ladder(spark: SparkSession, folder: str) -> DataFrame:
+    """What becomes of every lead: five leads of a company are admitted, the provider fails for ids that end with 9."""
+    asked, answers = asked_and_answers(spark, folder)
+    matched = matches_of(spark, folder)[2].select("lead_id", F.lit(True).alias("matched")).distinct()
+    told = answers.select("answer_id", F.col("title_raw").alias("job_title"), F.col("location_raw").alias("place"))
+    found = people.waterfall(asked, answers).join(told, "answer_id", "left")
+    budget = people.within_budget(asked.select("company_id", "ingest_seq", "lead_id", F.lit(1).alias("cost")), "company_id", "ingest_seq", "cost", 5).select("lead_id", "admitted")
+    leads = asked.withColumn("attempted", people.attempts_enrichment(asked, now())).join(matched, "lead_id", "left").join(budget, "lead_id").join(found, "lead_id", "left")
+    leads = leads.withColumns({"failed": F.substring("lead_id", -1, 1) == "9", "corroborated": people.corroborated(F.col("title_raw"), F.col("job_title"), F.col("location_raw"), F.col("place"))})
+    return people.enrichment_outcome(leads)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leadloom.functions import rules
@@ -112,3 +112,31 @@ _SPLIT = f"list_filter(list_transform(regexp_split_to_array(location_raw, '\\s*[
 def normalized_postings(spark: SparkSession, folder: str) -> DataFrame:
     rows = boards.normalized_postings(table(spark, folder, "board_page"))
     return rows.withColumn("places", F.array_join(F.transform("places", lambda p: F.concat(p["place"], F.when(p["is_remote"], " R").otherwise(""))), "|"))
+
+
+_DETAIL = "concat('{\"postingUrl\": \"https://p.example/', source_job_id, '\", \"jobAd\": {\"sections\": {\"jobDescription\": {\"text\": \" Do ', cast(raw_id % 7 as varchar(9)), '\"}', case when raw_id % 2 = 0 then ', \"qualifications\": {\"text\": \"Know\"}' else '' end, '}}}')"
+
+
+@query(
+    BOARD
+    + f""", d as (select source_job_id as external_id, max({_DETAIL}) as detail from raw_posting where source_job_id is not null and raw_id % 3 > 0 group by 1)
+    select page_id, posting_pos, coalesce(detail::json ->> '$.postingUrl', url) as url, coalesce(nullif(concat_ws(chr(10) || chr(10), nullif(trim(detail::json ->> '$.jobAd.sections.jobDescription.text'), ''), nullif(trim(detail::json ->> '$.jobAd.sections.qualifications.text'), '')), ''), description_raw) as description_raw, detail is not null as is_hydrated
+    from posts left join d using (external_id) where source_platform = 'smartrecruiters'"""
+)
+def hydrated_postings(spark: SparkSession, folder: str) -> DataFrame:
+    """Listed postings with details made of the postings fetched with the same id."""
+    listed = boards.board_postings(table(spark, folder, "board_page").filter("source_platform = 'smartrecruiters'"))
+    details = table(spark, folder, "raw_posting").filter("raw_id % 3 > 0").select(F.col("source_job_id").alias("external_id"), F.expr(_DETAIL.replace("varchar(9)", "string")).alias("detail"))
+    return boards.hydrated(listed, details).select("page_id", "posting_pos", "url", "description_raw", "is_hydrated")
+
+
+@query(
+    """with p as (select company_id, run_id, page_id, row_number() over (partition by company_id, run_id order by page_id) - 1 as page_no, status_code, page_id % 3 as listed, 4 as total from board_page), s as (select *, case when status_code = 304 then 'not_modified' when status_code < 400 then 'success' else 'failed' end as status, sum(listed) over (partition by company_id, run_id order by page_no) as sofar from p),
+    e as (select *, status <> 'failed' as fine, status <> 'failed' and (status = 'not_modified' or sofar >= total or listed = 0 or page_no = 19) as ends from s), x as (select company_id, run_id, min(page_no) filter (ends) as end_ from e group by 1, 2)
+    select company_id, run_id, count(*) filter (fine and (end_ is null or page_no <= end_))::int as pages_read, coalesce(end_ is not null and count(*) filter (fine and page_no <= end_) = end_ + 1, false) as complete from e join x using (company_id, run_id) group by company_id, run_id, end_"""
+)
+def listing_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages of a run as pages of a listing of four, with none to two postings each."""
+    in_order = Window.partitionBy("company_id", "run_id").orderBy("page_id")
+    pages = table(spark, folder, "board_page").select("company_id", "run_id", (F.row_number().over(in_order) - 1).alias("page_no"), F.when(F.col("status_code") == 304, "not_modified").when(F.col("status_code") < 400, "success").otherwise("failed").alias("status"), (F.col("page_id") % 3).alias("listed"), F.lit(4).alias("total"))
+    return boards.complete_listing(pages)
