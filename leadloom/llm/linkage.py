@@ -25,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +50,9 @@ NICKNAMES = {
 }
 #: Chief officers.
 CHIEFS = {"ceo": "chief executive officer", "cfo": "chief financial officer", "cto": "chief technology officer", "coo": "chief operating officer", "cmo": "chief marketing officer", "cro": "chief revenue officer", "cpo": "chief product officer"}
-#: share of a field in the score, by the first letter of its terms: C company, F given name, T title word; others 1
+#: fields of terms: family name, whole name, company with family name, its beginning, its end, a mask; company, given name, title word
+FIELDS = "LNKPSMCFT"
+#: share of a field in the score; others 1
 SHARES = {"C": 0.1, "F": 0.3, "T": 0.1}
 #: least score of a match, as a part of the weight of a term of one lead
 LEAST_SCORE = 0.7
@@ -59,7 +62,7 @@ LEAST_CONFIDENCE = 0.5
 LABELLED = 20_000
 #: nearest leads of a record that are compared attribute by attribute
 TOP = 5
-FEATURES = "class_id bigint, first string, last string, mask string, cores array<string>, heads array<string>, title array<string>, terms array<string>"
+FEATURES = "class_id bigint, first string, last string, mask string, cores array<string>, heads array<string>, title array<string>, terms array<bigint>"
 
 
 def fold(text: str | None) -> str:
@@ -144,7 +147,13 @@ def title_words(title: str | None) -> list[str]:
     return sorted(out - {"of", "and", "the", "emea", "us", "eu"})
 
 
-def _features(first: str, last: str, mask: str, cores: list[str], heads: list[str], title: list[str], asked: bool = False) -> list[str]:
+def term_key(term: str) -> int:
+    """A term as a number: its field in the four highest bits, behind it its hash."""
+    key = FIELDS.index(term[0]) << 60 | xxhash.xxh64_intdigest(term) >> 4
+    return key - (1 << 64) if key >> 63 else key
+
+
+def _features(first: str, last: str, mask: str, cores: list[str], heads: list[str], title: list[str], asked: bool = False) -> list[int]:
     """The index terms of a record; asked: as a query, where a full name needs no term of masked ones."""
     terms = []
     parts = [p for p in last.split("-") if p]
@@ -167,12 +176,10 @@ def _features(first: str, last: str, mask: str, cores: list[str], heads: list[st
     if real:
         terms.append(f"F|{first}")
     terms += [f"T|{t}" for t in title]
-    return sorted(set(terms))
+    return sorted({term_key(t) for t in terms})
 
 
 def _class_id(*parts: object) -> int:
-    import xxhash
-
     return xxhash.xxh64_intdigest(repr(parts)) - (1 << 63)
 
 
@@ -240,18 +247,21 @@ def candidates(leads: DataFrame, persons: DataFrame, k: int = TOP) -> tuple[Data
     """
     n = leads.count()
     top = math.log(1 + (n - 0.5) / 1.5)
-    posting = leads.select(F.col("class_id").alias("lead"), F.explode("terms").alias("term"))
-    asked = persons.select(F.col("class_id").alias("person"), F.explode("terms").alias("term"))
-    share = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SHARES.items() for x in kv]), F.substring("term", 1, 1)), F.lit(1.0))
+    posting = leads.select(F.col("class_id").alias("lead"), F.explode("terms").alias("key"))
+    asked = persons.select(F.col("class_id").alias("person"), F.explode("terms").alias("key"))
+    field = F.shiftrightunsigned("key", 60)
+    share = F.lit(1.0)
+    for name, part in SHARES.items():
+        share = F.when(field == FIELDS.index(name), part).otherwise(share)
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = posting.groupBy("term").agg(F.count("*").alias("df")).select(F.xxhash64("term").alias("key"), "term", (idf * share).alias("weight"))
-    terms = asked.join(weights, "term").groupBy("person").agg(F.array_sort(F.collect_list(F.struct("weight", "key"))).alias("query"))
+    weights = posting.groupBy("key").agg(F.count("*").alias("df")).select("key", (idf * share).alias("weight"))
+    terms = asked.join(weights, "key").groupBy("person").agg(F.array_sort(F.collect_list(F.struct("weight", "key"))).alias("query"))
     terms = cut(terms)  # a row per record, read by the look-up and by the scoring
     total = lambda part: F.aggregate(part, F.lit(0.0), lambda acc, t: acc + t["weight"])
     rarer = F.filter("query", lambda t: total(F.filter("query", lambda u: u <= t)) >= LEAST_SCORE * top)
     looked_up = terms.select("person", F.explode(F.transform(rarer, lambda t: t["key"])).alias("key"))
-    pairs = looked_up.join(posting.select("lead", F.xxhash64("term").alias("key")), "key").select("person", "lead").distinct()
-    keys = leads.select(F.col("class_id").alias("lead"), F.transform("terms", lambda t: F.xxhash64(t)).alias("keys"))
+    pairs = looked_up.join(posting, "key").select("person", "lead").distinct()
+    keys = leads.select(F.col("class_id").alias("lead"), F.col("terms").alias("keys"))
     shared = F.filter("query", lambda t: F.array_contains("keys", t["key"]))
     scored = pairs.join(terms, "person").join(keys, "lead").select("person", "lead", total(shared).alias("found")).filter(F.col("found") >= LEAST_SCORE * top)
     return top_rows(scored, ["person"], [F.desc("found"), F.col("lead")], k), top
@@ -398,7 +408,7 @@ def matched_people(leads: DataFrame, persons: DataFrame) -> DataFrame:
     then the first class. Empty tables give no pairs; extra columns are ignored.
     """
     lead_rows, person_rows = cut(lead_features(leads)), cut(person_features(persons))
-    lead_classes, person_classes = _classes(lead_rows), _classes(person_rows)
+    lead_classes, person_classes = cut(_classes(lead_rows)), cut(_classes(person_rows))  # read by several steps
     pairs, top = candidates(lead_classes, person_classes)
 
     def side(classes: DataFrame, key: str, letter: str) -> DataFrame:

@@ -160,7 +160,7 @@ def test_top_k_equals_brute_force(spark):
     names = ["ann", "bea", "cem"]
     terms = lambda: sorted({f"F|{rng.choice(names)}", f"C|c{rng.randint(0, 3)}", f"T|t{rng.randint(0, 2)}", *(f"L|{rng.randint(0, 60)}" for _ in range(rng.randint(0, 3)))})
     sides = [{i: terms() for i in range(200)} for _ in range(2)]
-    frames = [spark.createDataFrame(list(s.items()), "class_id long, terms array<string>") for s in sides]
+    frames = [spark.createDataFrame([(i, [linkage.term_key(t) for t in ts]) for i, ts in s.items()], "class_id long, terms array<bigint>") for s in sides]
     pairs, top = linkage.candidates(*frames, k=2)
     got = {}
     for r in pairs.collect():
