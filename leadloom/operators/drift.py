@@ -31,9 +31,8 @@ _LEVELS = r"regexp_count(record, r'\{')"
 def leaves(v: str) -> str:
     """field, depth and value of every value of the object v that is no object:
     dot-joined paths; an empty object has none."""
-    rows = f"transform(map_entries(try_variant_get(e.value, '$', 'map<string,variant>')), k -> struct(concat_ws('.', e.field, k.key) as field, e.depth + 1 as depth, k.value as value))"
-    step = f"case when exists(acc, e -> {is_object('e.value')}) then flatten(transform(acc, e -> case when {is_object('e.value')} then {rows} else array(e) end)) else acc end"
-    return f"aggregate(array_repeat(0, {_LEVELS}), array(struct(cast(null as string) as field, 0 as depth, {v} as value)), (acc, level) -> {step})"
+    rows = "transform(map_entries(try_variant_get(e.value, '$', 'map<string,variant>')), k -> struct(concat_ws('.', e.field, k.key) as field, e.depth + 1 as depth, k.value as value))"
+    return f"aggregate(array_repeat(0, {_LEVELS}), array(struct(cast(null as string) as field, 0 as depth, {v} as value)), (acc, level) -> flatten(transform(acc, e -> coalesce({rows}, array(e)))))"
 
 
 def of_record(body: str) -> str:
@@ -43,13 +42,14 @@ def of_record(body: str) -> str:
 
 
 def type_bit(v: str) -> str:
-    return f"case when schema_of_variant({v}) = 'VOID' then 0 when schema_of_variant({v}) = 'BOOLEAN' then 1 when schema_of_variant({v}) = 'STRING' then 4 when schema_of_variant({v}) like 'ARRAY%' then 8 when {v} is null then 0 else 2 end"
+    """The bit of a value's JSON type, 0 for null; the first letters of its SQL type tell it."""
+    return f"coalesce(try_element_at(map('VO', 0, 'BO', 1, 'ST', 4, 'AR', 8), left(schema_of_variant({v}), 2)), 2)"
 
 
 def content(v: str) -> str:
     """A value with its type as text, equal for equal content: 1 and 1.0 are one number, 1 and "1" differ; null for null."""
     kind = f"schema_of_variant({v})"
-    return f"case when {kind} = 'VOID' then null when {kind} in ('DOUBLE', 'FLOAT') then regexp_replace(to_json({v}), '[.]0+$', '') else to_json({v}) end"
+    return f"case when {kind} = 'VOID' then null when {kind} = 'DOUBLE' then regexp_replace(to_json({v}), '[.]0+$', '') else to_json({v}) end"
 
 
 def _rows(records: DataFrame) -> DataFrame:
