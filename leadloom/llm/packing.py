@@ -28,13 +28,19 @@ def difference(sizes: np.ndarray, k: int) -> list[list[int]]:
 
     A partition keeps its window sums in falling order less their minimum, with
     empty windows left out. The two partitions of largest spread merge, the
-    largest window of one with the smallest of the other.
+    largest window of one with the smallest of the other. Until k windows are
+    begun that lays the largest items side by side, which is where it starts.
     """
     n = len(sizes)
+    if n <= k:
+        return [[i] for i in range(n)]
     left, right = list(range(n)), [-1] * n  # nodes: an item (itself), or a union of two nodes
-    heap = [(-int(s), i, np.array([s], dtype=np.int64), np.array([i], dtype=np.int64)) for i, s in enumerate(sizes)]
+    order = np.argsort(-sizes, kind="stable")
+    sums = (sizes[order[:k]] - sizes[order[k - 1]]).astype(np.int64)
+    heap = [(-int(sums[0]), n, sums, order[:k])]
+    heap += [(-int(sizes[i]), int(i), sizes[i : i + 1].astype(np.int64), np.array([i], dtype=np.int64)) for i in order[k:]]
     heapq.heapify(heap)
-    turn = n
+    turn = n + 1
     while len(heap) > 1:
         _, _, a, na = heapq.heappop(heap)
         _, _, b, nb = heapq.heappop(heap)
@@ -131,28 +137,38 @@ def windows(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     """Items (by index, sizes from 1 to capacity) in few windows.
 
     Differencing starts with as many windows as are needed at least; their
-    number rises while exchanges can't bring all under the capacity: by growing
-    steps at first, then the steps are halved back, so that the last count that
-    failed is one below the result.
+    number rises while exchanges can't bring all under the capacity. What the
+    fullest window has above the mean says how many would do; from there
+    growing steps, then halved ones, find a count that works while one less fails.
     """
     if not len(sizes):
         return []
+    least, total = least_windows(sizes, capacity), int(sizes.sum())
+    good: dict[int, list[list[int]]] = {}
 
-    def tried(k: int) -> list[list[int]] | None:
+    def fails(k: int) -> bool:
         found = difference(sizes, k)
-        return found if exchange(sizes, found, capacity) else None
-
-    failed, step = least_windows(sizes, capacity) - 1, 1
-    while (good := tried(failed + step)) is None:
-        failed, step = failed + step, 2 * step
-    while step > 1:
-        step //= 2
-        found = tried(failed + step)
-        if found is None:
-            failed += step
-        else:
-            good = found
-    return good
+        if exchange(sizes, found, capacity):
+            good[k] = found
+        return k not in good
+
+    first = difference(sizes, least)
+    above = max(int(sizes[w].sum()) for w in first) - total / least
+    if exchange(sizes, first, capacity):
+        return first
+    low, high, step = least, least + 1, 1  # low fails
+    if above < capacity:
+        high = max(high, -(-total // max(1, int(capacity - above))))
+    while fails(high):
+        low, high, step = high, high + step, 2 * step
+    step = 1
+    while high - step > low and not fails(high - step):
+        high, step = high - step, 2 * step
+    low = max(low, high - step)
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if fails(middle) else (low, middle)
+    return good[high]
 
 
 def pack(documents: DataFrame, specs: DataFrame) -> DataFrame:
