@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom.operators import drift, nested, snapshots, timestamps
+from leadloom.plans.time_sql import P2_SQL
 from leadloom.sources.tables import spread, table
 
 
@@ -138,4 +139,4 @@ P4_SQL = """with runs as (select *, lag(run_seq) over w as prev, lead(run_seq) o
     union all select board_id, run_seq, id, 'changed' from seen where seen_before = prev and (was <> title or was_moment <> moment)
     union all select board_id, next, id, 'removed' from seen where next is not null and seen_next is distinct from next"""
 
-ORACLE: dict[str, str] = {"p1_found": P1_SQL, "p1_postings": P1_POSTINGS_SQL, "p1_children": P1_CHILDREN_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL, "p7_table": P7_TABLE_SQL, "p7_steps": P7_STEPS_SQL}
+ORACLE: dict[str, str] = {"p1_found": P1_SQL, "p1_postings": P1_POSTINGS_SQL, "p1_children": P1_CHILDREN_SQL, "p2_found": P2_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL, "p7_table": P7_TABLE_SQL, "p7_steps": P7_STEPS_SQL}
