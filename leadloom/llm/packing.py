@@ -45,6 +45,20 @@ def difference(sizes: np.ndarray, k: int) -> list[list[int]]:
         _, _, a, na = heapq.heappop(heap)
         _, _, b, nb = heapq.heappop(heap)
         both = len(a) + len(b) - k
+        if both <= 0 and b[0] <= a[-1]:  # already in order
+            sums, nodes = np.concatenate([a, b]), np.concatenate([na, nb])
+            heapq.heappush(heap, (-int(sums[0] - (sums[-1] if len(sums) == k else 0)), turn, sums - (sums[-1] if len(sums) == k else 0), nodes))
+            turn += 1
+            continue
+        if both == 1 and len(b) == 1:  # one window of a changes: it moves to its new place
+            left.append(int(na[-1]))
+            right.append(int(nb[0]))
+            value, rest = a[-1] + b[0], a[:-1]
+            at = len(rest) - int(rest[::-1].searchsorted(value))
+            sums, nodes = np.concatenate([rest[:at], [value], rest[at:]]), np.concatenate([na[:at], [len(left) - 1], na[at:-1]])
+            heapq.heappush(heap, (int(sums[-1] - sums[0]), turn, sums - sums[-1], nodes))
+            turn += 1
+            continue
         if both <= 0:
             sums, nodes = np.concatenate([a, b]), np.concatenate([na, nb])
         else:
