@@ -167,7 +167,7 @@ def test_boards_workplace_and_all_places(spark):
     got = {r.job_id[-1]: (r.workplace_type, r.places and [tuple(p) for p in r.places]) for r in boards.normalized_postings(pages).collect()}
     assert got == {
         "a": ("hybrid", [("Oslo", False), ("Bergen", False), ("Remote", True)]),
-        "b": (None, [("Oslo", False), ("Rome", False)]),
+        "b": (None, [("Oslo / Rome", False)]),
         "c": ("remote", [("Oslo", False), ("Kyiv", False), ("Lima", False)]),
         "d": (None, [("Rome", False)]),
         "e": ("onsite", None),
