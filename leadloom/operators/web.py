@@ -179,21 +179,31 @@ def read_pages(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInPandas(read, PAGE)
 
 
+def _let(value: Column, body) -> Column:  # noqa: ANN001
+    """body(value) with value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
 def platform_of_host(host: Column, hosts: tuple[tuple[str, str], ...] = rules.HOSTS) -> Column:
     """The platform of a board host (equal or a subdomain), or null."""
-    return F.coalesce(*[F.when((host == suffix) | host.endswith("." + suffix), F.lit(name)) for name, suffix in hosts])
+    return _let(host, lambda h: F.coalesce(*[F.when((h == suffix) | h.endswith("." + suffix), F.lit(name)) for name, suffix in hosts]))
 
 
 def board_token(platform: Column, url: Column) -> Column:
     """The board's name in a URL of its platform, or null."""
-    cases = F.when(F.lit(False), F.lit(None).cast("string"))
-    for name, pattern in rules.TOKENS.items():
-        cases = cases.when(platform == name, F.nullif(F.regexp_extract(url, pattern, 1), F.lit("")))
-    return cases
+
+
+    def token(p: Column) -> Column:
+        cases = F.when(F.lit(False), F.lit(None).cast("string"))
+        for name, pattern in rules.TOKENS.items():
+            cases = cases.when(p == name, F.nullif(F.regexp_extract(url, pattern, 1), F.lit("")))
+        return cases
+
+    return _let(platform, token)
 
 
 def job_like(href: Column) -> Column:
@@ -255,12 +265,8 @@ def _first_known(urls: Column, platform) -> Column:  # noqa: ANN001
     return F.try_element_at(F.filter(urls, lambda u: platform(u).isNotNull()), F.lit(1))
 
 
-def fingerprint(read: DataFrame) -> DataFrame:
-    """page_id, platform, token, signal, confidence: the first way that tells a
-    page's platform, from the surest on: its host, where it redirects to
-    (final_url), an embedded source, a requested host (requests), a mark in the
-    page (no token), an alias of its host (aliases). final_url, requests and
-    aliases are optional columns. All null if nothing tells it."""
+def _print(read: DataFrame) -> Column:
+    """The fingerprint of a page as struct(platform, token, signal, confidence); see ``fingerprint``."""
     has = lambda c, kind: F.col(c) if c in read.columns else F.lit(None).cast(kind)
     by_host = lambda u: platform_of_host(host_of(u))
     bare = lambda h: platform_of_host(F.lower(h))
@@ -271,18 +277,30 @@ def fingerprint(read: DataFrame) -> DataFrame:
         "url_host": (by_host(F.col("url")), F.col("url")), "redirect": (by_host(has("final_url", "string")), has("final_url", "string")), "embed": (_embedded(source), source),
         "network": (by_host(asked), asked), "dom": (marked, none), "cname": (bare(alias), F.col("url")),
     }
-    told = [F.when(platform.isNotNull(), F.struct(platform.alias("platform"), board_token(platform, of).alias("token"), F.lit(signal).alias("signal"), F.lit(rules.FINGERPRINTS[signal]).alias("confidence"))) for signal, (platform, of) in ways.items()]
-    return read.select("page_id", F.coalesce(*told).alias("_f")).select("page_id", "_f.platform", "_f.token", "_f.signal", "_f.confidence")
+
+    def told(signal: str, platform: Column, of: Column) -> Column:
+        found = lambda p: F.struct(p.alias("platform"), board_token(p, of).alias("token"), F.lit(signal).alias("signal"), F.lit(rules.FINGERPRINTS[signal]).alias("confidence"))
+        return _let(platform, lambda p: F.when(p.isNotNull(), found(p)))
+
+    return F.coalesce(*[told(signal, *way) for signal, way in ways.items()])
+
+
+def fingerprint(read: DataFrame) -> DataFrame:
+    """page_id, platform, token, signal, confidence: the first way that tells a
+    page's platform, from the surest on: its host, where it redirects to
+    (final_url), an embedded source, a requested host (requests), a mark in the
+    page (no token), an alias of its host (aliases). final_url, requests and
+    aliases are optional columns. All null if nothing tells it."""
+    return read.select("page_id", _print(read).alias("_f")).select("page_id", "_f.platform", "_f.token", "_f.signal", "_f.confidence")
 
 
 def route(read: DataFrame) -> DataFrame:
     """page_id, route: the first way that fits to read a page: the platform it
     surely has and that has an adapter, JobPosting records, rendering (no job
     links, but an embed or a page made by scripts), else its links."""
-    sure = F.when(F.col("platform").isin(*rules.ROUTABLE) & (F.col("confidence") >= rules.ROUTING_LEAST), F.col("platform"))
+    sure = _let(_print(read), lambda f: F.when(f["platform"].isin(*rules.ROUTABLE) & (f["confidence"] >= rules.ROUTING_LEAST), f["platform"]))
     scripted = F.array_contains("marks", "spa") | F.exists("sources", lambda s: _embedded(s).isNotNull())
     rendered = F.when(~F.exists("anchors", _job_link) & scripted, "rendered_dom")
-    read = read.join(fingerprint(read), "page_id")
     return read.select("page_id", F.coalesce(sure, F.when(F.size("records") > 0, "jsonld"), rendered, F.lit("generic_html")).alias("route"))
 
 
