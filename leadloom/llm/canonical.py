@@ -1,7 +1,7 @@
 """Free-entered values to the entries of a reference list.
 
 Method: an automaton over all canonical names and aliases finds embedded
-mentions; the longest non-overlapping one wins. What it does not settle goes to
+mentions; of those that don't overlap the longest wins. What they do not settle goes to
 token-set similarity: every typed token is read as reference tokens (itself,
 an abbreviation, a beginning, one typing slip, several words run together), and
 the entry whose tokens are all met, with none left over, at the least cost is
@@ -198,19 +198,23 @@ class Canon:
         return out
 
     def _mention(self, words: list[str]) -> tuple[int, int, list[str]] | None:
-        """The longest mention (the first of equals): entry, its number of words, the words left over."""
+        """The longest of the mentions that don't overlap (the first of equals):
+        entry, its number of words, the words in no mention. Longer mentions take
+        their words first."""
         if not self.bags:
             return None
         line = " " + " ".join(words) + " "
-        best = None
+        met = []
         for end, (_, size, ref) in self.mentions.iter(line):
-            start = line[: end + 1].count(" ") - 1 - size
-            if best is None or size > best[1] or (size == best[1] and start < best[2]):
-                best = (ref, size, start)
-        if best is None:
+            met.append((-size, line[: end + 1].count(" ") - 1 - size, ref))
+        free, chosen = [True] * len(words), []
+        for size, start, ref in sorted(met):
+            if all(free[start : start - size]):
+                free[start : start - size] = [False] * -size
+                chosen.append((ref, -size))
+        if not chosen:
             return None
-        ref, size, start = best
-        return ref, size, words[:start] + words[start + size :]
+        return *chosen[0], [w for w, is_free in zip(words, free, strict=True) if is_free]
 
     def find(self, value: str) -> int:
         """The entry a value means, or 0."""
