@@ -18,6 +18,11 @@ def given(text: Column) -> Column:
     return F.nullif(F.trim(text), F.lit(""))
 
 
+def _dealt(key: Column, row: Column) -> Column:
+    """A join key whose nulls are dealt out by row: they match nothing, and don't meet in one task."""
+    return F.coalesce(key, F.concat(F.lit("\u0000"), row.cast("string")))
+
+
 def full_name(name: Column, first: Column, last: Column, masked: Column) -> Column:
     """The name as given, else the first name with the last one, else with the masked one; null if there is none."""
     return F.coalesce(given(name), F.nullif(F.concat_ws(" ", given(first), F.coalesce(given(last), given(masked))), F.lit("")))
@@ -110,8 +115,9 @@ def waterfall(leads: DataFrame, answers: DataFrame) -> DataFrame:
         rows = answers.select("answer_id", *[listed[k].alias(k) for k in keys])
         return rows.dropna(subset=list(keys)).groupBy(*keys).agg(F.min("answer_id").alias(f"by_{name}"))
 
-    met = asked.join(known("linkedin", "linkedin"), "linkedin", "left").join(known("email", "email"), "email", "left")
-    met = met.withColumn("name", F.when(F.col("linkedin").isNull() & F.col("email").isNull(), F.col("name"))).join(known("name", "name", "domain"), ["name", "domain"], "left")
+    by_name = F.when(F.col("linkedin").isNull() & F.col("email").isNull(), F.col("name"))
+    keys = asked.select("lead_id", "domain", _dealt(by_name, F.col("lead_id")).alias("name"), _dealt(F.col("linkedin"), F.col("lead_id")).alias("linkedin"), _dealt(F.col("email"), F.col("lead_id")).alias("email"))
+    met = keys.join(known("linkedin", "linkedin"), "linkedin", "left").join(known("email", "email"), "email", "left").join(known("name", "name", "domain"), ["name", "domain"], "left")
     rung = F.when(F.col("by_linkedin").isNotNull(), "linkedin").when(F.col("by_email").isNotNull(), "email").when(F.col("by_name").isNotNull(), "name")
     return met.select("lead_id", F.coalesce("by_linkedin", "by_email", "by_name").alias("answer_id"), rung.alias("rung"))
 
@@ -121,7 +127,7 @@ def revealed(leads: DataFrame, answers: DataFrame) -> DataFrame:
     address (with its status, 'guessed' by default), profile and place only fill
     gaps. Of answers to one id the latest by answer_id; extra columns stay."""
     keep = ["full_name", "email", "email_status", "linkedin_url", "location_raw"]
-    told = answers.filter("source_person_id is not null").groupBy("source_person_id").agg(F.max_by(F.struct(*[given(F.col(c)).alias(c) for c in keep]), "answer_id").alias("_t"))
+    told = answers.filter("source_person_id is not null").groupBy(F.col("source_person_id").alias("_key")).agg(F.max_by(F.struct(*[given(F.col(c)).alias(c) for c in keep]), "answer_id").alias("_t"))
     new = lambda c: F.col(f"_t.{c}")
     old = lambda c: given(F.col(c))
     changes = {
@@ -129,7 +135,7 @@ def revealed(leads: DataFrame, answers: DataFrame) -> DataFrame:
         "email_status": F.when(old("email").isNull() & new("email").isNotNull(), F.coalesce(new("email_status"), F.lit("guessed"))).otherwise(F.col("email_status")),
         "linkedin_url": F.coalesce(old("linkedin_url"), new("linkedin_url")), "location_raw": F.coalesce(old("location_raw"), new("location_raw")),
     }
-    return leads.join(told, "source_person_id", "left").select(*[changes[c].alias(c) if c in changes else F.col(f"`{c}`") for c in leads.columns])
+    return leads.withColumn("_key", _dealt(F.col("source_person_id"), F.col("lead_id"))).join(told, "_key", "left").select(*[changes[c].alias(c) if c in changes else F.col(f"`{c}`") for c in leads.columns])
 
 
 def enriched(leads: DataFrame, answers: DataFrame) -> DataFrame:
